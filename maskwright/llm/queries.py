@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import warc
+from maskwright.llm import mixing, topk, warc
 from maskwright.llm.common import scratch_path, table
 
 
@@ -16,7 +16,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
-QUERIES = {"op1_warc": op1_warc}
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op8_topk": op8_topk}
 SQL: dict[str, str] = {
     # twenty bits, five hex digits, make four base32 characters
     "op1_warc": """
@@ -29,4 +37,29 @@ SQL: dict[str, str] = {
             case when page_id = first then null else first end as refers_to
         from h
     """,
+    "op2_mixing": r"""
+        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+            cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from documents),
+        s as (select source, sum(size) as s, 3 * sum(size) as cap,
+            [5, 2, 1][1 + (row_number() over (order by source is null, encode(source)) - 1) % 3] as w from d group by source),
+        l as (select *, sum(s) over () - coalesce(sum(cap) over (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding), 0) as words_left,
+            sum(w) over () - coalesce(sum(w) over (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding), 0) as weight_left from s),
+        c as (select *, cap * weight_left <= w * words_left as capped from l),
+        t as (select source, s, case when capped then cast(cap as double)
+            else w * max(case when not capped then cast(words_left as double) / cast(weight_left as double) end) over () end as target from c),
+        p as (select d.*, t.s, t.target, case when t.s > 0 then floor(t.target / t.s) else 0 end as epochs,
+            coalesce(sum(d.size) over (partition by d.source order by h, doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before
+            from d join t on d.source is not distinct from t.source)
+        select doc_id, cast(size as bigint) as size, cast(s as bigint) as source_size, target,
+            cast(epochs * size + greatest(0, least(size, floor(target) - epochs * s - before)) as bigint) as taken from p
+    """,
+    "op8_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as x from embeddings
+            where embedding is not null and vec_id is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) as bigint) as score
+            from v q join v c on q.vec_id != c.vec_id and len(q.x) = len(c.x) where q.vec_id % 20 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+    """,
 }
