@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import mixing, topk, warc
+from maskwright.llm import mixing, packing, tokencount, topk, warc
 from maskwright.llm.common import scratch_path, table
 
 
@@ -20,11 +21,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op8_topk": op8_topk}
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op5_packing": op5_packing, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk}
 SQL: dict[str, str] = {
     # twenty bits, five hex digits, make four base32 characters
     "op1_warc": """
