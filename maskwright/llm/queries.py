@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import mixing, packing, tokencount, topk, warc
-from maskwright.llm.common import scratch_path, table
+from maskwright.llm import langid, mixing, packing, quality, tokencount, topk, warc
+from maskwright.llm.common import crc_fold, scratch_path, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 3)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold != 1)
+    return quality.classify(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -29,11 +35,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 3)
+    model = langid.fit(docs, fold != 1, public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.identify(docs, model).select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op5_packing": op5_packing, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk}
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_packing": op5_packing, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op10_langid": op10_langid}
 SQL: dict[str, str] = {
     # twenty bits, five hex digits, make four base32 characters
     "op1_warc": """
