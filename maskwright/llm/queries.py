@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import langid, mixing, neardup, packing, quality, tokencount, topk, warc
+from maskwright.llm import langid, lm, mixing, neardup, packing, quality, tokencount, topk, warc
 from maskwright.llm.common import crc_fold, scratch_path, table
 
 
@@ -39,6 +39,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 5) != 1)
+    return scored.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 3)
     model = langid.fit(docs, fold != 1, public_tokenizers.path("piece_bpe_32k.model"))
@@ -49,7 +54,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op10_langid": op10_langid}
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op9_lm_scores": op9_lm_scores, "op10_langid": op10_langid}
 SQL: dict[str, str] = {
     # twenty bits, five hex digits, make four base32 characters
     "op1_warc": """
@@ -92,8 +97,8 @@ SQL: dict[str, str] = {
         s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
             else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as g from d),
         n as (select doc_id, count(*) as n from s group by doc_id),
-        both as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
-        link as (select a, b from both join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+        shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+        link as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
         edge as (select a, b from link union all select b, a from link),
         reach as (select doc_id as a, doc_id as b from documents union select reach.a, edge.b from reach join edge on reach.b = edge.a)
         select r.a as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.b) as component_id, r.a = min(r.b) as kept
