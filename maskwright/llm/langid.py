@@ -156,6 +156,19 @@ def fit(docs: DataFrame, learnable: Column, vocabulary: str, text: str = "text",
     return Model(vocabulary, langs, np.log(n / n.sum(axis=0)))
 
 
+def predictions(forward: Forward | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and its probability of each text; without a model all is ``und``."""
+    ok = [i for i, t in enumerate(texts) if forward and t and any(map(str.isalpha, t))]
+    pred, score = ["und"] * len(texts), [0.0] * len(texts)
+    if ok:
+        logs = forward.texts([texts[i] for i in ok])
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        for i, row, best in zip(ok, p, p.argmax(axis=1), strict=True):
+            pred[i], score[i] = forward.model.langs[best], float(row[best])
+    return pred, score
+
+
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred and score (its probability under equal priors) of every row."""
     kind = docs.schema[key].dataType.simpleString()
@@ -165,16 +178,22 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         forward = Forward(shared.value) if shared.value.langs else None
         for batch in batches:
             for run in runs(batch, 4_000_000):
-                texts = run.column(1).to_pylist()
-                ok = [i for i, t in enumerate(texts) if forward and t and any(map(str.isalpha, t))]
-                pred, score = ["und"] * len(texts), [0.0] * len(texts)
-                if ok:
-                    logs = forward.texts([texts[i] for i in ok])
-                    p = np.exp(logs - logs.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    for i, row, best in zip(ok, p, p.argmax(axis=1), strict=True):
-                        pred[i], score[i] = shared.value.langs[best], float(row[best])
+                pred, score = predictions(forward, run.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([run.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["key", "lang_pred", "score"])
 
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(predict, f"key {kind}, lang_pred string, score double")
     return found.withColumnRenamed("key", key)
+
+
+def keep_known(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, in a language that the model tells with ``least`` probability."""
+    at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forward = Forward(shared.value) if shared.value.langs else None
+        for batch in batches:
+            for run in runs(batch, 4_000_000):
+                pred, score = predictions(forward, run.column(at).to_pylist())
+                yield run.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -183,6 +183,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return out.withColumn("kept", F.coalesce(F.col("key") == F.col("component_id"), F.lit(True))).withColumnRenamed("key", key)
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component; of a repeated key one row.
+
+    Rows with a null key link with nothing and stay.
+    """
+    kept = near_duplicates(docs, key, text, shingle, percent).filter(f"kept and `{key}` is not null").select(F.col(key).alias("_kept")).distinct()
+    named = docs.join(kept, docs[key] == kept["_kept"], "left_semi").dropDuplicates([key])
+    return named.unionByName(docs.filter(F.col(key).isNull()))
+
+
 def _rounds(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect everything that links within buckets connect.
 

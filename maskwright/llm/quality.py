@@ -126,3 +126,16 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     scored = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("t")).mapInArrow(score, f"key {kind}, score double, predicted int")
     return scored.withColumnRenamed("key", key)
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``least``."""
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            for run in runs(batch, 4_000_000):
+                yield run.filter(pa.array([scorer.score((t or "").encode()) >= least for t in run.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import langid, lm, mixing, neardup, packing, quality, tokencount, topk, warc
+from maskwright.llm import fingerprint, langid, lm, mixing, neardup, packing, quality, tokencount, topk, warc
 from maskwright.llm.common import crc_fold, scratch_path, table
 
 
@@ -27,6 +27,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -54,7 +58,7 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op9_lm_scores": op9_lm_scores, "op10_langid": op10_langid}
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_fingerprints": op4_fingerprints, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op9_lm_scores": op9_lm_scores, "op10_langid": op10_langid}
 SQL: dict[str, str] = {
     # twenty bits, five hex digits, make four base32 characters
     "op1_warc": """
