@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans as S
 from maskwright.functions import text as T
 from maskwright.operators import detect as D
-from maskwright.operators import policy, restore, score, vault
+from maskwright.operators import ner, policy, restore, score, vault
 from maskwright.plans import oracle as O
 from maskwright.schema import RECOGNIZERS, TYPES, Sensitivity
+from maskwright.sources import pages
+from maskwright.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -305,3 +308,65 @@ def conversation_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select conv_id, turn, {O.key('coalesce(substr(text, 1, 200), chr(32))')} as normalized from conversations")
 def normalized_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(T.normalized_key("coalesce(substring(text, 1, 200), ' ')")).alias("normalized"))
+
+
+# NER, pages, code and streams -------------------------------------------------------------------
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text per order that names two of the dictionary's entities and a phone number."""
+    names = "array(" + ", ".join(T.quoted(t) for t, _, _ in ner.ENTITIES) + ")"
+    pick = lambda x: f"element_at({names}, cast({x} % 12 as int) + 1)"
+    text = f"concat('Grüße von ', {pick('o_orderkey')}, ', account ', {pick('o_custkey')}, ' or call 212-555-', lpad(cast(o_custkey % 10000 as string), 4, '0'))"
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
+
+
+_NAMES = "[" + ", ".join("'" + t + "'" for t, _, _ in ner.ENTITIES) + "]"
+_LETTERS = f"letters as (select o_orderkey as doc_id, 'Grüße von ' || {_NAMES}[cast(o_orderkey % 12 as bigint) + 1] || ', account ' || {_NAMES}[cast(o_custkey % 12 as bigint) + 1] || ' or call 212-555-' || lpad(cast(o_custkey % 10000 as varchar), 4, '0') as text from orders)"
+_FIXED = "(values " + ", ".join(f"('{t}', '{k}', {s})" for t, k, s in ner.ENTITIES) + ") as e(name, entity_type, score)"
+
+
+@query(f"with {_LETTERS}, t as (select doc_id, entity_type, score, name, string_split(text, name) as g from letters, {_FIXED}) select doc_id, entity_type, cast(score as double) as score, name as text, cast(list_sum(list_transform(g[1:i], lambda x: strlen(x))) + (i - 1) * strlen(name) as integer) as start from t, unnest(range(1, len(g))) as u(i)")
+def dictionary_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = ner.provide(letters(spark, sf_dir), ner.dictionary)
+    return D.exploded(df, "doc_id", spans="ner").select("doc_id", "entity_type", "score", "text", "start")
+
+
+@query()
+def detect_with_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognizers and external spans together, over letters."""
+    return D.exploded(D.detect(ner.provide(letters(spark, sf_dir), ner.dictionary), ner="ner"), "doc_id")
+
+
+@query()
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ner.chunks(documents(spark, sf_dir), size=800).select("doc_id", "chunk", "start_char", "end_char", "start_byte", "end_byte")
+
+
+@query()
+def page_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans in the visible text of pages."""
+    return D.exploded(D.detect(pages.page_text(read(spark, sf_dir, "pages").select("page_id", "html"))), "page_id")
+
+
+@query(r"""select page_id, cast(strpos(html, regexp_extract(html, '(?is)<script[^>]*>.*?</script>')) - 1 as integer) as start from pages where regexp_matches(html, '(?is)<script[^>]*>.*?</script>')""")
+def first_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character offset of each page's first script, by the offset technique of the recognizers."""
+    found_ = S.matches("html", r"(?is)<script[^>]*>.*?</script>", "MISC", 1.0, "regex", 0)
+    df = read(spark, sf_dir, "pages").withColumn("s", F.expr(f"element_at(slice({found_}, 1, 1), 1).cs"))
+    return df.filter("s is not null").select("page_id", F.col("s").alias("start"))
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts by a stream over the events; each trigger rewrites the whole table of counts."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-")
+    out = f"{base.rstrip('/')}/counts-{uuid.uuid4().hex}"
+    schema = read(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = jobs.windowed_counts(events, "ts", "event_type")
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/table")
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(f"{out}/table").withColumn("start", F.col("start").cast("timestamp_ntz"))
