@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import materialise
 from maskwright.llm.neardup import _M1, _M2, _words, mixed
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Bytes of text for each hash range of n-grams.
 RANGE_BYTES = 8_000_000
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
@@ -135,10 +135,11 @@ def _counts(blocks: DataFrame, ranges: int) -> DataFrame:
     def total(data: pa.Table) -> pa.Table:
         kind, part = (data.column(c)[0].as_py() for c in ("kind", "part"))
         keys = [np.cumsum(_expand(x.as_py(), "<u8"), dtype=np.uint64) for x in data.column("grams")]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
         counts = np.concatenate([_expand(x.as_py(), "<u4") for x in data.column("counts")])
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.bincount(at, counts).astype(np.uint64)
-        parts = np.split(sums[at], np.cumsum([len(k) for k in keys])[:-1])
+        parts = np.split(sums[at], cuts)
         blocks_ = [*data.column("block").to_pylist(), -1]
         told = np.array([np.count_nonzero(sums), sums.sum()], np.uint64)
         return pa.table([pa.array(blocks_, pa.int64()), pa.array([kind] * len(blocks_), pa.int64()), pa.array([part] * len(blocks_), pa.int64()), pa.array([_squeeze(x) for x in [*parts, told]], pa.binary())], ["block", "kind", "part", "counts"])

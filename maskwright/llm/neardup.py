@@ -36,7 +36,7 @@ BINS = BANDS * ROWS
 BLOCK = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hashes a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
