@@ -47,10 +47,10 @@ def restore(responses: DataFrame, scope: DataFrame, key: str, text: str = "text"
     return responses.join(tokens, key, "left").withColumn(out, F.expr(resolved(f"coalesce({text}, '')", "_scope"))).drop("_scope")
 
 
-def _edge(text: str, start: int, end: int) -> bool:
+def _joined(text: str, at: int) -> bool:
+    """Whether the characters on both sides of a place belong to one word."""
     word = lambda c: c == "_" or c.isalnum()
-    left = start == 0 or not word(text[start - 1]) or not word(text[start])
-    return left and (end >= len(text) or not word(text[end]) or not word(text[end - 1]))
+    return 0 < at < len(text) and word(text[at - 1]) and word(text[at])
 
 
 def resolve_text(text: str, scope: dict[str, str], strict: frozenset[str] = frozenset()) -> str:
@@ -63,11 +63,11 @@ def resolve_text(text: str, scope: dict[str, str], strict: frozenset[str] = froz
     tolerant = {k for k in scope if re.fullmatch(CANONICAL, k) and k not in strict}
     for m in re.finditer(rf"(\[)?({_KINDS})[_ ]?([1-9][0-9]*)(?![0-9])(\])?", text, re.I):
         key = f"[{m[2].upper()}_{m[3]}]"
-        if key in tolerant and (m[1] or not m.start() or not (text[m.start() - 1] == "_" or text[m.start() - 1].isalnum())) and (m[4] or _edge(text, m.end() - 1, m.end())):
+        if key in tolerant and (m[1] or not _joined(text, m.start())) and (m[4] or not _joined(text, m.end())):
             found.append((m.start(), m.end(), scope[key]))
     for key in sorted((k for k in scope if k and k not in tolerant), key=len, reverse=True):
         for m in re.finditer(re.escape(key), text):
-            if _edge(text, *m.span()) and not any(m.start() < e and m.end() > s for s, e, _ in found):
+            if not (_joined(text, m.start()) or _joined(text, m.end())) and not any(m.start() < e and m.end() > s for s, e, _ in found):
                 found.append((*m.span(), scope[key]))
     at, out = 0, []
     for s, e, value in sorted(found):
