@@ -1,11 +1,13 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad text.
 
-A text is compressed whole with a dictionary trained on good and one trained on bad labelled
-text; the difference of the two sizes over the text's size is the only feature, and a logistic
-curve fitted on labelled texts that neither dictionary saw turns it into a probability of
-label 1. The classifier is fitted on a bounded sample: at most ``per_class`` labelled rows of each
-class, the first by a hash of the id, and ``sample_bytes`` of each. Scoring is a map over the
-documents with no shuffle.
+A text is compressed whole, in stretches of ``STRETCH`` bytes so that length does not matter, with a
+dictionary trained on good and one trained on bad labelled text; the difference of the two sizes
+over the text's size is the only feature. A rising curve fitted on labelled texts that neither
+dictionary saw turns it into a probability of label 1: isotonic regression, with a small part of a
+logistic curve to keep scores apart; a short text, which tells little, is drawn to the share of
+label 1. The classifier is fitted on a bounded sample: at most
+``per_class`` labelled rows of each class, the first by a hash of the id, and ``STRETCH`` bytes of
+each. Scoring is a map over the documents with no shuffle.
 
 Defined results: a null text scores as the empty one; rows whose label is null or neither 0 nor 1
 teach nothing; with no usable label of a class every score is the share of label 1 among the
@@ -28,16 +30,24 @@ from pyspark.sql import functions as F
 from maskwright.llm.tokencount import runs
 
 LEVEL = 3
+STRETCH = 4096
+#: The logistic curve's part in a score.
+APART = 0.05
+#: Bytes of text at which its own evidence weighs as much as the share of label 1.
+SHORT = 64
 
 
 @dataclass(frozen=True)
 class Model:
-    """Dictionaries as bytes (good, bad) and the curve's slope and intercept."""
+    """Dictionaries as bytes (good, bad), the logistic curve and the isotonic one's points."""
 
     good: bytes
     bad: bytes
     slope: float
     intercept: float
+    at: tuple[float, ...] = ()
+    level: tuple[float, ...] = ()
+    share: float = 0.5
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -65,12 +75,18 @@ class Scorer:
         """(size by the bad - size by the good dictionary) / size of the text."""
         if not text or None in self.by:
             return 0.0
-        good, bad = (len(c.compress(text)) for c in self.by)
+        parts = [text[i : i + STRETCH] for i in range(0, len(text), STRETCH)]
+        good, bad = (sum(len(c.compress(x)) for x in parts) for c in self.by)
         return (bad - good) / len(text)
 
     def score(self, text: bytes) -> float:
-        z = self.model.slope * self.feature(text) + self.model.intercept
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        x = self.feature(text)
+        z = self.model.slope * x + self.model.intercept
+        smooth = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        if not self.model.at:
+            return smooth
+        own = APART * smooth + (1 - APART) * float(np.interp(x, self.model.at, self.model.level))
+        return self.model.share + (own - self.model.share) * len(text) / (len(text) + SHORT)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -89,13 +105,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 2000, sample_bytes: int = 4096, dictionary_bytes: int = 110_000) -> Model:
+def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Places and levels of the rising step curve nearest to y, by pooling neighbours that fall."""
+    pools: list[list[float]] = []  # weight, weighted x, weighted y
+    for i in np.argsort(x, kind="stable"):
+        pools.append([weight[i], weight[i] * x[i], weight[i] * y[i]])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return tuple(float(p[1] / p[0]) for p in pools), tuple(float(p[2] / p[0]) for p in pools)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 2000, dictionary_bytes: int = 110_000) -> Model:
     """Fit on labelled documents for which ``learnable``, an expression over ``key``, holds."""
     order = F.xxhash64(F.col(key), F.lit("quality"))
     told = labels.filter(learnable & F.col(key).isNotNull()).select(F.col(key), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in told.filter("y in (0, 1)").groupBy("y").count().collect()}
     picked = [told.filter(F.col("y") == y).orderBy(order, key).limit(per_class) for y in (0, 1)]
-    sample = docs.select(F.col(key), F.substring(F.coalesce(F.col(text), F.lit("")).cast("binary"), 1, sample_bytes).alias("t")).join(F.broadcast(picked[0].unionAll(picked[1])), key)
+    sample = docs.select(F.col(key), F.substring(F.coalesce(F.col(text), F.lit("")).cast("binary"), 1, STRETCH).alias("t")).join(F.broadcast(picked[0].unionAll(picked[1])), key)
     rows = [(r["y"], bytes(r["t"])) for r in sample.select("y", "t", order.alias("o")).orderBy("o", "t").collect()]
     # every fourth text calibrates, the others make the dictionaries
     train, held = {0: [], 1: []}, []
@@ -110,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_i
     x, y = np.array([scorer.feature(t) for _, t in held]), np.array([y for y, _ in held], float)
     # the sample is balanced, the labels are not
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    return Model(good, bad, *_logistic(x, y, weight))
+    return Model(good, bad, *_logistic(x, y, weight), *_isotonic(x, y, weight), share)
 
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
