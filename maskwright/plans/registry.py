@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans as S
 from maskwright.functions import text as T
 from maskwright.operators import detect as D
-from maskwright.operators import ner, policy, restore, score, vault
+from maskwright.operators import ner, policy, restore, scope, score, vault
 from maskwright.plans import oracle as O
 from maskwright.schema import RECOGNIZERS, TYPES, Sensitivity
 from maskwright.sources import pages
@@ -370,3 +370,27 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/table")
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.parquet(f"{out}/table").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# Scopes -----------------------------------------------------------------------------------------
+
+
+@query(
+    f"""with recursive {O.detected()}, {O.VAULT}, seen as (select distinct d.doc_id % 20 as conv, v.placeholder as token, v.n, v.synthetic_value, v.original_text from det d join vault v on v.entity_type = d.entity_type and v.normalized_key = {O.key('d.text')}),
+    form as (select conv, n, token, original_text, n % 4 < 3 as tolerant from seen union all select conv, n, synthetic_value, original_text, n % 4 < 3 from seen where synthetic_value != '')
+    select conv, token, case when bool_or(n % 4 = 0 and starts_with(token, '[')) then 'ledger ' else '' end || any_value(original_text) as original, bool_or(tolerant or n % 4 = 0) as tolerant from (select conv, n, token, original_text, tolerant or n % 4 = 0 as tolerant from form) group by conv, token"""
+)
+def conversation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes of conversations whose tokens come by ledger, by record or by sight alone."""
+    spans = found(spark, sf_dir).withColumn("normalized_key", F.expr(T.normalized_key("text")))
+    known = vault.identities(found(spark, sf_dir))
+    seen = spans.join(known, ["entity_type", "normalized_key"]).select((F.col("doc_id") % 20).alias("conv"), F.col("placeholder").alias("token"), "n", "original_text").distinct()
+    ledger = seen.filter("n % 4 = 0").select("conv", "token", F.concat(F.lit("ledger "), "original_text").alias("original"))
+    record = scope.records(seen.filter("n % 4 in (1, 2)").select("conv", "token", F.lit(None).cast("string").alias("original")))
+    return scope.build_scope(record, ledger, seen.select("conv", "token"), known)
+
+
+@query("select user_id, arg_max(event_type, event_id) as place, max(event_id) as at from events group by user_id")
+def latest_filing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("place"), F.col("event_id").alias("at"))
+    return scope.filed(rows, token="user_id", place="place", ts="at")

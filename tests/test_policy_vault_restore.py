@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 from maskwright.operators import detect as D
-from maskwright.operators import ner, policy, restore, score, vault
+from maskwright.operators import ner, policy, restore, scope, score, vault
 from maskwright.schema import SPAN, Sensitivity
 
 
@@ -118,3 +118,17 @@ def test_ner(spark):
     bounds = [*ner.chunk_bounds("ab " * 50, 20, 5)]
     assert bounds[0] == (0, 18) and bounds[-1][1] == 150 and all(b[0] < a[1] for a, b in zip(bounds, bounds[1:], strict=False))
     assert one(spark, "x", f"size({S.EMPTY})") == 0
+
+
+def test_scope(spark):
+    known = spark.createDataFrame([("[PERSON_1]", "Sam Fox", "Ann"), ("[DATE_1]", "", "1 May"), ("[EMAIL_1]", "s@x.org", "a@b.com")], "placeholder string, synthetic_value string, original_text string")
+    frame = lambda rows: spark.createDataFrame(rows, "conv string, token string, original string")
+    record = scope.records(frame([("c", "[DATE_1]", None), ("c", "[OLD_1]", "old")]), frame([("c", "[OLD_1]", "new"), ("c", "[GONE_9]", None)]))
+    got = {(r["conv"], r["token"]): (r["original"], r["tolerant"]) for r in scope.build_scope(record, frame([("c", "Sam Fox", "Ann!")]), frame([("c", "[EMAIL_1]", None), ("d", "[DATE_1]", None)]), known).collect()}
+    assert got == {
+        ("c", "[DATE_1]"): ("1 May", True), ("c", "[OLD_1]"): ("new", True), ("c", "Sam Fox"): ("Ann!", True), ("c", "[PERSON_1]"): ("Ann", True),
+        ("c", "[EMAIL_1]"): ("a@b.com", False), ("c", "s@x.org"): ("a@b.com", False), ("d", "[DATE_1]"): ("1 May", False),
+    }
+    off = scope.build_scope(record, frame([]), frame([("c", "[EMAIL_1]", None)]), None)
+    assert [(r["token"], r["original"]) for r in off.collect()] == [("[OLD_1]", "new")]
+    assert [r["token"] for r in scope.unresolved(frame([("c", "[OLD_1]", None), ("c", "[X_1]", None)]), off).collect()] == ["[X_1]"]
