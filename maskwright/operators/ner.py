@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import matches
+from maskwright.functions.text import let
 from maskwright.schema import SPAN
 
 # The dictionary provider's entities with type and score.
@@ -103,3 +104,35 @@ def provide(docs: DataFrame, spans_of: Callable[[DataFrame], DataFrame], key: st
 def dictionary(docs: DataFrame) -> DataFrame:
     """The dictionary provider, for ``provide``."""
     return docs.withColumn("found", F.expr(outer(dictionary_spans("text"))))
+
+
+_INNER_CHAR = r"[\\p{L}\\p{N}_]"
+
+
+def token_spans(text: str, predictions: str) -> str:
+    """SQL: spans of token predictions, an array of (start, end, entity_type, score) in characters.
+
+    Neighbours of a type join over at most three characters of blanks or ``._@:/+-``; a span grows
+    to whole words; its score is the mean of the scores that open its words.
+    """
+    order = "if(a.start != b.start, a.start - b.start, a.end - b.end)"
+    kind = "array<struct<start:int,end:int,entity_type:string,scores:array<double>>>"
+    new = "named_struct('start', p.start, 'end', p.end, 'entity_type', p.entity_type, 'scores', array(p.score))"
+    gap = f"if(p.start >= l.end, substring({text}, l.end + 1, p.start - l.end), '')"
+    grown = "named_struct('start', l.start, 'end', greatest(l.end, p.end), 'entity_type', l.entity_type, 'scores', if(rlike(g, '\\\\s'), concat(l.scores, array(p.score)), l.scores))"
+    join = f"if(l.entity_type = p.entity_type and p.start >= l.start and length(g) <= 3 and rlike(g, '^[ \\\\t._@:/+-]*$'), concat(slice(m, 1, size(m) - 1), array({grown})), concat(m, array({new})))"
+    step = let("element_at(m, -1)", "l", let(gap, "g", join))
+    groups = f"aggregate(array_sort(filter({predictions}, p -> p.start < p.end), (a, b) -> {order}), cast(array() as {kind}), (m, p) -> if(size(m) = 0, array({new}), {step}))"
+    left = f"if(rlike(substring({text}, x.start + 1, 1), '{_INNER_CHAR}'), x.start - length(regexp_extract(substring({text}, 1, x.start), '{_INNER_CHAR}*$', 0)), x.start)"
+    right = f"if(rlike(substring({text}, x.end, 1), '{_INNER_CHAR}'), x.end + length(regexp_extract(substring({text}, x.end + 1), '^{_INNER_CHAR}*', 0)), x.end)"
+    mean = "aggregate(x.scores, 0D, (a, v) -> a + v) / size(x.scores)"
+    span = f"named_struct('start', octet_length(substring({text}, 1, w.a)), 'end', octet_length(substring({text}, 1, w.b)), 'entity_type', w.k, 'score', w.v, 'text', substring({text}, w.a + 1, w.b - w.a), 'source', 'ner')"
+    return f"transform(transform({groups}, x -> named_struct('a', {left}, 'b', {right}, 'k', x.entity_type, 'v', {mean})), w -> {span})"
+
+
+def gated(spans: str, least: dict[str, float]) -> str:
+    """SQL: spans at their type's least score of a model; types without one pass."""
+    if not least:
+        return spans
+    table = "map(" + ", ".join(f"'{k}', {v}D" for k, v in least.items()) + ")"
+    return f"filter({spans}, s -> s.score >= coalesce({table}[s.entity_type], 0D))"

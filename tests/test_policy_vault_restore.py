@@ -132,3 +132,13 @@ def test_scope(spark):
     off = scope.build_scope(record, frame([]), frame([("c", "[EMAIL_1]", None)]), None)
     assert [(r["token"], r["original"]) for r in off.collect()] == [("[OLD_1]", "new")]
     assert [r["token"] for r in scope.unresolved(frame([("c", "[OLD_1]", None), ("c", "[X_1]", None)]), off).collect()] == ["[X_1]"]
+
+
+def test_token_predictions(spark):
+    text = "Mr José García met Ada, Bob in Köln"
+    p = [(3, 5, "PERSON", 0.9), (5, 7, "PERSON", 0.1), (8, 11, "PERSON", 0.7), (19, 22, "PERSON", 0.8), (24, 27, "PERSON", 0.6), (32, 33, "LOCATION", 0.5), (0, 0, "MISC", 1.0)]
+    df = spark.createDataFrame([(text, p)], "text string, p array<struct<start:int,end:int,entity_type:string,score:double>>")
+    got = df.select(F.expr(ner.token_spans("text", "p")).alias("s")).first()["s"]
+    assert [(s["text"], s["entity_type"], round(s["score"], 6)) for s in got] == [("José García", "PERSON", 0.8), ("Ada", "PERSON", 0.8), ("Bob", "PERSON", 0.6), ("Köln", "LOCATION", 0.5)]
+    assert all(text.encode()[s["start"] : s["end"]].decode() == s["text"] for s in got)
+    assert len(df.select(F.expr(ner.gated(ner.token_spans("text", "p"), {"PERSON": 0.7})).alias("s")).first()["s"]) == 3
