@@ -84,19 +84,18 @@ def active(mode: str = "placeholder") -> Column:
 
 
 def anonymize(docs: DataFrame, vault: DataFrame, doc: str = "doc_id", text: str = "text", spans: str = "spans", mode: str = "placeholder") -> DataFrame:
-    """doc, anonymized text and the number of replaced spans of every row.
+    """doc, anonymized text and the number of replaced spans of every row; ``doc`` tells rows apart.
 
-    Only rows with spans, and of those only ids and spans, meet the vault; the others pass by.
+    Spans meet the vault as narrow rows and come back as one list of edits a document. The side
+    with the texts does not use the spans, so they are detected once.
     """
-    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"), F.col(spans).alias("spans"))
-    flat = rows.filter(F.size("spans") > 0).select("doc", F.posexplode("spans").alias("i", "s")).select("doc", "i", F.col("s.entity_type").alias("entity_type"), F.expr(normalized_key("s.text")).alias("normalized_key"))
+    flat = docs.select(F.col(doc).alias("doc"), F.posexplode(spans).alias("i", "s")).select("doc", "i", F.col("s.entity_type").alias("entity_type"), F.expr(normalized_key("s.text")).alias("normalized_key"), F.col("s.cs").alias("cs"), F.col("s.ce").alias("ce"))
     chosen = flat.join(vault.select("entity_type", "normalized_key", active(mode).alias("value")), ["entity_type", "normalized_key"])
-    values = chosen.groupBy("doc").agg(F.expr("transform(array_sort(collect_list(struct(i, value))), x -> x.value)").alias("values"))
-    with_values = rows.filter(F.size("spans") > 0).join(values, "doc")
+    edits = chosen.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("i", "cs", "ce", "value"))).alias("edits"))
+    rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(edits, "doc", "left")
     step = "named_struct('at', s.ce, 'out', concat(a.out, substring(body, a.at + 1, s.cs - a.at), s.value))"
-    whole = f"aggregate(zip_with(spans, values, (s, v) -> named_struct('cs', s.cs, 'ce', s.ce, 'value', v)), named_struct('at', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(body, a.at + 1)))"
-    done = with_values.select(F.col("doc").alias(doc), F.expr(whole).alias("anonymized"), F.size("spans").alias("n_spans"))
-    return done.unionAll(rows.filter(F.size("spans") == 0).select(F.col("doc").alias(doc), F.col("body"), F.lit(0)))
+    whole = f"if(edits is null, body, aggregate(edits, named_struct('at', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(body, a.at + 1))))"
+    return rows.select(F.col("doc").alias(doc), F.expr(whole).alias("anonymized"), F.coalesce(F.size("edits"), F.lit(0)).alias("n_spans"))
 
 
 def import_records(vault: DataFrame, incoming: DataFrame) -> DataFrame:
