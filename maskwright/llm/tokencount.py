@@ -49,9 +49,11 @@ def token_lengths(texts: list[str], path: str) -> list[int]:
 
 
 def runs(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows that hold about ``most`` bytes."""
+    """The batch in runs of rows that hold about ``most`` bytes; then unused memory goes back."""
     step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
-    return (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+    pa.default_memory_pool().release_unused()
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
