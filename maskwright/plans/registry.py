@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from maskwright.operators import detect as D
 from maskwright.operators import ner, policy, restore, scope, score, vault
 from maskwright.plans import oracle as O
 from maskwright.schema import RECOGNIZERS, TYPES, Sensitivity
+from maskwright.scratch import materialise, scratch_path
 from maskwright.sources import pages
 from maskwright.streaming import jobs
 
@@ -179,7 +179,7 @@ def vault_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _anonymized(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame]:
     docs = D.detect(documents(spark, sf_dir))
-    known = vault.identities(D.exploded(docs, "doc_id"))
+    known = materialise(vault.identities(D.exploded(docs, "doc_id")), "vault")
     return vault.anonymize(docs, known, mode=mode), known
 
 
@@ -202,6 +202,7 @@ def _scope(anon: DataFrame, known: DataFrame) -> DataFrame:
 @query("select doc_id, sha256(coalesce(text, '')) as digest from documents")
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     anon, known = _anonymized(spark, sf_dir, "placeholder")
+    anon = materialise(anon, "anonymized")
     back = restore.restore(anon, _scope(anon, known), "doc_id", "anonymized")
     return back.select("doc_id", F.sha2("restored", 256).alias("digest"))
 
@@ -210,6 +211,7 @@ def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restore_mangled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens lose their brackets, case or separator before they are restored."""
     anon, known = _anonymized(spark, sf_dir, "placeholder")
+    anon = materialise(anon, "anonymized")
     v = T.quoted(restore.CANONICAL)
     mangled = f"case doc_id % 3 when 0 then regexp_replace(anonymized, {v}, '[$1 $2]') when 1 then regexp_replace(anonymized, {v}, '[$1$2') else regexp_replace(anonymized, {v}, '$1_$2]') end"
     back = restore.restore(anon.withColumn("response", F.expr(mangled)), _scope(anon, known), "doc_id", "response")
@@ -360,10 +362,7 @@ def first_script(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
 def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by a stream over the events; each trigger rewrites the whole table of counts."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-")
-    out = f"{base.rstrip('/')}/counts-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "counts")
     schema = read(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     counts = jobs.windowed_counts(events, "ts", "event_type")
@@ -382,8 +381,8 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def conversation_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes of conversations whose tokens come by ledger, by record or by sight alone."""
-    spans = found(spark, sf_dir).withColumn("normalized_key", F.expr(T.normalized_key("text")))
-    known = vault.identities(found(spark, sf_dir))
+    flat = materialise(found(spark, sf_dir), "spans")
+    spans, known = flat.withColumn("normalized_key", F.expr(T.normalized_key("text"))), vault.identities(flat)
     seen = spans.join(known, ["entity_type", "normalized_key"]).select((F.col("doc_id") % 20).alias("conv"), F.col("placeholder").alias("token"), "n", "original_text").distinct()
     ledger = seen.filter("n % 4 = 0").select("conv", "token", F.concat(F.lit("ledger "), "original_text").alias("original"))
     record = scope.records(seen.filter("n % 4 in (1, 2)").select("conv", "token", F.lit(None).cast("string").alias("original")))
