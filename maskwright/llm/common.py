@@ -1,47 +1,16 @@
-"""Helpers that the training-data operators share: scratch tables and word rules."""
+"""What the training-data operators share: the word rule, folds and tables; scratch tables come from the library."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run without blank, tab, LF, VT, FF or CR. ``bytes.split()`` splits at the same six.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_local: dict[str, str] = {}
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share; it goes when the driver ends.
+from maskwright.scratch import materialise, scratch_path
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests in local mode) a
-    temporary folder of this machine stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local.setdefault("dir", tempfile.mkdtemp(prefix="maskwright-"))
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(discard, spark, path)
-    return path
+__all__ = ["WORD", "crc_fold", "materialise", "scratch_path", "table"]
 
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path; a session that has ended already is not an error."""
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the JVM is gone at exit
-        return
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a scratch table and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word: a run without blank, tab, LF, VT, FF or CR. ``bytes.split()`` splits at the same six.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:
