@@ -1,13 +1,14 @@
 """MinHash near-duplicates: one-permutation hashing, bands, star-shaped candidates, exact links.
 
 A document is the set of its distinct word shingles, as 64-bit hashes. One pass computes each
-set's one-permutation signature (the smallest hash in each of ``BANDS * ROWS`` bins; an empty bin
+set's one-permutation signature (the smallest hash in each of its bins; an empty bin
 borrows from the bin that its own probe sequence reaches first, the optimal densification) and
 one hash per band. Equal sets collapse to the document with the smallest key. In each bucket of a
 band star edges become candidates, from one hub to the members that are not yet in its component,
 and they are confirmed on the full sets; after two rounds of stars, buckets that still hold several
-components are compared block by block, without emitting pairs (see ``_rounds``). At a similarity
-of 0.85 a pair shares no bucket with a probability of 2e-7.
+components are compared block by block, without emitting pairs (see ``_rounds``). The rows of a
+band follow the threshold (8 at 0.85, 6 at 0.8), so that a pair at the threshold shares no bucket with
+a probability below ``MISS``.
 
 Hubs are found by pre-aggregated minima and joined back, so a bucket with a third of all rows is
 spread by the skew join and never gathered in one task.
@@ -20,6 +21,7 @@ linking; a null key links with nothing (component null, kept); extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import materialise
 from maskwright.llm.tokencount import runs
 
-BANDS, ROWS = 48, 8
-BINS = BANDS * ROWS
+BANDS = 48
+#: The chance at most that a pair at the threshold shares no bucket.
+MISS = 1e-6
 #: Hashes in a block of a bucket.
 BLOCK = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -71,38 +74,48 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _probes(tries: int) -> np.ndarray:
+@cache
+def rows_of(percent: int) -> int:
+    """Rows of a band: the most at which pairs at ``percent`` % are missed with chance ``MISS`` at most."""
+    return max(r for r in range(1, 33) if r == 1 or (1 - (percent / 100) ** r) ** BANDS <= MISS)
+
+
+@cache
+def _probes(bins: int, tries: int) -> np.ndarray:
     """For each bin the bins that it borrows from, in order; the same for every document."""
-    at = np.arange(BINS, dtype=np.uint64)[:, None] * np.uint64(1 << 20) + np.arange(1, tries + 1, dtype=np.uint64)[None, :]
-    return (mixed(at * _M1) % np.uint64(BINS)).astype(np.int64)
+    at = np.arange(bins, dtype=np.uint64)[:, None] * np.uint64(1 << 20) + np.arange(1, tries + 1, dtype=np.uint64)[None, :]
+    return (mixed(at * _M1) % np.uint64(bins)).astype(np.int64)
 
 
-_FIRST, _LATER = _probes(24), _probes(4096)
-_FACTORS = mixed(np.arange(1, BINS + 1, dtype=np.uint64)).reshape(BANDS, ROWS) | np.uint64(1)
+@cache
+def _factors(rows: int) -> np.ndarray:
+    return mixed(np.arange(1, BANDS * rows + 1, dtype=np.uint64)).reshape(BANDS, rows) | np.uint64(1)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
+def bands(hashes: np.ndarray, rows: int) -> np.ndarray:
     """One bucket hash per band of an ascending, non-empty set; a bucket names its band too."""
-    bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
+    n = BANDS * rows
+    bins = ((hashes >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
     own, first = np.unique(bins, return_index=True)
-    full = np.zeros(BINS, bool)
+    full = np.zeros(n, bool)
     full[own.astype(np.int64)] = True
-    value = np.zeros(BINS, np.uint64)
+    value = np.zeros(n, np.uint64)
     value[full] = mixed(hashes[first])
-    for probes in (_FIRST, _LATER):
-        empty = np.flatnonzero(~full) if probes is _FIRST else empty[~hit.any(axis=1)]
+    empty = np.flatnonzero(~full)
+    for tries in (24, 4096):
         if not len(empty):
             break
-        hit = full[probes[empty]]
+        probes = _probes(n, tries)[empty]
+        hit = full[probes]
+        found = hit.any(axis=1)
         at = hit.argmax(axis=1)
-        value[empty] = value[probes[empty, at]]  # without a hit a later line sets it
-        if probes is _LATER:
-            none = empty[~hit.any(axis=1)]
-            value[none] = value[np.flatnonzero(full)[0]]
-    return mixed((value.reshape(BANDS, ROWS) * _FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        value[empty[found]] = value[probes[found, at[found]]]
+        empty = empty[~found]
+    value[empty] = value[np.flatnonzero(full)[0]]
+    return mixed((value.reshape(BANDS, rows) * _factors(rows)).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def signatures(docs: DataFrame, key: str, text: str, size: int, rows: int) -> DataFrame:
     """key, n_shingles, digest of the set (null if empty) and bands of every row."""
     kind = docs.schema[key].dataType.simpleString()
 
@@ -114,7 +127,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     s = shingle_set(t.as_py() or b"", size)
                     n.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                    band.append(bands(s).view(np.int64) if len(s) else None)
+                    band.append(bands(s, rows).view(np.int64) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([run.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["key", "n", "digest", "bands"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("t")).mapInArrow(sign, f"key {kind}, n long, digest binary, bands array<long>")
@@ -159,7 +172,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id and kept of every row; linked at ``percent`` % Jaccard."""
-    rows = materialise(signatures(docs, key, text, shingle), "neardup-rows")
+    rows = materialise(signatures(docs, key, text, shingle, rows_of(percent)), "neardup-rows")
     named = rows.filter("digest is not null and key is not null")
     reps = named.groupBy("digest").agg(F.min("key").alias("rep"))
     own = materialise(named.join(reps, "digest").select("key", "rep", "n", F.when(F.col("key") == F.col("rep"), F.col("bands")).alias("bands")), "neardup-reps")
@@ -242,7 +255,7 @@ def _blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if i == j:
             test = np.triu(test, 1)
         if test.any():
-            band = np.array([bands(h) for h in sets_]).view(np.int64)
+            band = np.array([bands(h, rows_of(percent)) for h in sets_]).view(np.int64)
             here = int(np.flatnonzero(band[0] == bucket)[0])
             for t in range(here):
                 test &= band[x, t][:, None] != band[y, t]
