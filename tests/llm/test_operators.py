@@ -200,7 +200,7 @@ def test_forward_sums_segmentations(vocab):
 
 
 def _paragraphs(text):
-    return set(re.findall(r"[^\n]{1,256}\n?|\n", text))
+    return set(re.findall(r"[^\n.!?]{1,200}[\n.!?]*|[\n.!?]+", text))
 
 
 def _like(a, b):
