@@ -28,51 +28,64 @@ from pyspark.sql import functions as F
 PARAGRAPH = 200
 MAX_BUCKETS = 65_536
 ROWS_PER_BUCKET = 128
-#: Cells of each of the three sub-tables: of the fingerprint, then of a shard at each try.
-BASE_CELLS, SHARD_CELLS = 4, (8, 16, 64)
-ROUNDS = 12
-_CELL = "struct<n:bigint,k:bigint,c:bigint>"
+#: Bits that number the cells of each of the three sub-tables: of the fingerprint, then of a shard at
+#: each try. A digest is its own hash: every size reads other bits of it.
+BASE_BITS, SHARD_BITS = 2, (3, 4, 6)
+ROUNDS = 8
 
 
 def digests(text: str) -> str:
     """SQL: the distinct digests of a text's paragraphs."""
-    units = rf"regexp_extract_all({text}, '[^\\n.!?]{{1,{PARAGRAPH}}}[\\n.!?]*|[\\n.!?]+', 0)"
+    units = rf"regexp_extract_all({text}, '[^\n.!?]{{1,{PARAGRAPH}}}[\n.!?]*|[\n.!?]+', 0)"
     return f"array_distinct(transform({units}, u -> xxhash64(u)))"
 
 
-def _check(digest: str, salt: int) -> str:
-    return f"xxhash64({digest}, {salt}L)"
+def _in(digest: str, cell: str, j: int, bits: int, low: int) -> str:
+    """SQL: whether a digest lies in a cell of the j-th sub-table of 2**bits cells; from bit ``low`` on."""
+    return f"(shiftright({digest}, {low + j * bits}) & {2**bits - 1}L) = {cell}"
 
 
-def _entries(of: str, sign: int, salt: int) -> str:
-    """SQL: signed entries (n, k digest, c check) of an array of digests."""
-    return f"transform({of}, d -> named_struct('n', {sign}L, 'k', d, 'c', {_check('d', salt)}))"
+def _xor(of: str) -> str:
+    return f"aggregate({of}, 0L, (a, d) -> a ^ d)"
 
 
-def _lies(entry: str, cell: str, width: int) -> str:
-    """SQL: whether an entry lies in a cell, numbered over the three sub-tables."""
-    return f"pmod(shiftright({entry}.c, 16 * ({cell} div {width})), {width}L) = {cell} % {width}"
+def _checks(of: str) -> str:
+    return f"aggregate({of}, 0L, (a, d) -> a ^ xxhash64(d))"
 
 
-def _sketch(entries: str, width: int) -> str:
-    """SQL: the cells that hold the entries."""
-    zero = "named_struct('n', 0L, 'k', 0L, 'c', 0L)"
-    add = f"if({_lies('e', 'p', width)}, named_struct('n', a.n + e.n, 'k', a.k ^ e.k, 'c', a.c ^ e.c), a)"
-    return f"transform(sequence(0, {3 * width - 1}), p -> aggregate({entries}, {zero}, (a, e) -> {add}))"
+def _cell(plus: str, minus: str | None = None) -> str:
+    """SQL: the cell of some digests, less that of others."""
+    if minus is None:
+        return f"named_struct('n', size({plus}), 'k', {_xor(plus)}, 'c', {_checks(plus)})"
+    return f"named_struct('n', size({plus}) - size({minus}), 'k', {_xor(plus)} ^ {_xor(minus)}, 'c', {_checks(plus)} ^ {_checks(minus)})"
+
+
+def _sketch(of: str, bits: int, low: int, minus: str | None = None) -> str:
+    """SQL: the cells of an array of digests, the sub-tables one after the other."""
+    parts = []
+    for j in range(3):
+        members = [f"filter({x}, d -> {_in('d', 'p', j, bits, low)})" for x in (of, minus) if x]
+        both = f"element_at(transform(array(named_struct('a', {members[0]}, 'b', {members[-1]})), f -> {_cell('f.a', 'f.b' if minus else None)}), 1)"
+        parts.append(f"transform(sequence(0L, {2**bits - 1}L), p -> {both})")
+    return f"concat({', '.join(parts)})"
 
 
 def _minus(x: str, y: str) -> str:
     return f"zip_with({x}, {y}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
 
 
-def _peel(cells: str, width: int, salt: int) -> str:
-    """SQL: struct of the digests left over on the plus and the minus side, and whether all peeled."""
-    pure = f"array_distinct(filter(s.cells, x -> abs(x.n) = 1 and x.c = {_check('x.k', salt)}))"
-    take = f"if({_lies('q', 'i', width)}, named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'c', a.c ^ q.c), a)"
-    rest = f"transform(s.cells, (x, i) -> aggregate(g, x, (a, q) -> {take}))"
-    more = f"named_struct('cells', {rest}, 'plus', s.plus + size(filter(g, q -> q.n > 0)), 'minus', s.minus + size(filter(g, q -> q.n < 0)))"
-    step = f"element_at(transform(array({pure}), g -> if(size(g) = 0, s, {more})), 1)"
-    start = f"named_struct('cells', {cells}, 'plus', 0, 'minus', 0)"
+def _peel(cells: str, bits: int, low: int) -> str:
+    """SQL: struct of the digests left over on the plus and the minus side, and whether all peeled.
+
+    A round takes every cell's lone digest out of all its cells; a round that finds none is the last.
+    """
+    at = ", ".join(f"'i{j}', {j * 2**bits} + cast(shiftright(x.k, {low + j * bits}) & {2**bits - 1}L as int)" for j in range(3))
+    lone = f"transform(array_distinct(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k))), x -> named_struct('n', x.n, 'k', x.k, 'c', x.c, {at}))"
+    rest = "transform(s.cells, (x, i) -> aggregate(g, x, (a, q) -> if(q.i0 = i or q.i1 = i or q.i2 = i, named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'c', a.c ^ q.c), a)))"
+    more = f"named_struct('cells', {rest}, 'plus', s.plus + size(filter(g, q -> q.n > 0)), 'minus', s.minus + size(filter(g, q -> q.n < 0)), 'live', true)"
+    last = "named_struct('cells', s.cells, 'plus', s.plus, 'minus', s.minus, 'live', false)"
+    step = f"if(s.live, element_at(transform(array({lone}), g -> if(size(g) = 0, {last}, {more})), 1), s)"
+    start = f"named_struct('cells', {cells}, 'plus', 0, 'minus', 0, 'live', true)"
     done = "named_struct('plus', s.plus, 'minus', s.minus, 'done', forall(s.cells, x -> x.n = 0 and x.k = 0L and x.c = 0L))"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> {done})"
 
@@ -83,20 +96,29 @@ def _printed(cells: str, digest: str) -> str:
 
 
 def _likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Add ``name``: the Jaccard likeness of digests ``a`` and ``b`` as their sketches' difference tells."""
-    df = df.withColumn("_base", F.expr(_peel(_minus(f"cells_{a}", f"cells_{b}"), BASE_CELLS, 0)))
+    """Add ``name``: the Jaccard likeness of digests ``a`` and ``b`` as their sketches' difference tells.
+
+    A shard's two sketches are subtracted as they are filled: what ``b`` puts in has the sign -1.
+    """
+    df = df.withColumn("_base", F.expr(_peel(_minus(f"cells_{a}", f"cells_{b}"), BASE_BITS, 0)))
     # the number of shards, a power of two, for shards of four to eight digests
-    shards = f"shiftleft(1, greatest(0, cast(ceil(log2((size({a}) + size({b})) / 8 + 1e-9)) as int)))"
-    df = df.withColumn("_shards", F.expr(f"if(_base.done, cast(array() as array<struct<a:array<bigint>,b:array<bigint>>>), transform(sequence(0, {shards} - 1), t -> named_struct('a', filter({a}, d -> (shiftright(d, 40) & ({shards} - 1)) = t), 'b', filter({b}, d -> (shiftright(d, 40) & ({shards} - 1)) = t))))"))
+    df = df.withColumn("_last", F.expr(f"if(_base.done, -1, shiftleft(1, greatest(0, cast(ceil(log2((size({a}) + size({b})) / 8 + 1e-9)) as int))) - 1)"))
+    shard = "transform({0}, d -> named_struct('d', d, 't', cast(shiftright(d, 36) & _last as int)))"
+    df = df.withColumn("_a", F.expr(f"if(_last < 0, null, {shard.format(a)})")).withColumn("_b", F.expr(f"if(_last < 0, null, {shard.format(b)})"))
+    part = "transform(filter({0}, d -> d.t = t), d -> d.d)"
+    df = df.withColumn("_shards", F.expr(f"if(_last < 0, cast(array() as array<struct<a:array<bigint>,b:array<bigint>>>), transform(sequence(0, greatest(_last, 0)), t -> named_struct('a', {part.format('_a')}, 'b', {part.format('_b')})))"))
     whole = "named_struct('plus', size(array_except(h.a, h.b)), 'minus', size(array_except(h.b, h.a)), 'done', true)"
-    for salt, width in reversed([*enumerate(SHARD_CELLS, 1)]):
-        sketch = _minus(_sketch(_entries("h.a", 1, salt), width), _sketch(_entries("h.b", 1, salt), width))
-        tried = _peel(sketch, width, salt)
-        whole = f"element_at(transform(array({tried}), z{salt} -> if(z{salt}.done, z{salt}, {whole})), 1)"
+    low = 3 * BASE_BITS
+    tries = []
+    for n, bits in enumerate(SHARD_BITS):
+        tries.append((n, _peel(_sketch("h.a", bits, low, "h.b"), bits, low)))
+        low += 3 * bits if n == 0 else 0
+    for n, tried in reversed(tries):
+        whole = f"element_at(transform(array({tried}), z{n} -> if(z{n}.done, z{n}, {whole})), 1)"
     df = df.withColumn("_parts", F.expr(f"transform(_shards, h -> {whole})"))
     df = df.withColumn("_plus", F.expr("if(_base.done, _base.plus, aggregate(_parts, 0, (a, z) -> a + z.plus))"))
     union = F.size(b) + F.col("_plus")
-    return df.withColumn(name, F.when(union == 0, 1.0).otherwise((F.size(a) - F.col("_plus")) / union)).drop("_base", "_shards", "_parts", "_plus")
+    return df.withColumn(name, F.when(union == 0, 1.0).otherwise((F.size(a) - F.col("_plus")) / union)).drop("_base", "_last", "_a", "_b", "_shards", "_parts", "_plus")
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -139,7 +161,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     df = df.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next, 1, cast(n_chars div 3 as int)))"))
     df = df.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text")).alias("own"), F.expr(digests("edited")).alias("alt"), F.expr(digests("next")).alias("nxt"))
     for x in ("own", "alt", "nxt"):
-        df = df.withColumn(f"cells_{x}", F.expr(_sketch(_entries(x, 1, 0), BASE_CELLS)))
+        df = df.withColumn(f"cells_{x}", F.expr(_sketch(x, BASE_BITS, 0)))
     df = df.withColumn("fingerprint", F.expr(_printed("cells_own", "own"))).withColumn("edited_fingerprint", F.expr(_printed("cells_alt", "alt")))
     df = _likeness(_likeness(df, "own", "alt", "near_edited"), "own", "nxt", "near_next")
     return df.select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
