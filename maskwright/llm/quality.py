@@ -5,9 +5,11 @@ dictionary trained on good and one trained on bad labelled text; the difference
 over the text's size is the only feature. A rising curve fitted on labelled texts that neither
 dictionary saw turns it into a probability of label 1: isotonic regression, with a small part of a
 logistic curve to keep scores apart; a short text, which tells little, is drawn to the share of
-label 1. The classifier is fitted on a bounded sample: at most
-``per_class`` labelled rows of each class, the first by a hash of the id, and ``STRETCH`` bytes of
-each. Scoring is a map over the documents with no shuffle.
+label 1. The classifier is fitted on a bounded sample of rows: at most ``per_class`` labelled rows
+of each class, the first by a hash of the id, with their whole texts. Dictionaries learn from
+stretches drawn by a hash from all stretches of these texts, every text's first draw before any
+text's second; the curve is fitted on features of whole texts, computed on Spark. Scoring is a map
+over the documents with no shuffle.
 
 Defined results: a null text scores as the empty one; rows whose label is null or neither 0 nor 1
 teach nothing; with no usable label of a class every score is the share of label 1 among the
@@ -23,10 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import materialise
 from maskwright.llm.tokencount import runs
 
 LEVEL = 3
@@ -58,6 +62,10 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"\n".join(samples)[-size:]
 
 
+def stretches(text: bytes) -> list[bytes]:
+    return [text[i : i + STRETCH] for i in range(0, len(text), STRETCH)]
+
+
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
@@ -75,8 +83,7 @@ class Scorer:
         """(size by the bad - size by the good dictionary) / size of the text."""
         if not text or None in self.by:
             return 0.0
-        parts = [text[i : i + STRETCH] for i in range(0, len(text), STRETCH)]
-        good, bad = (sum(len(c.compress(x)) for x in parts) for c in self.by)
+        good, bad = (sum(len(c.compress(x)) for x in stretches(text)) for c in self.by)
         return (bad - good) / len(text)
 
     def score(self, text: bytes) -> float:
@@ -122,19 +129,38 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_i
     told = labels.filter(learnable & F.col(key).isNotNull()).select(F.col(key), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in told.filter("y in (0, 1)").groupBy("y").count().collect()}
     picked = [told.filter(F.col("y") == y).orderBy(order, key).limit(per_class) for y in (0, 1)]
-    sample = docs.select(F.col(key), F.substring(F.coalesce(F.col(text), F.lit("")).cast("binary"), 1, STRETCH).alias("t")).join(F.broadcast(picked[0].unionAll(picked[1])), key)
-    rows = [(r["y"], bytes(r["t"])) for r in sample.select("y", "t", order.alias("o")).orderBy("o", "t").collect()]
+    sample = docs.select(F.col(key), F.col(text).cast("binary").alias("t")).filter("length(t) > 0").join(F.broadcast(picked[0].unionAll(picked[1])), key)
+    sample = materialise(sample.select("y", "t", order.alias("o"), F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("id")), "quality-sample")
     # every fourth text calibrates, the others make the dictionaries
-    train, held = {0: [], 1: []}, []
-    for y, group in ((y, [t for x, t in rows if x == y and t]) for y in (0, 1)):
-        train[y] = [t for i, t in enumerate(group) if i % 4]
-        held += [(y, t) for i, t in enumerate(group) if i % 4 == 0]
+    turn = F.row_number().over(Window.partitionBy("y").orderBy("o", "h", "id"))
+    sample = sample.join(F.broadcast(sample.select("id", (turn % 4 == 1).alias("held"))), "id")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in runs(batch, 4_000_000):
+                for y, t, o in zip(*(c.to_pylist() for c in run.columns), strict=True):
+                    parts = stretches(t)
+                    drawn = sorted(range(len(parts)), key=lambda i: xxhash.xxh3_64_intdigest(f"{o}:{i}"))
+                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(parts), pa.int32()), pa.array([o] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([parts[i] for i in drawn], pa.binary())], ["y", "o", "draw", "t"])
+
+    drawn = sample.filter("not held").select("y", "t", "o").mapInArrow(draw, "y int, o long, draw int, t binary")
+    train = {y: [bytes(r["t"]) for r in drawn.filter(F.col("y") == y).orderBy("draw", "o", "t").limit(2 * per_class).collect()] for y in (0, 1)}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    if not train[0] or not train[1] or len({y for y, _ in held}) < 2:
-        return Model(b"", b"", 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    none = Model(b"", b"", 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    if not train[0] or not train[1]:
+        return none
     good, bad = _dictionary(train[1], dictionary_bytes), _dictionary(train[0], dictionary_bytes)
-    scorer = Scorer(Model(good, bad, 1.0, 0.0))
-    x, y = np.array([scorer.feature(t) for _, t in held]), np.array([y for y, _ in held], float)
+
+    def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(Model(good, bad, 1.0, 0.0))
+        for batch in batches:
+            for run in runs(batch, 4_000_000):
+                yield pa.RecordBatch.from_arrays([run.column(0), pa.array([scorer.feature(t) for t in run.column(1).to_pylist()], pa.float64())], ["y", "x"])
+
+    held = sorted((r["y"], r["x"]) for r in sample.filter("held").select("y", "t").mapInArrow(feature, "y int, x double").collect())
+    if len({y for y, _ in held}) < 2:
+        return none
+    x, y = np.array([x for _, x in held]), np.array([y for y, _ in held], float)
     # the sample is balanced, the labels are not
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
     return Model(good, bad, *_logistic(x, y, weight), *_isotonic(x, y, weight), share)

@@ -170,6 +170,23 @@ def test_language(corpus, edges, none, vocab):
     assert langid.keep_known(edges, model).columns == edges.columns
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """Bad texts differ from good ones only behind their first stretch."""
+    rng = random.Random(8)
+    data = []
+    for i in range(240):
+        head, tail = (" ".join(_text(rng, "en", 30) for _ in range(30))[: quality.STRETCH].ljust(quality.STRETCH, "x") for _ in range(2))
+        if i % 2:
+            tail = (" | *** ".join(rng.choice(["$$$", "@@", "##", "%%%%"]) + str(rng.randrange(99)) for _ in range(1500)))[: 3 * quality.STRETCH]
+        data.append((i, head + tail, 1 - i % 2))
+    docs = spark.createDataFrame(data, "doc_id long, text string, quality int")
+    fold = crc_fold(F.col("doc_id"), 3)
+    model = quality.fit(docs, docs.select("doc_id", "quality"), fold != 1, dictionary_bytes=8000)
+    assert b"***" in model.bad and b"***" not in model.good
+    held = rows(quality.classify(docs, model).join(docs, "doc_id").filter(fold == 1))
+    assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.97
+
+
 def test_forward_sums_segmentations(vocab):
     """The forward algorithm against an enumeration of all segmentations."""
     import sentencepiece
