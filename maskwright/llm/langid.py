@@ -5,8 +5,8 @@ probability in a language is the sum over all its segmentations into pieces, fou
 algorithm; a text's is the product over its words. The forward algorithm runs over the distinct
 words of a batch at once, one word length at a time, and remembers words within a worker.
 
-The classifier is fitted on a bounded sample: about ``per_lang`` documents of each language,
-chosen by a hash, and ``sample_chars`` of each; piece counts are summed on Spark. Prediction is a
+The classifier is fitted on a bounded sample of rows: about ``per_lang`` documents of each language,
+chosen by a hash, with their whole texts; piece counts are summed on Spark. Prediction is a
 map over whole texts with no shuffle.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; words of more than
@@ -17,6 +17,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,6 +33,7 @@ LONGEST = 48
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_CUT = re.compile(r"(?<=\w) (?=\w)")
 _loaded: dict[str, object] = {}
 
 
@@ -127,7 +129,16 @@ def pieces_of(text: str) -> list[str]:
     return words
 
 
-def fit(docs: DataFrame, learnable: Column, vocabulary: str, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1500, sample_chars: int = 4096, smoothing: float = 0.1) -> Model:
+def stretches(text: str, least: int = 100_000) -> Iterator[str]:
+    """The whole text in stretches of at least ``least`` characters, cut at single blanks between words."""
+    start = 0
+    while len(text) - start > least and (m := _CUT.search(text, start + least)):
+        yield text[start : m.start()]
+        start = m.end()
+    yield text[start:]
+
+
+def fit(docs: DataFrame, learnable: Column, vocabulary: str, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 1500, smoothing: float = 0.1) -> Model:
     """Fit piece probabilities from the text and language of rows for which ``learnable`` holds."""
     told = docs.filter(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r["lang"]: r["n"] for r in told.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -138,15 +149,16 @@ def fit(docs: DataFrame, learnable: Column, vocabulary: str, text: str = "text",
     # a document is in the sample if its hash is in its language's share
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / counts[k]))])
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("langid")), F.lit(1_000_003)) / 1_000_003.0
-    sample = told.filter(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, sample_chars).alias("text"))
+    sample = told.filter(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = _processor(vocabulary)
         for batch in batches:
             for run in runs(batch, 2_000_000):
                 found: Counter = Counter()
-                for k, ids in zip(run.column(0).to_pylist(), sp.encode(run.column(1).to_pylist(), num_threads=1), strict=True):
-                    found.update((k, i) for i in ids)
+                for k, t in zip(run.column(0).to_pylist(), run.column(1).to_pylist(), strict=True):
+                    for part in stretches(t):
+                        found.update((k, i) for i in sp.encode(part, num_threads=1))
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([i for _, i in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["lang", "piece", "n"])
 
     n = np.full((size, len(langs)), smoothing)

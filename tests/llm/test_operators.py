@@ -187,6 +187,21 @@ def test_quality_learns_from_whole_texts(spark):
     assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.97
 
 
+def test_language_learns_from_whole_texts(spark, vocab):
+    """Texts of all languages share a long head; their own words stand behind it."""
+    rng = random.Random(9)
+    head = _text(rng, "en", 1500)
+    docs = spark.createDataFrame([(i, head + " " + _text(rng, lang, 200), lang) for i, lang in enumerate(["en", "de", "fr"] * 8)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), vocab("piece_bpe_32k.model"))
+    alone = spark.createDataFrame([(i, _text(rng, lang, 40), lang) for i, lang in enumerate(["en", "de", "fr"] * 10)], "doc_id long, text string, lang string")
+    assert all(r["lang_pred"] == r["lang"] for r in rows(langid.identify(alone, model).join(alone, "doc_id")))
+    sp = langid._processor(vocab("piece_bpe_32k.model"))
+    text = "\n\n".join(_text(rng, lang, 400) + ".  5 %" for lang in ("en", "fr", "de") * 4) + "x" * 500
+    parts = list(langid.stretches(text, 700))
+    assert len(parts) > 5 and " ".join(parts) == text
+    assert [i for p in parts for i in sp.encode(p)] == sp.encode(text)
+
+
 def test_forward_sums_segmentations(vocab):
     """The forward algorithm against an enumeration of all segmentations."""
     import sentencepiece
