@@ -45,15 +45,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs:
     return left.select("src_null", "src", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", row: str | None = None) -> DataFrame:
     """Per document: key, size, source_size, target, taken (words) and copies (whole documents).
 
     A source whose target is above its size repeats its epoch; the last, partial epoch is cut at
     the exact word, so ``taken`` of a source sums to its target rounded down. ``copies`` counts a
-    document that the cut falls into as whole.
+    document that the cut falls into as whole. ``row`` names a column of distinct row ids, which is
+    carried along and decides last between equal rows.
     """
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, KEY_BITS // 4), 16, 10).cast("long")
-    sized = materialise(docs.select(F.col(key).alias("key"), F.col(source).isNull().alias("src_null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("h")), "mix-sizes")
+    own = [F.col(row).alias("row")] if row else []
+    sized = materialise(docs.select(*own, F.col(key).alias("key"), F.col(source).isNull().alias("src_null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("h")), "mix-sizes")
     ranges = max(1, min(MAX_RANGES, sized.count() // ROWS_PER_RANGE))
     sized = sized.withColumn("range", F.floor(F.col("h") / (2**KEY_BITS // ranges)).cast("long"))
 
@@ -62,19 +64,20 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     below = Window.partitionBy("src_null", "src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.join(goal, ["src_null", "src"]).select("src_null", "src", "range", "source_size", "target", F.coalesce(F.sum("range_size").over(below), F.lit(0)).alias("below"))
 
-    inside = Window.partitionBy("src_null", "src", "range").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("src_null", "src", "range").orderBy("h", "key", "size", *(["row"] if row else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(sums, ["src_null", "src", "range"]).withColumn("start", F.col("below") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     placed = placed.withColumn("epochs", epochs).withColumn("cut", F.floor("target") - F.col("epochs") * F.col("source_size") - F.col("start"))
     part = F.greatest(F.lit(0), F.least("size", "cut"))
-    return placed.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), (F.col("epochs") + (F.col("cut") > 0).cast("int")).cast("int").alias("copies"))
+    return placed.select(*([F.col("row").alias(row)] if row else []), F.col("key").alias(key), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), (F.col("epochs") + (F.col("cut") > 0).cast("int")).cast("int").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", **options: object) -> DataFrame:
     """The documents as often as the mix takes them, whole, with all their columns.
 
-    Keys are taken to be distinct here; a document without words goes if its place is past the cut.
+    Copies come back by an id written with the rows, so null and repeated keys take their own only; a
+    document without words goes if its place is past the cut.
     """
-    copies = mix(docs, key, **options).select(F.col(key).alias("_key"), F.col("copies").alias("_copies")).filter("_copies > 0")
-    joined = docs.join(copies, docs[key].eqNullSafe(copies["_key"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*(docs[c] for c in docs.columns))
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    copies = mix(numbered, key, row="_row", **options).select("_row", F.col("copies").alias("_copies")).filter("_copies > 0")
+    return numbered.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

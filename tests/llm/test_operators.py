@@ -118,6 +118,25 @@ def test_mixing_empty(none, spark):
     assert {(r["target"], r["taken"]) for r in rows(mixing.mix(blank))} == {(0.0, 0)}
 
 
+def test_mixed_documents_multiplicity(spark):
+    """Rows with null and with repeated ids come exactly as often as the mix takes them."""
+    rng = random.Random(4)
+    ids = [None] * 40 + [7] * 30 + list(range(100, 180))
+    data = [(d, f"t{i} " + "w " * rng.randrange(0, 9), rng.choice(["a", "b", "c", None])) for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    took = rows(mixing.mix(docs.withColumn("n", F.monotonically_increasing_id()), row="n"))
+    want = Counter()
+    for r, d in zip(sorted(took, key=lambda r: r["n"]), rows(docs), strict=True):
+        want[tuple(d.values())] += r["copies"]
+    got = Counter(tuple(r.values()) for r in rows(mixing.mixed_documents(docs)))
+    assert got == +want and max(got.values()) <= 3
+    words = Counter()
+    for (_, t, s), n in got.items():
+        words[s] += n * len(WORD.findall(t))
+    targets = {s: t for s, t in _targets(Counter({s: sum(len(WORD.findall(t)) for _, t, x in data if x == s) for s in ("a", "b", "c", None)})).items()}
+    assert all(words[s] < t + 10 for s, t in targets.items())
+
+
 # Quality and language --------------------------------------------------------------------------
 
 SYLLABLES = {"en": "the and ing er tion st re on ed ha".split(), "de": "der und sch ein ung ich en ü te zu".split(), "fr": "le et ment eau oi que é ai tion re".split()}
