@@ -197,13 +197,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their component; of a repeated key one row.
+    """The rows of ``docs``, all columns, that stand for their component.
 
-    Rows with a null key link with nothing and stay.
+    Rows link as rows, by an id written with them, so rows that share a key but have different
+    texts all take part; a component keeps the row with the smallest key, ties broken by text. Of
+    rows without a shingle only equal ones (key and text) collapse. Rows with a null key link with
+    nothing and stay.
     """
-    kept = near_duplicates(docs, key, text, shingle, percent).filter(f"kept and `{key}` is not null").select(F.col(key).alias("_kept")).distinct()
-    named = docs.join(kept, docs[key] == kept["_kept"], "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.filter(F.col(key).isNull()))
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-docs")
+    named = numbered.filter(F.col(key).isNotNull())
+    found = near_duplicates(named, "_row", text, shingle, percent).select("_row", "n_shingles", "component_id")
+    ties = named.select("_row", F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.xxhash64(*docs.columns).alias("_all"))
+    rows = found.join(ties, "_row").withColumn("_blank", F.col("n_shingles") == 0)
+    group = [F.when(~F.col("_blank"), F.col("component_id")).alias("_comp"), F.when(F.col("_blank"), F.struct("_key", "_text")).alias("_same")]
+    kept = rows.groupBy(*group).agg(F.min(F.struct("_key", "_text", "_all", "_row")).alias("_least")).select("_least._row")
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns).unionByName(numbered.filter(F.col(key).isNull()).select(*docs.columns))
 
 
 def _rounds(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

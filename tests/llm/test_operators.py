@@ -399,6 +399,17 @@ def test_near_duplicate_edges(edges, none):
     assert sorted(r["doc_id"] or 0 for r in rows(kept)) == [0, 0, 1, 3, 4, 5, 6, 7, 9, 10, 11, 12]
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    """Of rows that share an id only equal or linked texts collapse."""
+    rng = random.Random(6)
+    x, y, z = (_text(rng, "en", 50) for _ in range(3))
+    data = [(5, x, "a"), (5, y, "a"), (5, y, "a"), (6, x + " tail", "a"), (4, z, "b"), (7, z, "b"), (8, None, "c"), (8, None, "c"), (8, "", "c"), (None, x, "d")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    want = sorted([(5, x, "a"), (5, y, "a"), (4, z, "b"), (8, None, "c"), (8, "", "c"), (None, x, "d")], key=str)
+    for d in (docs, spark.createDataFrame(data[::-1], docs.schema).repartition(3)):
+        assert sorted((tuple(r.values()) for r in rows(neardup.one_of_each(d))), key=str) == want
+
+
 # Top-k --------------------------------------------------------------------------------------------
 
 
