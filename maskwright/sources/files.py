@@ -47,9 +47,9 @@ def tidy(text: str) -> str:
 
 
 def _runs(xml: str, mark: str) -> str:
-    """Text of w:t or a:t runs; paragraphs end lines, cells and tabs are tabs, breaks are line ends."""
+    """Text of w:t (also deleted) or a:t runs; paragraphs end lines, cells and tabs are tabs, breaks are line ends."""
     out = []
-    for m in re.finditer(rf"<{mark}:t(?:\s[^>]*)?>(.*?)</{mark}:t>|<({mark}:tab|{mark}:br|{mark}:cr)\b[^>]*/>|</({mark}:p|{mark}:tc)>", xml, re.S):
+    for m in re.finditer(rf"<{mark}:(?:t|delText)(?:\s[^>]*)?>([^<]*)</{mark}:(?:t|delText)>|<({mark}:tab|{mark}:br|{mark}:cr)\b[^>]*/>|</({mark}:p|{mark}:tc)>", xml, re.S):
         if m[1] is not None:
             out.append(entities(m[1]))
         else:
@@ -63,17 +63,28 @@ def _numbered(names: list[str], pattern: str) -> list[str]:
     return [n for _, n in sorted(found)]
 
 
+def _strings(xml: str) -> str:
+    """Text of the runs of a shared or inline string or a cell comment, without phonetic guides."""
+    return "".join(map(entities, re.findall(r"<t(?:\s[^>]*)?>([^<]*)</t>", re.sub(r"<rPh\b.*?</rPh>", "", xml, flags=re.S))))
+
+
+def _comment(xml: str, tag: str) -> str:
+    """Texts of a comment part's plain text elements, a line each."""
+    return "\n".join(map(entities, re.findall(rf"<{tag}(?:\s[^>]*)?>([^<]*)</{tag}>", xml)))
+
+
 def _sheet(xml: str, shared: list[str]) -> str:
     lines = []
     for row in re.findall(r"<row\b[^>]*>(.*?)</row>", xml, re.S):
         cells = []
-        for attrs, body in re.findall(r"<c\b([^>]*)>(.*?)</c>", row, re.S):
-            kind = re.search(r't="(\w+)"', attrs)
-            value = re.search(r"<v>(.*?)</v>", body, re.S)
-            if kind and kind[1] == "s" and value and int(value[1]) < len(shared):
-                cells.append(shared[int(value[1])])
+        for attrs, body in re.findall(r"<c\b([^>]*?)(?:/>|>(.*?)</c>)", row, re.S):
+            kind = re.search(r'\bt="(\w+)"', attrs)
+            value = re.search(r"<v(?:\s[^>]*)?>([^<]*)</v>", body)
+            if kind and kind[1] == "s":
+                at = value[1].strip() if value else ""
+                cells.append(shared[int(at)] if at.isdecimal() and int(at) < len(shared) else "")
             elif kind and kind[1] == "inlineStr":
-                cells.append("".join(map(entities, re.findall(r"<t(?:\s[^>]*)?>(.*?)</t>", body, re.S))))
+                cells.append(_strings(body))
             elif value:
                 cells.append(entities(value[1]))
         lines.append("\t".join(c for c in cells if c.strip()))
@@ -101,12 +112,15 @@ def office_text(data: bytes, kind: str) -> tuple[str, str | None]:
         order = [n for n in names if n == "word/document.xml"] + [n for p in (r"word/header(\d*)\.xml", r"word/footer(\d*)\.xml", r"word/footnotes()\.xml", r"word/endnotes()\.xml", r"word/comments()\.xml") for n in _numbered(names, p)]
         out = [_runs(parts[n], "w") for n in order]
     elif kind == "pptx":
-        order = [n for p in (r"ppt/slides/slide(\d+)\.xml", r"ppt/notesSlides/notesSlide(\d+)\.xml", r"ppt/charts/chart(\d+)\.xml", r"ppt/comments/comment(\d+)\.xml") for n in _numbered(names, p)]
+        order = [n for p in (r"ppt/slides/slide(\d+)\.xml", r"ppt/notesSlides/notesSlide(\d+)\.xml", r"ppt/charts/chart(\d+)\.xml") for n in _numbered(names, p)]
         out = [_runs(parts[n], "a") for n in order]
+        # older comments have plain text, newer ones paragraphs
+        out += [f"{_comment(parts[n], 'p:text')}\n{_runs(parts[n], 'a')}" for n in sorted(names) if re.fullmatch(r"ppt/comments/[^/]+\.xml", n)]
     else:
-        strings = re.sub(r"<rPh\b.*?</rPh>", "", parts.get("xl/sharedStrings.xml", ""), flags=re.S)
-        shared = ["".join(map(entities, re.findall(r"<t(?:\s[^>]*)?>(.*?)</t>", x, re.S))) for x in re.findall(r"<si>(.*?)</si>", strings, re.S)]
+        shared = [_strings(x) for x in re.findall(r"<si\s*/>|<si(?:\s[^>]*)?>(.*?)</si>", parts.get("xl/sharedStrings.xml", ""), re.S)]
         out = [_sheet(parts[n], shared) for n in _numbered(names, r"xl/worksheets/sheet(\d+)\.xml")]
+        out += [_runs(parts[n], "a") for n in _numbered(names, r"xl/charts/chart(\d+)\.xml")]
+        out += [_strings(parts[n]) or _comment(parts[n], "text") for n in sorted(names) if re.fullmatch(r"xl/(comments\d*|threadedComments/[^/]+)\.xml", n)]
     for part, tags in (("docProps/core.xml", "creator|lastModifiedBy|title|subject|keywords|description|category"), ("docProps/app.xml", "Company|Manager")):
         out += [entities(v) for _, v in re.findall(rf"<(?:\w+:)?({tags})(?:\s[^>]*)?>(.*?)</", parts.get(part, ""), re.S)]
     text = tidy("\n".join(x for x in out if x.strip()))

@@ -39,6 +39,20 @@ def test_office_files(spark, tmp_path):
     assert files.entities("&#xZZ; &nope; &#65;") == "&#xZZ; &nope; A"
 
 
+def test_office_comments_charts_and_empty_cells(tmp_path):
+    def text(name, parts):
+        _zip(tmp_path / name, parts)
+        return files.office_text((tmp_path / name).read_bytes(), name[-4:])[1].split("\n")
+
+    shared = '<sst><si/><si a="1"><t>one</t></si><si><t>two</t><rPh><t>no</t></rPh></si></sst>'
+    sheet = '<row r="1"><c r="A1" s="1"/><c r="B1" t="s"><v>1</v></c><c r="C1" s="1"/><c r="D1" t="s"><v>2</v></c><c t="s"><v>9</v></c></row>'
+    more = {"xl/comments1.xml": "<comment><text><r><t>note</t></r></text></comment>", "xl/threadedComments/threadedComment1.xml": "<threadedComment><text>said &amp; done</text></threadedComment>", "xl/charts/chart2.xml": "<a:p><a:r><a:t>Chart</a:t></a:r></a:p>"}
+    assert [x for x in text("a.xlsx", {"xl/sharedStrings.xml": shared, "xl/worksheets/sheet1.xml": sheet, **more}) if x] == ["one\ttwo", "Chart", "note", "said & done"]
+    pptx = text("a.pptx", {"ppt/slides/slide1.xml": "<a:p><a:t>S</a:t></a:p>", "ppt/comments/comment1.xml": "<p:cm><p:text>old</p:text></p:cm>", "ppt/comments/modernComment_1_A.xml": "<a:p><a:t>new</a:t></a:p>"})
+    assert [x for x in pptx if x] == ["S", "old", "new"]
+    assert text("a.docx", {"word/document.xml": '<w:p><w:t/><w:t>in</w:t><w:del><w:r><w:delText xml:space="preserve"> out</w:delText></w:r></w:del></w:p>'}) == ["in out"]
+
+
 def test_corpus(spark, tmp_path):
     lines = [{"recordType": "metadata", "schemaVersion": 1}, {"recordType": "example", "id": "1", "text": "aü b", "goldSpans": [{"start": 4, "end": 5, "entity_type": "X", "text": "b"}]}, {"recordType": "example", "id": "2", "text": "aü", "goldSpans": [{"start": 0, "end": 2, "entity_type": "X", "text": "a"}]}]
     (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)))
