@@ -312,6 +312,24 @@ def normalized_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(T.normalized_key("coalesce(substring(text, 1, 200), ' ')")).alias("normalized"))
 
 
+@query(f"select conv_id, turn, md5({O.key('coalesce(text, chr(32))')}) as key_digest from conversations")
+def turn_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the normalised whole text of every turn."""
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(f"md5(cast({T.normalized_key("coalesce(text, ' ')")} as binary))").alias("key_digest"))
+
+
+@query(
+    """with t as (select doc_id, coalesce(text, '') as body from documents),
+    p as (select doc_id, body, q, cast(length(body) * (q - 1) // 4 as bigint) as a, cast(length(body) * q // 4 as bigint) as b from t, (values (1), (2), (3), (4)) as v(q))
+    select doc_id, q as quarter, cast(strlen(substr(body, 1, b)) as integer) as byte_end, cast(b as integer) as char_end, md5(substr(body, a + 1, b - a)) as slice_digest from p"""
+)
+def text_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte and character ends of each text's quarters, and the digests of their byte slices."""
+    df = documents(spark, sf_dir).select("doc_id", F.expr("coalesce(text, '')").alias("body"), F.explode(F.expr("sequence(1, 4)")).alias("quarter"))
+    ends = [F.expr(T.char_to_byte("body", f"cast(cast(length(body) as long) * {q} div 4 as int)")).alias(n) for n, q in (("s", "(quarter - 1)"), ("e", "quarter"))]
+    return df.select("doc_id", "quarter", "body", *ends).select("doc_id", "quarter", F.col("e").alias("byte_end"), F.expr(T.byte_to_char("body", "e")).alias("char_end"), F.expr(f"md5(cast({T.byte_slice('body', 's', 'e')} as binary))").alias("slice_digest"))
+
+
 # NER, pages, code and streams -------------------------------------------------------------------
 
 

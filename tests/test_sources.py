@@ -98,3 +98,30 @@ def test_registry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert names["detect_documents"](spark, "/root/testdata/sf0.001").filter(F.col("start") >= F.col("end")).isEmpty()
+
+
+def _same(spark, tmp_path, name, tables):
+    """The query's rows are those of its SQL over the given tables; the rows."""
+    import duckdb
+
+    db = duckdb.connect()
+    for table, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{table}.parquet"))
+        db.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    got = sorted((tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(db.execute(__spark_entry__.oracle_sql()[name]).fetchall(), key=str)
+    return got
+
+
+def test_turn_keys_take_whole_texts(spark, tmp_path):
+    long = "Word  and\u00a0Blank " * 50
+    turns = spark.createDataFrame([(1, 1, long + "x"), (1, 2, long + "y"), (1, 3, " " + long.upper() + "X\n"), (1, 4, None)], "conv_id long, turn int, text string")
+    key = {r[1]: r[2] for r in _same(spark, tmp_path, "turn_keys", {"conversations": turns})}
+    assert key[1] != key[2] and key[1] == key[3]
+
+
+def test_text_offsets_reach_the_end(spark, tmp_path):
+    text = "ñ" * 150 + "a😀" * 201
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "é")], "doc_id long, text string")
+    got = {r[:2]: r[2:4] for r in _same(spark, tmp_path, "text_offsets", {"documents": docs})}
+    assert got[1, 4] == (len(text.encode()), len(text)) and got[2, 4] == (0, 0) and got[3, 4] == (2, 1)
