@@ -1,18 +1,19 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in SQL only.
 
 A text is cut into paragraphs (a line or sentence with its end, at most ``PARAGRAPH`` characters),
-and each distinct paragraph's 64-bit digest is put into three cells of a small table; a cell holds
-a count and the exclusive or of its digests and of their check hashes. Sketches of two versions
-subtract cell by cell. Peeling then finds the cells left with one digest, takes it out of its
-other cells, and so recovers the digests that differ. If cells remain, larger sketches are taken:
-the digests are split by hash into shards of about eight, each with a table of its own that grows
-until it peels, so the work stays linear in the paragraphs' number times a constant per shard.
-A shard that resists every size (not seen; about as likely as a hash collision) is compared by
-its digest lists, which keeps the result whole.
+and each distinct paragraph's 63-bit digest is put into one cell of each of three sub-tables; a cell
+holds a count and the exclusive or of its digests and of their check hashes. Sketches of two
+versions subtract cell by cell. Peeling then finds the cells left with one digest, takes it out of
+its other cells, and so recovers the digests that differ. If cells remain, larger sketches are
+taken: the digests are sorted, which brings the shards (the digests that share their first bits,
+about eight) together, and each shard gets a table of its own, which doubles until it peels.
+Sorting aside, the work is a constant for each digest. Every size places digests by a hash of its
+own, so a shard that one size cannot decode is dealt anew by the next.
 
 The next document is found by ranges of the key: quantiles cut the keys into at most
 ``MAX_BUCKETS`` buckets, each bucket is ordered by itself, and the first document of a bucket
-is also sent to the bucket that comes before it in descending order.
+is also sent to the bucket that comes before it in descending order. Digests and cells travel
+with a text, so they are taken once.
 
 Defined results: a null text is empty; an empty text has no paragraph, and two such are alike (1);
 a row with a null key has a fingerprint but no next document, hence null edited and near columns;
@@ -28,66 +29,63 @@ from pyspark.sql import functions as F
 PARAGRAPH = 200
 MAX_BUCKETS = 65_536
 ROWS_PER_BUCKET = 128
-#: Bits that number the cells of each of the three sub-tables: of the fingerprint, then of a shard at
-#: each try. A digest is its own hash: every size reads other bits of it.
-BASE_BITS, SHARD_BITS = 2, (3, 4, 6)
-ROUNDS = 8
+#: Bits that number the cells of each sub-table: of the fingerprint, then of a shard, from the first try to the last.
+BASE_BITS, FIRST_BITS, LAST_BITS = 2, 3, 20
+ROUNDS = 10
 
 
 def digests(text: str) -> str:
-    """SQL: the distinct digests of a text's paragraphs."""
+    """SQL: the distinct digests of a text's paragraphs; their last bit is 0, it tells two sides apart later."""
     units = rf"regexp_extract_all({text}, '[^\n.!?]{{1,{PARAGRAPH}}}[\n.!?]*|[\n.!?]+', 0)"
-    return f"array_distinct(transform({units}, u -> xxhash64(u)))"
+    return f"array_distinct(transform({units}, u -> xxhash64(u) & -2L))"
 
 
-def _in(digest: str, cell: str, j: int, bits: int, low: int) -> str:
-    """SQL: whether a digest lies in a cell of the j-th sub-table of 2**bits cells; from bit ``low`` on."""
-    return f"(shiftright({digest}, {low + j * bits}) & {2**bits - 1}L) = {cell}"
-
-
-def _xor(of: str) -> str:
-    return f"aggregate({of}, 0L, (a, d) -> a ^ d)"
+def _placed(entries: str, bits: str) -> str:
+    """SQL: digest, sign, check hash and a cell per sub-table of entries: digests, those to take away with their last bit set.
 
+    A digest's cells are parts of its hash for this number of bits.
+    """
+    cells = ", ".join(f"'i{j}', shiftright(h, {20 * j}) & (shiftleft(1L, {bits}) - 1L)" for j in range(3))
+    one = f"named_struct('d', e & -2L, 's', if((e & 1L) = 0L, 1, -1), 'c', xxhash64(e & -2L), {cells})"
+    return f"transform({entries}, e -> element_at(transform(array(xxhash64(e & -2L, {bits})), h -> {one}), 1))"
 
-def _checks(of: str) -> str:
-    return f"aggregate({of}, 0L, (a, d) -> a ^ xxhash64(d))"
 
+def _sketch(entries: str, bits: str) -> str:
+    """SQL: the cells of some entries, the sub-tables one after the other."""
+    zero = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
+    cell = lambda j: f"aggregate(qs, {zero}, (a, q) -> if(q.i{j} = p, named_struct('n', a.n + q.s, 'k', a.k ^ q.d, 'c', a.c ^ q.c), a))"
+    tables = ", ".join(f"transform(sequence(0L, shiftleft(1L, {bits}) - 1L), p -> {cell(j)})" for j in range(3))
+    return f"element_at(transform(array({_placed(entries, bits)}), qs -> concat({tables})), 1)"
 
-def _cell(plus: str, minus: str | None = None) -> str:
-    """SQL: the cell of some digests, less that of others."""
-    if minus is None:
-        return f"named_struct('n', size({plus}), 'k', {_xor(plus)}, 'c', {_checks(plus)})"
-    return f"named_struct('n', size({plus}) - size({minus}), 'k', {_xor(plus)} ^ {_xor(minus)}, 'c', {_checks(plus)} ^ {_checks(minus)})"
 
+def _minus(x: str, y: str) -> str:
+    return f"zip_with({x}, {y}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
 
-def _sketch(of: str, bits: int, low: int, minus: str | None = None) -> str:
-    """SQL: the cells of an array of digests, the sub-tables one after the other."""
-    parts = []
-    for j in range(3):
-        members = [f"filter({x}, d -> {_in('d', 'p', j, bits, low)})" for x in (of, minus) if x]
-        both = f"element_at(transform(array(named_struct('a', {members[0]}, 'b', {members[-1]})), f -> {_cell('f.a', 'f.b' if minus else None)}), 1)"
-        parts.append(f"transform(sequence(0L, {2**bits - 1}L), p -> {both})")
-    return f"concat({', '.join(parts)})"
 
+def _peel(cells: str, bits: str) -> str:
+    """SQL: struct of the numbers of digests recovered on the plus and the minus side, and whether all peeled.
 
-def _minus(x: str, y: str) -> str:
-    return f"zip_with({x}, {y}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
+    A round takes every cell's lone digest out of all its cells. It is the last if it finds none, or if
+    what it found makes up what all cells hold together, counts, digests and check hashes.
+    """
+    lone = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k)), x -> x.k | if(x.n < 0, 1L, 0L)))"
+    sums = lambda of, n, k, c: f"aggregate({of}, named_struct('n', 0, 'k', 0L, 'c', 0L), (a, x) -> named_struct('n', a.n + {n}, 'k', a.k ^ {k}, 'c', a.c ^ {c}))"
+    whole = f"{sums('g', 'if((x & 1L) = 0L, 1, -1)', '(x & -2L)', 'xxhash64(x & -2L)')} = {sums(f'slice(s.cells, 1, cast(shiftleft(1, {bits}) as int))', 'x.n', 'x.k', 'x.c')}"
+    new = "named_struct('cells', {0}, 'plus', s.plus + size(filter(g, x -> (x & 1L) = 0L)), 'minus', s.minus + size(filter(g, x -> (x & 1L) = 1L)), 'live', {1}, 'done', {2})"
+    none = "named_struct('cells', s.cells, 'plus', s.plus, 'minus', s.minus, 'live', false, 'done', forall(s.cells, x -> x.n = 0 and x.k = 0L and x.c = 0L))"
+    step = f"element_at(transform(array({lone}), g -> if(size(g) = 0, {none}, if({whole}, {new.format('s.cells', 'false', 'true')}, {new.format(_minus('s.cells', _sketch('g', bits)), 'true', 'false')}))), 1)"
+    start = f"named_struct('cells', {cells}, 'plus', 0, 'minus', 0, 'live', true, 'done', false)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.live, {step}, s), s -> named_struct('plus', s.plus, 'minus', s.minus, 'done', s.done))"
 
 
-def _peel(cells: str, bits: int, low: int) -> str:
-    """SQL: struct of the digests left over on the plus and the minus side, and whether all peeled.
+def _decoded(shard: str) -> str:
+    """SQL: what a shard's sketches tell, the size doubled until their difference peels.
 
-    A round takes every cell's lone digest out of all its cells; a round that finds none is the last.
+    A shard is an array of entries, those of the second side with their last bit set: the sketches of
+    both sides are subtracted as they are filled.
     """
-    at = ", ".join(f"'i{j}', {j * 2**bits} + cast(shiftright(x.k, {low + j * bits}) & {2**bits - 1}L as int)" for j in range(3))
-    lone = f"transform(array_distinct(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k))), x -> named_struct('n', x.n, 'k', x.k, 'c', x.c, {at}))"
-    rest = "transform(s.cells, (x, i) -> aggregate(g, x, (a, q) -> if(q.i0 = i or q.i1 = i or q.i2 = i, named_struct('n', a.n - q.n, 'k', a.k ^ q.k, 'c', a.c ^ q.c), a)))"
-    more = f"named_struct('cells', {rest}, 'plus', s.plus + size(filter(g, q -> q.n > 0)), 'minus', s.minus + size(filter(g, q -> q.n < 0)), 'live', true)"
-    last = "named_struct('cells', s.cells, 'plus', s.plus, 'minus', s.minus, 'live', false)"
-    step = f"if(s.live, element_at(transform(array({lone}), g -> if(size(g) = 0, {last}, {more})), 1), s)"
-    start = f"named_struct('cells', {cells}, 'plus', 0, 'minus', 0, 'live', true)"
-    done = "named_struct('plus', s.plus, 'minus', s.minus, 'done', forall(s.cells, x -> x.n = 0 and x.k = 0L and x.c = 0L))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> {done})"
+    tried = f"element_at(transform(array({shard}), v -> {_peel(_sketch('v', 'b'), 'b')}), 1)"
+    return f"aggregate(sequence({FIRST_BITS}, {LAST_BITS}), named_struct('plus', 0, 'minus', 0, 'done', false), (z, b) -> if(z.done, z, {tried}))"
 
 
 def _printed(cells: str, digest: str) -> str:
@@ -96,34 +94,24 @@ def _printed(cells: str, digest: str) -> str:
 
 
 def _likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """Add ``name``: the Jaccard likeness of digests ``a`` and ``b`` as their sketches' difference tells.
-
-    A shard's two sketches are subtracted as they are filled: what ``b`` puts in has the sign -1.
-    """
-    df = df.withColumn("_base", F.expr(_peel(_minus(f"cells_{a}", f"cells_{b}"), BASE_BITS, 0)))
-    # the number of shards, a power of two, for shards of four to eight digests
-    df = df.withColumn("_last", F.expr(f"if(_base.done, -1, shiftleft(1, greatest(0, cast(ceil(log2((size({a}) + size({b})) / 8 + 1e-9)) as int))) - 1)"))
-    shard = "transform({0}, d -> named_struct('d', d, 't', cast(shiftright(d, 36) & _last as int)))"
-    df = df.withColumn("_a", F.expr(f"if(_last < 0, null, {shard.format(a)})")).withColumn("_b", F.expr(f"if(_last < 0, null, {shard.format(b)})"))
-    part = "transform(filter({0}, d -> d.t = t), d -> d.d)"
-    df = df.withColumn("_shards", F.expr(f"if(_last < 0, cast(array() as array<struct<a:array<bigint>,b:array<bigint>>>), transform(sequence(0, greatest(_last, 0)), t -> named_struct('a', {part.format('_a')}, 'b', {part.format('_b')})))"))
-    whole = "named_struct('plus', size(array_except(h.a, h.b)), 'minus', size(array_except(h.b, h.a)), 'done', true)"
-    low = 3 * BASE_BITS
-    tries = []
-    for n, bits in enumerate(SHARD_BITS):
-        tries.append((n, _peel(_sketch("h.a", bits, low, "h.b"), bits, low)))
-        low += 3 * bits if n == 0 else 0
-    for n, tried in reversed(tries):
-        whole = f"element_at(transform(array({tried}), z{n} -> if(z{n}.done, z{n}, {whole})), 1)"
-    df = df.withColumn("_parts", F.expr(f"transform(_shards, h -> {whole})"))
-    df = df.withColumn("_plus", F.expr("if(_base.done, _base.plus, aggregate(_parts, 0, (a, z) -> a + z.plus))"))
+    """Add ``name``: the Jaccard likeness of digests ``a`` and ``b`` as their sketches' difference tells."""
+    df = df.withColumn("_base", F.expr(_peel(_minus(f"cells_{a}", f"cells_{b}"), str(BASE_BITS))))
+    # sorted, the digests of a shard (those that share their first bits) stand together
+    df = df.withColumn("_all", F.expr(f"if(_base.done, cast(array() as array<bigint>), sort_array(concat({a}, transform({b}, d -> d | 1L))))"))
+    df = df.withColumn("_skip", F.expr("64 - greatest(1, cast(ceil(log2(size(_all) / 8 + 1e-9)) as int))"))
+    df = df.withColumn("_from", F.expr("filter(transform(_all, (d, i) -> if(i = 0 or shiftright(d, _skip) != shiftright(_all[greatest(i - 1, 0)], _skip), i, -1)), i -> i >= 0)"))
+    df = df.withColumn("_parts", F.expr(f"transform(_from, (f, i) -> {_decoded('transform(sequence(f, if(i + 1 < size(_from), _from[i + 1], size(_all)) - 1), m -> _all[m])')})"))
+    told = "aggregate(_parts, named_struct('plus', 0, 'done', true), (x, z) -> named_struct('plus', x.plus + z.plus, 'done', x.done and z.done))"
+    df = df.withColumn("_told", F.expr(f"if(_base.done, named_struct('plus', _base.plus, 'done', true), {told})"))
+    df = df.withColumn("_plus", F.expr("if(_told.done, _told.plus, raise_error('a difference of sketches did not peel'))"))
     union = F.size(b) + F.col("_plus")
-    return df.withColumn(name, F.when(union == 0, 1.0).otherwise((F.size(a) - F.col("_plus")) / union)).drop("_base", "_last", "_a", "_b", "_shards", "_parts", "_plus")
+    return df.withColumn(name, F.when(union == 0, 1.0).otherwise((F.size(a) - F.col("_plus")) / union)).drop("_base", "_all", "_skip", "_from", "_parts", "_told", "_plus")
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text and next (the text of the next document by descending key, the first's after the last)."""
+    """key, text, own (digests), cells_own and next (struct of these three of the next document by descending key, the first's after the last)."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    told = lambda df: df.withColumn("own", F.expr(digests("text"))).withColumn("cells_own", F.expr(_sketch("own", str(BASE_BITS))))
     placed = rows.filter("key is not null")
     n = placed.select("key").count()
     buckets = max(1, min(MAX_BUCKETS, n // ROWS_PER_BUCKET))
@@ -134,11 +122,14 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     heads = placed.groupBy("bucket").agg(F.max("key").alias("key"))  # at most MAX_BUCKETS plus 256 rows
     every = Window.partitionBy()
     heads = heads.select("key", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(every)).alias("to"))
-    guests = placed.join(F.broadcast(heads), "key").select("key", "text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
-    both = placed.select("key", "text", "bucket", F.lit(False).alias("guest")).unionByName(guests)
+    # a head goes to its own bucket and, as a guest, to the one before
+    sent = told(placed.join(F.broadcast(heads), "key", "left"))
+    sent = sent.withColumn("_to", F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("to").alias("b"), F.lit(True).alias("guest"))))))
     order = Window.partitionBy("bucket").orderBy("guest", F.desc("key"), "text")
-    found = both.withColumn("next", F.lead("text").over(order)).filter("not guest").select("key", "text", "next")
-    return found.unionAll(rows.filter("key is null").select("key", "text", F.lit(None).cast("string").alias("next")))
+    both = sent.select("key", "text", "own", "cells_own", F.col("_to.b").alias("bucket"), F.col("_to.guest").alias("guest"))
+    found = both.withColumn("next", F.lead(F.struct("text", "own", "cells_own")).over(order)).filter("not guest").select("key", "text", "own", "cells_own", "next")
+    kind = found.schema["next"].dataType.simpleString()
+    return found.unionAll(told(rows.filter("key is null")).select("key", "text", "own", "cells_own", F.lit(None).cast(kind).alias("next")))
 
 
 def _bucket(key: Column, cuts: list[float], fine: int) -> Column:
@@ -158,10 +149,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The edited text has its last third of code points replaced by as many of the next document.
     """
     df = with_next(docs, key, text).withColumn("n_chars", F.length("text").cast("long"))
-    df = df.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next, 1, cast(n_chars div 3 as int)))"))
-    df = df.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text")).alias("own"), F.expr(digests("edited")).alias("alt"), F.expr(digests("next")).alias("nxt"))
-    for x in ("own", "alt", "nxt"):
-        df = df.withColumn(f"cells_{x}", F.expr(_sketch(x, BASE_BITS, 0)))
+    df = df.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next.text, 1, cast(n_chars div 3 as int)))"))
+    df = df.select("key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "cells_own", F.expr(digests("edited")).alias("alt"), F.col("next.own").alias("nxt"), F.col("next.cells_own").alias("cells_nxt"))
+    df = df.withColumn("cells_alt", F.expr(_sketch("alt", str(BASE_BITS))))
     df = df.withColumn("fingerprint", F.expr(_printed("cells_own", "own"))).withColumn("edited_fingerprint", F.expr(_printed("cells_alt", "alt")))
     df = _likeness(_likeness(df, "own", "alt", "near_edited"), "own", "nxt", "near_next")
     return df.select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
