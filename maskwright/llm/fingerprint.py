@@ -103,7 +103,7 @@ def _likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     df = df.withColumn("_parts", F.expr(f"transform(_from, (f, i) -> {_decoded('transform(sequence(f, if(i + 1 < size(_from), _from[i + 1], size(_all)) - 1), m -> _all[m])')})"))
     told = "aggregate(_parts, named_struct('plus', 0, 'done', true), (x, z) -> named_struct('plus', x.plus + z.plus, 'done', x.done and z.done))"
     df = df.withColumn("_told", F.expr(f"if(_base.done, named_struct('plus', _base.plus, 'done', true), {told})"))
-    df = df.withColumn("_plus", F.expr("if(_told.done, _told.plus, raise_error('a difference of sketches did not peel'))"))
+    df = df.withColumn("_plus", F.expr("if(not _told.done, raise_error('a difference of sketches did not peel'), _told.plus)"))
     union = F.size(b) + F.col("_plus")
     return df.withColumn(name, F.when(union == 0, 1.0).otherwise((F.size(a) - F.col("_plus")) / union)).drop("_base", "_all", "_skip", "_from", "_parts", "_told", "_plus")
 
