@@ -1,16 +1,17 @@
 """Packing documents into windows of equal capacity by Karmarkar-Karp multiway differencing.
 
 Documents are encoded inside tasks and cut: full windows first, the rest into pieces of at most
-``max_piece`` tokens. The pieces, narrow rows without ids, are dealt by hash into shards of a
-bounded expected size; a shard is packed by differencing. Each piece starts as a partition of k
+``max_piece`` tokens. The pieces, narrow rows without ids, are dealt by their place in the table into
+shards of a bounded expected size, so equal rows are dealt apart; a shard is packed by differencing. Each piece starts as a partition of k
 windows of which one holds it; the two partitions with the largest imbalance merge, the fullest
 window of one with the emptiest of the other, until one is left with near-equal windows. If a
 window exceeds the capacity, k rises by what the measured excess asks for and the shard is packed
-again. Padding is then less than about two windows a shard.
+again; at one window a piece it always fits. Padding is then less than about two windows a shard.
 
 Ids are those of the tokenizers file. They are computed by tiktoken over the same vocabulary's
-ranks, which gives equal ids about four times as fast; texts that hold a special token's string
-go through the tokenizers library itself.
+ranks, which gives equal ids about four times as fast; texts that hold a special token's string or
+a run of more than ``BLANKS`` blanks, which exhausts that library's stack, go through the tokenizers
+library itself.
 
 Defined results: a null text is empty, and an empty document is its end id alone; a null key is
 kept; repeated rows are packed each; extra columns are ignored; empty tables give empty results.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -34,6 +36,7 @@ from maskwright.llm.common import materialise
 from maskwright.llm.tokencount import runs
 
 PIECES_PER_SHARD = 2048
+BLANKS = 1000
 _loaded: dict[str, Callable[[str], list[int]]] = {}
 
 
@@ -49,8 +52,10 @@ def encoder(vocabulary: str, ranks: str) -> Callable[[str], list[int]]:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+        blanks = re.compile(rf"\s{{{BLANKS},}}")
+
         def encode(text: str) -> list[int]:
-            if any(x in text for x in special):
+            if any(x in text for x in special) or blanks.search(text):
                 return whole.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
@@ -108,9 +113,7 @@ def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
         if most <= capacity:
             return found
         excess = most - total / k
-        k = max(k + 1, -(-total // max(1, int(capacity - excess))))
-        if k >= len(sizes):
-            return np.arange(len(sizes))
+        k = min(len(sizes), max(k + 1, -(-total // max(1, int(capacity - excess)))))
     return np.zeros(0, np.int64)
 
 
@@ -131,11 +134,11 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, key: str = "doc_id", text
                 cols = zip(*out, strict=True) if out else [()] * 4
                 yield pa.RecordBatch.from_arrays([run.column(0).take(pa.array(row, pa.int32())), *(pa.array(c, pa.int64()) for c in cols)], ["key", "start", "length", "crc", "total"])
 
-    pieces = materialise(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut, f"key {kind}, start long, length long, crc long, total long"), "pack-pieces")
+    pieces = materialise(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut, f"key {kind}, start long, length long, crc long, total long").withColumn("place", F.monotonically_increasing_id()), "pack-pieces")
     shards = -(-pieces.count() // PIECES_PER_SHARD)
 
     def fill(data: pa.Table) -> pa.Table:
-        data = data.combine_chunks().sort_by([("key", "ascending"), ("start", "ascending"), ("crc", "ascending")])
+        data = data.combine_chunks().sort_by([("key", "ascending"), ("start", "ascending"), ("crc", "ascending"), ("place", "ascending")])
         sizes, shard = data.column("length").to_numpy(), data.column("shard")[0].as_py()
         window = np.empty(len(sizes), np.int64)
         full = sizes == capacity
@@ -146,8 +149,8 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, key: str = "doc_id", text
         ends = np.cumsum(size) - size
         first = np.r_[True, placed[1:] != placed[:-1]]
         offset = ends - np.maximum.accumulate(np.where(first, ends, 0))
-        return data.take(pa.array(order)).drop_columns(["shard"]).append_column("sequence_id", pa.array((shard << 32) + placed)).append_column("offset", pa.array(offset))
+        return data.take(pa.array(order)).drop_columns(["shard", "place"]).append_column("sequence_id", pa.array((shard << 32) + placed)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("key", "start", "crc"), F.lit(max(1, shards))))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(max(1, shards))))
     packed = dealt.groupBy("shard").applyInArrow(fill, f"key {kind}, start long, length long, crc long, total long, sequence_id long, offset long")
     return packed.select(F.col("key").alias(key), "start", "length", F.col("crc").alias("ids_crc32"), F.col("total").alias("doc_tokens"), "sequence_id", "offset")
