@@ -5,14 +5,16 @@ probability in a language is the sum over all its segmentations into pieces, fou
 algorithm; a text's is the product over its words. The forward algorithm runs over the distinct
 words of a batch at once, one word length at a time, and remembers words within a worker.
 
-The classifier is fitted on a bounded sample of rows: about ``per_lang`` documents of each language,
-chosen by a hash, with their whole texts; piece counts are summed on Spark. Prediction is a
-map over whole texts with no shuffle.
+Piece probabilities are learned in the same model: words of a bounded sample of rows, about
+``per_lang`` documents of each language chosen by a hash, with their whole texts, are counted on
+Spark, and ``ROUNDS`` rounds of expectation-maximisation sum each piece's expected count over all
+segmentations (forward-backward), from equal probabilities on. Prediction is a map over whole
+texts with no shuffle.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; words of more than
-``LONGEST`` characters are scored in runs of that many; with nothing to learn from all is
-``und``; ties go to the first language in code-point order; a null key is kept; extra columns are
-ignored.
+``LONGEST`` characters are walked in runs of that many, and segmentations across the runs count;
+with nothing to learn from all is ``und``; ties go to the first language in code-point order; a
+null key is kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +26,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import materialise
 from maskwright.llm.tokencount import runs
 
 LONGEST = 48
+#: Rounds of expectation-maximisation.
+ROUNDS = 3
+#: Characters after which forward and backward values are scaled anew.
+SCALED = 6
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,20 +62,17 @@ class Model:
     log_p: np.ndarray
 
 
-class Forward:
-    """Log-probabilities of words in every language, all segmentations summed."""
+class Pieces:
+    """The vocabulary's pieces, found at all places of words of one length."""
 
-    def __init__(self, model: Model) -> None:
-        sp = _processor(model.path)
-        self.model, self.log_p = model, model.log_p
+    def __init__(self, path: str) -> None:
+        sp = _processor(path)
         pieces = [(i, sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.bytes = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         keys = np.array([self._hash(p) for _, p in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array([i for i, _ in pieces])[order]
-        self.longest = max(len(p) for _, p in pieces)
-        self.index: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.langs)))
+        self.size, self.longest = sp.get_piece_size(), max(len(p) for _, p in pieces)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -76,26 +81,101 @@ class Forward:
             h = (h * int(_BASE) + ord(ch) + 1) % 2**64
         return h
 
+    def found(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per size (from 1) the piece at each place of each word or -1, and the byte pieces of characters outside the vocabulary.
+
+        The k-th of these characters stands as piece ``size + k``.
+        """
+        n, m = len(words[0]), len(words)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).astype(np.uint64)
+        h, out, outside = np.zeros((m, n), np.uint64), [], []
+        for size in range(1, min(self.longest, n) + 1):
+            h = h[:, : n - size + 1] * _BASE + codes[:, size - 1 :] + np.uint64(1)
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            hit = np.where(self.keys[at] == h, self.ids[at], -1)
+            if size == 1 and (hit < 0).any():
+                chars, which = np.unique(codes[hit < 0], return_inverse=True)
+                hit[hit < 0] = self.size + which
+                outside = [self.bytes[list(chr(c).encode("utf-8", "replace"))] for c in chars.tolist()]
+            out.append(hit)
+        return out, outside
+
+
+def _priced(p: np.ndarray, outside: list[np.ndarray]) -> np.ndarray:
+    """Probabilities of pieces and, behind them, of characters outside the vocabulary."""
+    return np.concatenate([p, np.array([p[b].prod(axis=0) for b in outside])]) if outside else p
+
+
+def _forward(found: list[np.ndarray], p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled sums over the segmentations up to each place (places, words, languages), and their log scales."""
+    m, n = found[0].shape
+    alpha, scale = np.zeros((n + 1, m, p.shape[1])), np.zeros((n + 1, m, p.shape[1]))
+    alpha[0] = 1
+    for i in range(n):
+        if i and i % SCALED == 0:
+            most = alpha[i : i + len(found)].max(axis=0)
+            alpha[i : i + len(found)] /= most
+            scale[i:] += np.log(most)
+        for size, ids in enumerate(found[: n - i], 1):
+            hit = np.flatnonzero(ids[:, i] >= 0)
+            if len(hit):
+                alpha[i + size, hit] += alpha[i, hit] * p[ids[hit, i]]
+    return alpha, scale
+
+
+def expected(pieces: Pieces, words: list[str], times: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces in words of one length, each as often as ``times`` says; ``p`` is one language's."""
+    found, outside = pieces.found(words)
+    price = _priced(p[:, None], outside)
+    n = len(words[0])
+    alpha, up = _forward(found, price)
+    # the same from the end: place i of the mirrored words is place n - i
+    beta, down = _forward([ids[:, ::-1] for ids in found], price)
+    total = np.log(alpha[n]) + up[n]
+    out = np.zeros(len(price))
+    for size, ids in enumerate(found, 1):
+        row, i = np.nonzero(ids >= 0)
+        piece = ids[row, i]
+        log = up[i, row, 0] + down[n - i - size, row, 0] - total[row, 0]
+        share = alpha[i, row, 0] * beta[n - i - size, row, 0] * price[piece, 0] * np.exp(log)
+        out += np.bincount(piece, share * times[row], len(price))
+    for k, b in enumerate(outside):
+        np.add.at(out, b, out[pieces.size + k])
+    return out[: pieces.size]
+
+
+class Forward:
+    """Log-probabilities of words in every language, all segmentations summed."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.pieces, self.p = model, Pieces(model.path), np.exp(model.log_p)
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((0, len(model.langs)))
+
     def _words(self, words: list[str]) -> np.ndarray:
         """Words of one length, as they stand in the text with the mark of a word's start."""
-        n, m, langs = len(words[0]), len(words), self.log_p.shape[1]
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(m, n).astype(np.uint64)
-        alpha = np.full((n + 1, m, langs), -np.inf)
-        alpha[0] = 0
-        for i in range(n):
-            h = np.zeros(m, np.uint64)
-            for size in range(1, min(self.longest, n - i) + 1):
-                h = h * _BASE + codes[:, i + size - 1] + np.uint64(1)
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = np.flatnonzero(self.keys[at] == h)
-                if len(hit):
-                    new = alpha[i, hit] + self.log_p[self.ids[at[hit]]]
-                    alpha[i + size, hit] = np.logaddexp(alpha[i + size, hit], new)
-                if size == 1 and len(hit) < m:
-                    miss = np.setdiff1d(np.arange(m), hit, assume_unique=True)
-                    cost = {c: self.log_p[self.bytes[list(chr(c).encode())]].sum(axis=0) for c in set(codes[miss, i].tolist())}
-                    alpha[i + 1, miss] = np.logaddexp(alpha[i + 1, miss], alpha[i, miss] + np.array([cost[c] for c in codes[miss, i].tolist()]))
-        return alpha[n]
+        found, outside = self.pieces.found(words)
+        alpha, scale = _forward(found, _priced(self.p, outside))
+        return np.log(alpha[-1]) + scale[-1]
+
+    def _long(self, word: str) -> np.ndarray:
+        """A long word run by run; only the sums that a piece can still reach are held."""
+        reach = self.pieces.longest
+        ahead, log, at = [np.ones(self.p.shape[1]), *[np.zeros(self.p.shape[1])] * reach], np.zeros(self.p.shape[1]), 0
+        for run in pieces_of(word[1:]):
+            found, outside = self.pieces.found([word[at : at + len(run) + reach - 1]])
+            price = _priced(self.p, outside)
+            for i in range(len(run)):
+                here = ahead[0]
+                for size, ids in enumerate(found, 1):
+                    if i < ids.shape[1] and ids[0, i] >= 0:
+                        ahead[size] = ahead[size] + here * price[ids[0, i]]
+                ahead = [*ahead[1:], np.zeros(self.p.shape[1])]
+                if i % SCALED == SCALED - 1:
+                    most = np.max(ahead, axis=0)
+                    ahead, log = [a / most for a in ahead], log + np.log(most)
+            at += len(run)
+        return np.log(ahead[0]) + log
 
     def learn(self, words: set[str]) -> None:
         """Score the words that are not known yet."""
@@ -107,22 +187,27 @@ class Forward:
             by.setdefault(len(w), []).append(w)
         found = [self.table]
         for group in by.values():
-            for i in range(0, len(group), 20_000):
-                part = group[i : i + 20_000]
+            for i in range(0, len(group), 10_000):
+                part = group[i : i + 10_000]
                 self.index.update(zip(part, range(len(self.index), len(self.index) + len(part)), strict=True))
                 found.append(self._words(part))
         self.table = np.concatenate(found)
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Log-probability of each text in each language."""
-        split = [pieces_of(t) for t in texts]
-        self.learn({w for words in split for w in words})
-        get = self.index.__getitem__
-        return np.array([self.table[list(map(get, words))].sum(axis=0) if words else np.zeros(len(self.model.langs)) for words in split])
+        split = [["▁" + w for w in t.split()] for t in texts]
+        self.learn({w for words in split for w in words if len(w) <= LONGEST})
+        out, get = np.zeros((len(texts), len(self.model.langs))), self.index.__getitem__
+        for n, words in enumerate(split):
+            if words and max(map(len, words)) > LONGEST:
+                out[n] = sum(self._long(w) for w in words if len(w) > LONGEST)
+                words = [w for w in words if len(w) <= LONGEST]
+            out[n] += self.table[list(map(get, words))].sum(axis=0)
+        return out
 
 
 def pieces_of(text: str) -> list[str]:
-    """A text's words behind the start mark, long ones cut into runs."""
+    """A text's words behind the start mark, long ones in runs."""
     words = ["▁" + w for w in text.split()]
     if max(map(len, words), default=0) > LONGEST:
         words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
@@ -152,20 +237,40 @@ def fit(docs: DataFrame, learnable: Column, vocabulary: str, text: str = "text",
     sample = told.filter(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = _processor(vocabulary)
         for batch in batches:
             for run in runs(batch, 2_000_000):
                 found: Counter = Counter()
                 for k, t in zip(run.column(0).to_pylist(), run.column(1).to_pylist(), strict=True):
-                    for part in stretches(t):
-                        found.update((k, i) for i in sp.encode(part, num_threads=1))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([i for _, i in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["lang", "piece", "n"])
+                    found.update((k, w) for part in stretches(t) for w in part.split())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
-    n = np.full((size, len(langs)), smoothing)
+    words = materialise(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
     at = {k: i for i, k in enumerate(langs)}
-    for r in sample.mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():  # at most pieces x languages
-        n[r["piece"], at[r["lang"]]] += r["n"]
-    return Model(vocabulary, langs, np.log(n / n.sum(axis=0)))
+    p = np.full((size, len(langs)), 1 / size)
+    for _ in range(ROUNDS):
+        shared = docs.sparkSession.sparkContext.broadcast(p)  # pieces x languages doubles
+
+        def expect(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            pieces = Pieces(vocabulary)
+            for batch in batches:
+                groups: dict[tuple[str, int], list[tuple[str, int]]] = {}
+                for k, w, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    groups.setdefault((k, len(w) + 1), []).append(("▁" + w, times))
+                sums: dict[str, np.ndarray] = {}
+                for (k, length), members in groups.items():
+                    step = max(1, 200_000 // length)
+                    for i in range(0, len(members), step):
+                        ws, times = zip(*members[i : i + step], strict=True)
+                        sums[k] = sums.get(k, 0) + expected(pieces, list(ws), np.array(times, float), shared.value[:, at[k]])
+                for k, total in sums.items():
+                    some = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(total[some], pa.float64())], ["lang", "piece", "n"])
+
+        n = np.full((size, len(langs)), smoothing)
+        for r in words.mapInArrow(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():  # at most pieces x languages
+            n[r["piece"], at[r["lang"]]] += r["n"]
+        p = n / n.sum(axis=0)
+    return Model(vocabulary, langs, np.log(p))
 
 
 def predictions(forward: Forward | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
