@@ -1,7 +1,9 @@
 """Exact top-k search by distributed histogram selection.
 
 Queries and candidates are cut into blocks of bounded size, and every query block meets every
-candidate block. A pass scores all pairs and keeps, of each query's score histogram in a block,
+candidate block: blocks are dealt to the rows and columns of a grid of bounded size, a query block
+is sent once to each column and a candidate block once to each row, and they meet inside the cells
+of the grid, which are tasks. A pass scores all pairs and keeps, of each query's score histogram in a block,
 only the bins from the top that could still hold the k-th score (at most k of them); summed over
 blocks they locate the bin of the k-th score, and the next pass refines that bin until it is one
 value wide. The last pass filters by the located score; a block hands on at most k rows a query,
@@ -10,7 +12,7 @@ ties by smallest id, which is exact since no more of a block can be among the k
 Defined results: rows with a null id, a null vector or a null or non-finite component take no
 part; vectors of different length do not score each other; a query with fewer than k candidates
 gets them all; candidates that share a query's id are left out; repeated query rows get a result
-each; extra columns are ignored; empty tables give empty results.
+each; scores are exact 64-bit integers, and one outside their range counts as the range's end; extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from maskwright.llm.common import materialise
 BINS = 256
 CANDIDATES_PER_BLOCK = 8192
 QUERIES_PER_BLOCK = 1024
+#: Rows (of query blocks) and columns (of candidate blocks) of the grid at most.
+GRID = (64, 256)
+LOW, HIGH = -(2**63), 2**63 - 1
 _SUB = 128  # queries scored at once inside a block
 
 
@@ -49,11 +54,11 @@ def _blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
 def _scores(q: np.ndarray, c: np.ndarray, bound: float) -> np.ndarray:
     """Exact integer inner products: single floats up to 2**24, doubles up to 2**53, then integers."""
     if bound < 2**24:
-        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.float64)
+        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if bound < 2**53:
-        return q @ c.T
+        return (q @ c.T).astype(np.int64)
     exact = np.array([[int(x) for x in r] for r in q], dtype=object) @ np.array([[int(x) for x in r] for r in c], dtype=object).T
-    return exact.astype(np.int64)
+    return np.clip(exact, LOW, HIGH).astype(np.int64)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], bound: float) -> Iterator[tuple]:
@@ -80,23 +85,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     cand, query = _blocks(name(rows), CANDIDATES_PER_BLOCK, scale), _blocks(name(rows.filter(is_query)), QUERIES_PER_BLOCK, scale)
     most = [df.agg(F.max("norm")).first()[0] or 0.0 for df in (cand, query)]
     bound = int(most[0] * most[1]) + 1
-    groups = cand.select("dim", "block")
-    asked = query.select("dim", F.col("block").alias("qb"), F.col("ids").alias("qids"), F.col("m").alias("qm"))
+    lines = [max(1, min(most_, df.agg(F.max("block")).first()[0] or 0)) for df, most_ in zip((query, cand), GRID, strict=True)]
+    row, col = (F.pmod(F.xxhash64("block"), F.lit(n)).cast("int") for n in lines)
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = cand.select("dim", col.alias("col"), to(lines[0]).alias("line"), "ids", "m")
+    asked = query.select("dim", row.alias("line"), F.col("block").alias("qb"), F.col("ids").alias("qids"), F.col("m").alias("qm"))
 
     def meet(state: DataFrame | None) -> DataFrame:
         side = asked.withColumn("state", F.lit(None).cast("array<struct<pos:int,lo:long,need:long>>")) if state is None else asked.join(state, ["dim", "qb"])
-        wide = side.join(groups, "dim")  # a row of queries per block of candidates, by length
-        return wide.join(cand.drop("norm"), ["dim", "block"]).select("dim", "qb", "qids", "qm", "ids", "m", "state")
+        return side.withColumn("col", to(lines[1])).join(columns, ["dim", "line", "col"]).select("dim", "qb", "qids", "qm", "ids", "m", "state")
 
     def histogram(lo: int, width: int, span: int, first: bool) -> object:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for dim, qb, at, ids, _cid, s, other, state in _cells(batches, bound):
                 n = len(ids)
-                low = np.full(n, lo, np.float64) if first else np.array([x["lo"] for x in state], np.float64)
+                low = np.full(n, lo, np.int64) if first else np.array([x["lo"] for x in state], np.int64)
                 need = np.full(n, k) if first else np.array([x["need"] for x in state])
-                b = np.floor((s - low[:, None]) / width)
-                use = other & (b >= 0) & (s < low[:, None] + span)  # above the span: counted by the pass before
-                found = np.bincount((np.nonzero(use)[0] * BINS + b[use]).astype(np.int64), minlength=n * BINS).reshape(n, BINS)
+                far = s.view(np.uint64) - low.view(np.uint64)[:, None]  # exact where s is not below
+                use = other & (s >= low[:, None]) & (far <= np.uint64(span - 1))  # above the span: counted by the pass before
+                found = np.bincount(np.nonzero(use)[0] * BINS + (far[use] // np.uint64(width)).astype(np.int64), minlength=n * BINS).reshape(n, BINS)
                 above = np.cumsum(found[:, ::-1], axis=1)[:, ::-1] - found
                 pos, bins = np.nonzero((found > 0) & (above < need[:, None]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), dim), pa.int32()), pa.array(np.full(len(pos), qb), pa.int64()), pa.array(pos + at, pa.int32()), pa.array(bins, pa.int32()), pa.array(found[pos, bins], pa.int64())], ["dim", "qb", "pos", "bin", "n"])
@@ -105,7 +112,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
 
     # every query starts with the whole range of scores
     each = query.select("dim", F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), (F.octet_length("ids") / 8).cast("int") - 1)).alias("pos"))
-    lo, span, state, flat = -bound, 2 * bound + 1, None, None
+    lo, span, state, flat = max(LOW, -bound), min(HIGH, bound) - max(LOW, -bound) + 1, None, None
     while True:
         width = -(-span // BINS)
         counts = meet(state).mapInArrow(histogram(lo, width, span, state is None), "dim int, qb long, pos int, bin int, n long")
@@ -115,7 +122,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
         kth = sums.withColumn("above", above).join(was, ["dim", "qb", "pos"]).filter("above < need and above + n >= need")
         new = kth.select("dim", "qb", "pos", (F.col("lo") + F.col("bin") * F.lit(width)).cast("long").alias("lo"), (F.col("need") - F.col("above")).alias("need"))
         # with too few candidates the lowest score is the bound, and stays so
-        flat = materialise(each.join(new, ["dim", "qb", "pos"], "left").select("dim", "qb", "pos", F.coalesce("lo", F.lit(-bound).cast("long")).alias("lo"), F.coalesce("need", F.lit(2**62)).alias("need")), "topk-state")
+        flat = materialise(each.join(new, ["dim", "qb", "pos"], "left").select("dim", "qb", "pos", F.coalesce("lo", F.lit(lo).cast("long")).alias("lo"), F.coalesce("need", F.lit(2**62)).alias("need")), "topk-state")
         state = flat.groupBy("dim", "qb").agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "need"))).alias("state"))
         if width == 1:
             break
@@ -123,9 +130,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, qb, at, ids, cid, s, other, state in _cells(batches, bound):
-            least = np.array([x["lo"] for x in state], s.dtype)
+            least = np.array([x["lo"] for x in state], np.int64)
             pos, col = np.nonzero(other & (s >= least[:, None]))
-            score = s[pos, col].astype(np.int64)
+            score = s[pos, col]
             order = np.lexsort((cid[col], -score, pos))
             pos, col, score = pos[order], col[order], score[order]
             keep = np.arange(len(pos)) - np.searchsorted(pos, pos) < k
