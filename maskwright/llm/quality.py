@@ -55,11 +55,11 @@ class Model:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; with too few samples to train, the samples themselves."""
+    """A trained dictionary; with too few samples to train, all the samples themselves."""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(samples)[-size:]
+        return b"\n".join(samples)
 
 
 def stretches(text: bytes) -> list[bytes]:
@@ -133,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_i
     sample = materialise(sample.select("y", "t", order.alias("o"), F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("id")), "quality-sample")
     # every fourth text calibrates, the others make the dictionaries
     turn = F.row_number().over(Window.partitionBy("y").orderBy("o", "h", "id"))
-    sample = sample.join(F.broadcast(sample.select("id", (turn % 4 == 1).alias("held"))), "id")
+    few = [sample.filter(F.col("y") == y).select("y", "o", "h", "id").orderBy("o", "h", "id").limit(per_class) for y in (0, 1)]  # an id may stand in many documents
+    sample = sample.join(F.broadcast(few[0].unionAll(few[1]).select("id", (turn % 4 == 1).alias("held"))), "id")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
