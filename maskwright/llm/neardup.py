@@ -10,8 +10,8 @@ components are compared block by block, without emitting pairs (see ``_rounds``)
 band follow the threshold (8 at 0.85, 6 at 0.8), so that a pair at the threshold shares no bucket with
 a probability below ``MISS``.
 
-Hubs are found by pre-aggregated minima and joined back, so a bucket with a third of all rows is
-spread by the skew join and never gathered in one task.
+Hubs are found by pre-aggregated minima and joined back by sort-merge joins, which Spark splits where
+a bucket is large, so a bucket with a third of all rows is never gathered in one task.
 
 Defined results: a null or wordless text has no shingles, links with nothing and is kept; a text
 with fewer words than a shingle is one shingle; rows that share a key are one document for
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     placed = own.filter("bands is not null").select("rep", "n", F.explode("bands").alias("bucket")).distinct()
     crowded = placed.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("bucket")
-    placed = materialise(placed.join(crowded, "bucket"), "neardup-buckets")
+    placed = materialise(placed.join(crowded.hint("merge"), "bucket"), "neardup-buckets")
     kind = docs.schema[key].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,14 +226,14 @@ def _rounds(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, links = placed.withColumn("comp", F.col("rep")), None
     for order in (F.col("rep"), F.xxhash64("rep")):
         hubs = left.groupBy("bucket").agg(F.min_by(F.struct(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")), order).alias("h")).select("bucket", "h.*")
-        met = left.join(hubs, "bucket").filter((F.col("comp") != F.col("hub_comp")) & fits)
+        met = left.join(hubs.hint("merge"), "bucket").filter((F.col("comp") != F.col("hub_comp")) & fits)
         pairs = met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
         new = materialise(_confirm(pairs, sets, percent), "neardup-links")
         links = new if links is None else links.unionAll(new)
         comps = components(links).withColumnRenamed("node", "rep")
         left = left.drop("comp").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         open_ = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-        left = materialise(left.join(open_, "bucket").select(*placed.columns, "comp"), "neardup-left")
+        left = materialise(left.join(open_.hint("merge"), "bucket").select(*placed.columns, "comp"), "neardup-left")
     return links.unionAll(materialise(_blocks(left, sets, percent), "neardup-links"))
 
 
