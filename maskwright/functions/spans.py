@@ -2,29 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from maskwright.functions.text import let, quoted
 from maskwright.schema import DATE_PATTERN, INNER, KEYWORDS, RECOGNIZERS, STRUCTURED, TYPES, DetectionConfig
 
 EMPTY = f"cast(array() as array<{INNER}>)"
 
 
-def _sum(items: str, size: str) -> str:
-    return f"aggregate({items}, 0, (a, y) -> a + {size}(y))"
+#: Matches whose lengths are added up at once.
+_BLOCK = 64
 
 
 def matches(text: str, pattern: str, entity_type: str, score: float, source: str, seq: int) -> str:
     """Spans of all matches of a pattern that never matches the empty string.
 
-    Matches and the gaps between them come from the same scan, so lengths of gaps and matches
-    before a match add up to its offset.
+    Matches and the gaps between them come from the same scan, so the lengths of gaps and matches
+    before a match add up to its offset: first in blocks, then from the start of a match's block.
     """
     p = quoted(pattern)
     found = f"named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))"
-    at = lambda size: f"{_sum('slice(z.g, 1, i + 1)', size)} + {_sum('slice(z.m, 1, i)', size)}"
+    step = "transform(z.m, (x, i) -> named_struct('b', octet_length(z.g[i]) + octet_length(x), 'c', char_length(z.g[i]) + char_length(x)))"
+    total = lambda f: f"aggregate(sequence(k * {_BLOCK}, least(k * {_BLOCK} + {_BLOCK}, size(t)) - 1), 0, (a, q) -> a + t[q].{f})"
+    blocks = f"transform(sequence(0, (size(t) - 1) div {_BLOCK}), k -> named_struct('b', {total('b')}, 'c', {total('c')}))"
+    before = lambda f: f"aggregate(filter(v, (y, q) -> q < i div {_BLOCK}), 0, (a, y) -> a + y.{f}) + aggregate(sequence(0, i % {_BLOCK}), 0, (a, r) -> a + if(r = 0, 0, t[i - r].{f}))"
     # position in bytes, then in characters
-    place = f"named_struct('b', {at('octet_length')}, 'c', {at('char_length')}, 'x', x)"
+    place = f"named_struct('b', {before('b')} + octet_length(z.g[i]), 'c', {before('c')} + char_length(z.g[i]), 'x', x)"
     span = f"named_struct('start', w.b, 'end', w.b + octet_length(w.x), 'entity_type', {quoted(entity_type)}, 'score', {score}D, 'text', w.x, 'source', {quoted(source)}, 'cs', w.c, 'ce', w.c + char_length(w.x), 'seq', {seq})"
-    return let(found, "z", f"transform(transform(z.m, (x, i) -> {place}), w -> {span})")
+    spans = let(step, "t", let(blocks, "v", f"transform(transform(z.m, (x, i) -> {place}), w -> {span})"))
+    return let(found, "z", f"if(size(z.m) = 0, {EMPTY}, {spans})")
 
 
 def recognized(text: str) -> str:
@@ -63,21 +69,35 @@ def checked(spans: str) -> str:
     return f"filter({spans}, s -> {rule})"
 
 
+#: Bytes beside a span in which its nearest tokens are looked for first.
+_WINDOWS = (512, 16_384)
 _TOKEN = r"(?U)[\\p{Alpha}\\p{N}\'-]"
 
 
 def boosted(spans: str, text: str, config: DetectionConfig) -> str:
     """Scores raised once where a type's keyword is among the nearest tokens on either side."""
-    words = "map(" + ", ".join(f"{quoted(k)}, array({', '.join(map(quoted, v.split()))})" for k, v in KEYWORDS.items()) + ")"
+    words = "map(" + ", ".join(f"{quoted(k)}, array({', '.join(map(quoted, v))})" for k, v in KEYWORDS.items()) + ")"
     n = config.context_window + 1
-    head, tail = f"substring({text}, 1, s.cs)", f"substring({text}, s.ce + 1)"
+    # windows in bytes on both sides of a span; the larger ones only where the smaller holds too few tokens
+    head = lambda size: f"cast(substring(eb, greatest(s.start - {size} + 1, 1), least(s.start, {size})) as string)"
+    tail = lambda size: f"cast(substring(eb, s.end + 1, {size}) as string)"
+
+    def tokens(side: Callable[[str], str], left: str) -> str:
+        """The side's text in the smallest window that surely holds its ``n`` nearest tokens and one more, and its tokens."""
+        out = f"named_struct('x', {side(left)}, 't', regexp_extract_all({side(left)}, '{_TOKEN}+', 0))"
+        for size in reversed(_WINDOWS):
+            part = f"named_struct('x', {side(str(size))}, 't', regexp_extract_all({side(str(size))}, '{_TOKEN}+', 0))"
+            out = let(part, f"p{size}", f"if(size(p{size}.t) > {n + 2} or {left} <= {size}, p{size}, {out})")
+        return out
+
     # a token that crosses an edge of the span is on neither side
     cut = lambda outer, inner: f"(rlike({outer}, '{_TOKEN}$') and rlike(s.text, '^{_TOKEN}'))" if inner else f"(rlike({outer}, '^{_TOKEN}') and rlike(s.text, '{_TOKEN}$'))"
-    before = let(f"regexp_extract_all({head}, '{_TOKEN}+', 0)", "t", let(f"if({cut(head, True)}, slice(t, 1, greatest(size(t) - 1, 0)), t)", "u", f"slice(u, greatest(size(u) - {n - 1}, 1), {n})"))
-    after = let(f"regexp_extract_all({tail}, '{_TOKEN}+', 0)", "t", f"slice(t, if({cut(tail, False)}, 2, 1), {n})")
+    before = let(tokens(head, "s.start"), "y", let(f"if({cut('y.x', True)}, slice(y.t, 1, greatest(size(y.t) - 1, 0)), y.t)", "u", f"slice(u, greatest(size(u) - {n - 1}, 1), {n})"))
+    after = let(tokens(tail, "(octet_length(eb) - s.end)"), "y", f"slice(y.t, if({cut('y.x', False)}, 2, 1), {n})")
     near = f"exists(concat({before}, {after}), t -> array_contains(k, lower(t)))"
     raised = f"named_struct('start', s.start, 'end', s.end, 'entity_type', s.entity_type, 'score', least(s.score + {config.context_boost}D, 1D), 'text', s.text, 'source', s.source, 'cs', s.cs, 'ce', s.ce, 'seq', s.seq)"
-    return f"transform({spans}, s -> {let(f'{words}[s.entity_type]', 'k', f'if(k is not null and {near}, {raised}, s)')})"
+    each = f"transform({spans}, s -> {let(f'{words}[s.entity_type]', 'k', f'if(k is not null and {near}, {raised}, s)')})"
+    return let(f"cast({text} as binary)", "eb", each)
 
 
 def precedence(span: str) -> str:

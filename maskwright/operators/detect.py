@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
-from maskwright.schema import DetectionConfig
+from maskwright.schema import SPAN, DetectionConfig
 
 
 def raw_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
@@ -32,3 +32,11 @@ def exploded(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
     """A row per span: keys, span_idx (from 0) and the span's fields."""
     rows = df.select(*keys, F.posexplode(spans).alias("span_idx", "s"))
     return rows.select(*keys, "span_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.entity_type").alias("entity_type"), F.col("s.score").alias("score"), F.col("s.text").alias("text"), F.col("s.source").alias("source"))
+
+
+def register(spark: SparkSession, config: DetectionConfig = DetectionConfig()) -> None:
+    """SQL functions of the session: ``detect_pii(text)``, an array of spans, and the table function ``pii_spans(text)``."""
+    found = S.confident(S.merged(S.boosted(S.checked(S.recognized("coalesce(body, '')")), "coalesce(body, '')", config)), config)
+    bare = f"transform({found}, s -> named_struct('start', s.start, 'end', s.end, 'entity_type', s.entity_type, 'score', s.score, 'text', s.text, 'source', s.source))"
+    spark.sql(f"create or replace temporary function detect_pii(body string) returns array<{SPAN}> return {bare}")
+    spark.sql(f"create or replace temporary function pii_spans(body string) returns table(span_idx int, start int, end int, entity_type string, score double, text string, source string) return select x.i, x.s.start, x.s.end, x.s.entity_type, x.s.score, x.s.text, x.s.source from lateral posexplode({bare}) as x(i, s)")

@@ -30,6 +30,13 @@ def threshold_filter(spans: str, sensitivity: Sensitivity = Sensitivity(), adapt
     return f"filter({spans}, s -> s.score >= {table}[s.entity_type])"
 
 
+def slider_filter(spans: str, slider: str) -> str:
+    """Spans at their type's least score for a slider position that is a column: high - position * (high - low)."""
+    edge = lambda f: "map(" + ", ".join(f"{quoted(t[0])}, {f(t)!r}D" for t in TYPES) + ")"
+    low, high = edge(lambda t: max(0.0, t[2] - t[3])), edge(lambda t: min(1.0, t[2] + t[3]))
+    return f"filter({spans}, s -> s.score >= {high}[s.entity_type] - {slider} * ({high}[s.entity_type] - {low}[s.entity_type]))"
+
+
 def _word(pattern: str) -> str:
     """A list pattern as an expression: ``*`` is a run of ASCII word characters."""
     return "(?iu:" + "[A-Za-z0-9_]+".join(re.sub(r"([.+?^${}()|\[\]\\])", r"\\\1", p) for p in pattern.split("*")) + ")"

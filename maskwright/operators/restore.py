@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import let, quoted
 from maskwright.schema import TYPES
+from maskwright.scratch import materialise
 
 _KINDS = "|".join(sorted((t[0] for t in TYPES), key=len, reverse=True))
 #: A placeholder with or without brackets and separator; open sides need a word's edge.
@@ -41,9 +42,16 @@ def resolved(text: str, scope: str) -> str:
     return f"if({might_hold(text)} and {scope} is not null, {let(parts, 'z', f'array_join({pieces}, {quoted(str())})')}, {text})"
 
 
+def _one(scope: DataFrame, key: str) -> DataFrame:
+    return scope.groupBy(key, "token").agg(F.min("original").alias("original"))
+
+
 def restore(responses: DataFrame, scope: DataFrame, key: str, text: str = "text", out: str = "restored") -> DataFrame:
-    """Restore texts by their key's tokens (``scope``: key, token, original); a key's tokens fit a row."""
-    tokens = scope.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("token", "original"))).alias("_scope"))
+    """Restore texts by their key's tokens (``scope``: key, token, original); a key's tokens fit a row.
+
+    Of several originals of a token the first in code-point order counts.
+    """
+    tokens = _one(scope, key).groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("token", "original"))).alias("_scope"))
     return responses.join(tokens, key, "left").withColumn(out, F.expr(resolved(f"coalesce({text}, '')", "_scope"))).drop("_scope")
 
 
@@ -78,10 +86,79 @@ def resolve_text(text: str, scope: dict[str, str], strict: frozenset[str] = froz
 
 def restore_any(responses: DataFrame, scope: DataFrame, key: str, text: str = "text", out: str = "restored") -> DataFrame:
     """As ``restore``, for scopes that also hold synthetic values; in Arrow batches."""
-    tokens = scope.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("token", "original"))).alias("_scope"))
+    tokens = _one(scope, key).groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("token", "original"))).alias("_scope"))
 
     @F.pandas_udf("string")
     def resolve(texts: pd.Series, scopes: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else resolve_text(t, dict(s)) for t, s in zip(texts, scopes, strict=True)])
 
     return responses.join(tokens, key, "left").withColumn(out, resolve(F.col(text), F.col("_scope"))).drop("_scope")
+
+
+def by_map(docs: DataFrame, doc: str = "doc_id", text: str = "text", spans: str = "spans", given: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts anonymized by a map of each document's own (doc, anonymized), and the maps (doc, token, original).
+
+    The map is keyed by the exact text whatever its type: a text keeps the placeholder of the type
+    that it had first. ``given`` holds maps already in use; a type's numbers go on after its largest.
+    """
+    flat = docs.select(doc, F.explode(spans).alias("s")).select(doc, F.col("s.text").alias("original"), F.col("s.entity_type").alias("entity_type"), F.col("s.start").alias("start"))
+    known = given if given is not None else docs.sparkSession.createDataFrame([], f"{doc} {docs.schema[doc].dataType.simpleString()}, token string, original string")
+    largest = known.select(doc, F.regexp_extract("token", CANONICAL, 1).alias("entity_type"), F.regexp_extract("token", CANONICAL, 2).cast("long").alias("n")).filter("entity_type != ''").groupBy(doc, "entity_type").agg(F.max("n").alias("given"))
+    new = flat.groupBy(doc, "original").agg(F.min_by("entity_type", "start").alias("entity_type"), F.min("start").alias("start")).join(known.select(doc, "original"), [doc, "original"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(doc, "entity_type").orderBy("start"))
+    token = F.concat(F.lit("["), "entity_type", F.lit("_"), (F.coalesce("given", F.lit(0)) + rank).cast("string"), F.lit("]"))
+    made = new.join(largest, [doc, "entity_type"], "left").select(doc, token.alias("token"), "original")
+    maps = materialise(known.select(doc, "token", "original").unionByName(made), "maps")
+    # of several tokens of a text the first in code-point order
+    table = maps.groupBy(doc, "original").agg(F.min("token").alias("token")).groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("original", "token"))).alias("_map"))
+    step = "if(s.cs < a.at, a, named_struct('at', s.ce, 'out', concat(a.out, substring(_body, a.at + 1, s.cs - a.at), _map[s.text])))"
+    fold = f"aggregate(array_sort({spans}, (x, y) -> x.start - y.start), named_struct('at', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(_body, a.at + 1)))"
+    out = docs.withColumn("_body", F.coalesce(F.col(text), F.lit(""))).join(table, doc, "left").withColumn("anonymized", F.expr(f"if(size({spans}) > 0, {fold}, _body)"))
+    return out.select(doc, "anonymized"), maps
+
+
+def mirrored(maps: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Maps (key, token, original) with replacements chosen elsewhere: an original's former token goes."""
+    return maps.join(chosen.select(key, "original"), [key, "original"], "left_anti").unionByName(chosen.select(key, "token", "original"))
+
+
+def restore_twice(responses: DataFrame, maps: DataFrame, key: str, text: str = "text", out: str = "restored") -> DataFrame:
+    """Canonical placeholders first, then mangled ones in what the first pass gave."""
+    tokens = _one(maps, key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("_scope"))
+    c = quoted(CANONICAL)
+    parts = f"named_struct('m', regexp_extract_all(_body, {c}, 0), 'g', split(_body, {c}, -1))"
+    strict = let(parts, "z", "array_join(transform(z.g, (g, i) -> concat(g, if(i < size(z.m), coalesce(_scope[z.m[i]], z.m[i]), ''))), '')")
+    df = responses.withColumn("_body", F.coalesce(F.col(text), F.lit(""))).join(tokens, key, "left")
+    df = df.withColumn("_once", F.expr(f"if(_scope is null, _body, {strict})"))
+    return df.withColumn(out, F.expr(resolved("_once", "_scope"))).drop("_body", "_scope", "_once")
+
+
+def restore_vault(responses: DataFrame, vault: DataFrame, key: str, text: str = "text", out: str = "restored") -> DataFrame:
+    """Placeholders, mangled ones, then synthetic values by their length, each pass over what the last gave.
+
+    ``vault`` (key, placeholder, synthetic_value, original_text) holds each key's records.
+    """
+    maps = vault.select(key, F.col("placeholder").alias("token"), F.col("original_text").alias("original"))
+    fakes = vault.filter("synthetic_value != ''").groupBy(key, "synthetic_value").agg(F.min("original_text").alias("original"))
+    order = "case when char_length(a.synthetic_value) != char_length(b.synthetic_value) then char_length(b.synthetic_value) - char_length(a.synthetic_value) when a.synthetic_value < b.synthetic_value then -1 else 1 end"
+    fakes = fakes.groupBy(key).agg(F.collect_list(F.struct("synthetic_value", "original")).alias("_x")).select(key, F.expr(f"array_sort(_x, (a, b) -> {order})").alias("_fakes"))
+    word = "[\\\\p{L}\\\\p{N}_]"
+    inner = lambda at: f"rlike(substring(f.synthetic_value, {at}, 1), '{word}')"
+    # split at the value; a cut is a whole word if not both sides of an edge are word characters
+    left = "if(z[i - 1] != '', substring(z[i - 1], -1, 1), if(i > 1, substring(f.synthetic_value, -1, 1), ''))"
+    right = "if(g != '', substring(g, 1, 1), if(i < size(z) - 1, substring(f.synthetic_value, 1, 1), ''))"
+    joined = f"(rlike({left}, '{word}') and {inner('1')} or rlike({right}, '{word}') and {inner('-1')})"
+    step = let("split(t, concat('\\\\Q', f.synthetic_value, '\\\\E'), -1)", "z", f"array_join(transform(z, (g, i) -> if(i = 0, g, concat(if({joined}, f.synthetic_value, f.original), g))), '')")
+    df = restore_twice(responses, maps, key, text, out).join(fakes, key, "left")
+    return df.withColumn(out, F.expr(f"if(_fakes is null, {out}, aggregate(_fakes, {out}, (t, f) -> if(contains(t, f.synthetic_value), {step}, t)))")).drop("_fakes")
+
+
+def reversible(text: str, scope: str, fakes: str) -> str:
+    """SQL: whether a text holds a known placeholder in any form or one of an array of synthetic values."""
+    v = quoted(VARIANT)
+    return f"(exists(regexp_extract_all({text}, {v}, 0), m -> {scope}[{canonical('m')}] is not null) or exists({fakes}, f -> f != '' and contains({text}, f)))"
+
+
+def visible(text: str, tokens: str) -> str:
+    """SQL: the tokens of an array that stand in a text literally."""
+    return f"filter({tokens}, t -> t != '' and contains({text}, t))"

@@ -48,3 +48,23 @@ def unresolved(seen: DataFrame, scope: DataFrame, key: str = "conv") -> DataFram
 def filed(filings: DataFrame, *, token: str = "token", place: str = "conv", ts: str = "ts") -> DataFrame:
     """Where each token lies now: the place of its latest filing."""
     return filings.groupBy(token).agg(F.max_by(place, ts).alias(place), F.max(ts).alias(ts))
+
+
+def refiled(filings: DataFrame, new: DataFrame, *, token: str = "token", place: str = "conv", ts: str = "ts") -> DataFrame:
+    """The filings and new ones, each once: filing the same rows again changes nothing."""
+    return filings.select(token, place, ts).unionByName(new.select(token, place, ts)).distinct()
+
+
+def owned(entries: DataFrame, emitted: DataFrame, key: str = "conv") -> DataFrame:
+    """Entries (key, token, original) whose token the session itself put on the page (key, token)."""
+    return entries.join(emitted.select(key, "token").distinct(), [key, "token"], "left_semi")
+
+
+def ledger_kept(ledger: DataFrame, record: DataFrame, key: str = "conv") -> DataFrame:
+    """The ledger without conversations that have a record already: theirs starts anew."""
+    return ledger.join(record.select(key).distinct(), key, "left_anti")
+
+
+def without(records_: DataFrame, place: str | None = None, key: str = "conv") -> DataFrame:
+    """Records without those of one conversation, or, without a place, none."""
+    return records_.filter(F.lit(False)) if place is None else records_.filter(~F.col(key).eqNullSafe(F.lit(place)))

@@ -1 +1,3 @@
 """Registered queries and the SQL that checks them."""
+
+from maskwright.plans import registry, review  # noqa: F401  both register

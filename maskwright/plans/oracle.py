@@ -40,7 +40,7 @@ CHECK = f"""case entity_type when 'CREDIT_CARD' then {LUHN} when 'IBAN' then {IB
 def detected(table: str = "documents") -> str:
     """CTEs ending in det: the detected spans (doc_id, span_idx, start, end, entity_type, score, text, source)."""
     n, tok = CONFIG.context_window + 1, r"[\pL\pN''-]"
-    words = " ".join(f"when '{k}' then {_list(v.split())}" for k, v in KEYWORDS.items())
+    words = " ".join(f"when '{k}' then {_list(v)}" for k, v in KEYWORDS.items())
     prec = f"case when entity_type in ({', '.join(repr(x) for x in STRUCTURED)}) then 2 else 1 end"
     return f"""{raw(table)},
     ok as (select * from raw where {CHECK}),

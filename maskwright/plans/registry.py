@@ -178,9 +178,10 @@ def vault_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _anonymized(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame]:
-    docs = D.detect(documents(spark, sf_dir))
-    known = materialise(vault.identities(D.exploded(docs, "doc_id")), "vault")
-    return vault.anonymize(docs, known, mode=mode), known
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    spans = materialise(D.detect(docs).select("doc_id", "spans"), "spans")  # narrow, and read twice
+    known = materialise(vault.identities(D.exploded(spans, "doc_id")), "vault")
+    return vault.anonymize(docs, known, mode=mode, found=spans), known
 
 
 @query(f"with recursive {O.detected()}, {O.VAULT}, {O.replaced('v.placeholder')} select doc_id, sha256(anonymized) as digest, n_spans from anon")

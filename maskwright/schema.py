@@ -32,19 +32,19 @@ RECOGNIZERS = (
 
 # Words that support a type when they stand near a span.
 KEYWORDS = {
-    "PERSON": "name named called mr mrs ms dr prof author patient client employee contact person user owner recipient sender",
-    "EMAIL": "email e-mail mail contact send write reach address",
-    "PHONE": "phone call tel telephone mobile cell fax number dial reach",
-    "LOCATION": "address street city state country zip postal live lives located from born based",
-    "ADDRESS": "address street st road rd avenue ave lane ln zip postal",
-    "URL": "url link website web site homepage profile",
-    "USERNAME": "username user handle login account profile",
-    "PASSWORD": "password passcode secret credential token",
-    "SSN": "ssn social security tax identification id",
-    "CREDIT_CARD": "card credit debit visa mastercard amex payment cc",
-    "IBAN": "iban bank account transfer wire routing",
-    "BANK_ACCOUNT": "bank account routing transfer wire swift bic",
-    "DATE": "born birthday dob date birth issued expires expiry",
+    "PERSON": ("name", "named", "called", "mr", "mrs", "ms", "dr", "prof", "author", "patient", "client", "employee", "contact", "person", "user", "owner", "recipient", "sender"),
+    "EMAIL": ("email", "e-mail", "mail", "contact", "send", "write", "reach", "address"),
+    "PHONE": ("phone", "call", "tel", "telephone", "mobile", "cell", "fax", "number", "dial", "reach"),
+    "LOCATION": ("address", "street", "city", "state", "country", "zip", "postal", "live", "lives", "located", "from", "born", "based"),
+    "ADDRESS": ("address", "street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "zip", "postal"),
+    "URL": ("url", "link", "website", "web", "site", "homepage", "profile"),
+    "USERNAME": ("username", "user", "handle", "login", "account", "profile"),
+    "PASSWORD": ("password", "passcode", "secret", "credential", "token"),
+    "SSN": ("ssn", "social", "security", "tax", "identification", "id"),
+    "CREDIT_CARD": ("card", "credit", "debit", "visa", "mastercard", "amex", "payment", "cc"),
+    "IBAN": ("iban", "bank", "account", "transfer", "wire", "routing"),
+    "BANK_ACCOUNT": ("bank", "account", "routing", "transfer", "wire", "swift", "bic"),
+    "DATE": ("born", "birthday", "dob", "date", "birth", "issued", "expires", "expiry"),
 }
 
 # Type, group, sensitivity baseline and delta, least NER score, size of the synthetic pool.

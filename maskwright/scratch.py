@@ -14,10 +14,13 @@ _local: dict[str, str] = {}
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``; it goes when the driver ends.
 
-    Only where that setting is absent (tests in local mode) a temporary folder of this machine
-    stands in.
+    Only where that setting is absent and all runs on this machine (tests in local mode) a temporary
+    folder stands in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local.setdefault("dir", tempfile.mkdtemp(prefix="maskwright-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = shared or _local.setdefault("dir", tempfile.mkdtemp(prefix="maskwright-"))
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(discard, spark, path)
     return path

@@ -24,8 +24,15 @@ def faulty_gold() -> Column:
 
 
 def write_corpus(examples: DataFrame, corpus_id: str, path: str) -> None:
-    """A metadata record and the examples as JSON lines."""
+    """A metadata record and the examples as JSON lines; fails before it writes if an id is repeated or a gold span faulty.
+
+    Spark's commit puts the files in place as its last step, so a failed write leaves no corpus.
+    """
     spark = examples.sparkSession
+    faulty = examples.filter(faulty_gold()).count()
+    repeated = examples.groupBy("id").count().filter("count > 1").count()
+    if faulty or repeated:
+        raise ValueError(f"{faulty} examples with faulty gold spans, {repeated} repeated ids")
     meta = spark.createDataFrame([("metadata", 1, corpus_id, "utf8-bytes")], "recordType string, schemaVersion int, corpusId string, spanOffsetUnit string")
     meta.unionByName(examples.withColumn("recordType", F.lit("example")), allowMissingColumns=True).write.json(path)
 

@@ -15,15 +15,30 @@ from pyspark.sql import functions as F
 MAX_BYTES, MAX_CHARS, MAX_UNPACKED = 25 * 2**20, 150_000, 200 * 2**20
 # Formats by extension and by media type.
 EXTENSIONS = {"pdf": "pdf", "docx": "docx", "docm": "docx", "dotx": "docx", "dotm": "docx", "xlsx": "xlsx", "xlsm": "xlsx", "xltx": "xlsx", "xltm": "xlsx", "pptx": "pptx", "pptm": "pptx", "potx": "pptx", "potm": "pptx", "ppsx": "pptx", "ppsm": "pptx"}
+MEDIA = {
+    "application/pdf": "pdf",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.ms-word.document.macroenabled.12": "docx",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.template": "docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+    "application/vnd.ms-excel.sheet.macroenabled.12": "xlsx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.template": "xlsx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx",
+    "application/vnd.ms-powerpoint.presentation.macroenabled.12": "pptx",
+    "application/vnd.openxmlformats-officedocument.presentationml.slideshow": "pptx",
+    "application/vnd.openxmlformats-officedocument.presentationml.template": "pptx",
+}
+_MAIN = {"docx": r"word/document\.xml", "pptx": r"ppt/presentation\.xml|ppt/slides/slide\d+\.xml", "xlsx": r"xl/workbook\.xml|xl/worksheets/sheet\d+\.xml"}
 _ENTITY = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 #: Extractors of further formats (pdf needs a library of the user's choice): bytes to text.
 PROVIDERS: dict[str, Callable[[bytes], str]] = {}
 
 
-def format_of(name: Column) -> Column:
-    """The scannable format of a file name, or null."""
-    table = F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv])
-    return table[F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1))]
+def format_of(name: Column, media: Column | None = None) -> Column:
+    """The scannable format of a file by its name's extension, else by its media type, or null."""
+    table = lambda kinds: F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    by_name = table(EXTENSIONS)[F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1))]
+    return by_name if media is None else F.coalesce(by_name, table(MEDIA)[F.lower(media)])
 
 
 def entities(text: str) -> str:
@@ -108,8 +123,10 @@ def office_text(data: bytes, kind: str) -> tuple[str, str | None]:
     except (zipfile.BadZipFile, OSError, RuntimeError):
         return "corrupt", None
     names, out = [*parts], []
+    if not any(re.fullmatch(_MAIN[kind], n) for n in names):
+        return "corrupt", None
     if kind == "docx":
-        order = [n for n in names if n == "word/document.xml"] + [n for p in (r"word/header(\d*)\.xml", r"word/footer(\d*)\.xml", r"word/footnotes()\.xml", r"word/endnotes()\.xml", r"word/comments()\.xml") for n in _numbered(names, p)]
+        order = [n for n in names if n == "word/document.xml"] + [n for p in (r"word/glossary/document()\.xml", r"word/header(\d*)\.xml", r"word/footer(\d*)\.xml", r"word/footnotes()\.xml", r"word/endnotes()\.xml", r"word/comments()\.xml") for n in _numbered(names, p)]
         out = [_runs(parts[n], "w") for n in order]
     elif kind == "pptx":
         order = [n for p in (r"ppt/slides/slide(\d+)\.xml", r"ppt/notesSlides/notesSlide(\d+)\.xml", r"ppt/charts/chart(\d+)\.xml") for n in _numbered(names, p)]
@@ -133,11 +150,14 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     Files over the size limit keep their row, and their content is not passed on.
     """
     files = spark.read.format("binaryFile").load(path)
+    # the content of files over the limit is not read
+    small = files.filter(F.col("length") <= MAX_BYTES).select("path", "content")
+    files = small.unionByName(files.filter(F.col("length") > MAX_BYTES).select("path", F.lit(None).cast("binary").alias("content")))
     kind = format_of(F.col("path"))
 
     @F.pandas_udf("status string, text string")
     def extract(data: pd.Series, kinds: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([("unreadable", None) if k is None else ("too-large", None) if d is None else office_text(bytes(d), k) for d, k in zip(data, kinds, strict=True)], columns=["status", "text"])
 
-    found = files.select("path", kind.alias("format"), F.when(F.col("length") <= MAX_BYTES, F.col("content")).alias("data")).select("path", "format", extract("data", "format").alias("x"))
+    found = files.select("path", kind.alias("format"), F.col("content").alias("data")).select("path", "format", extract("data", "format").alias("x"))
     return found.select("path", "format", F.col("x.status").alias("status"), F.substring("x.text", 1, MAX_CHARS).alias("text"), (F.length("x.text") > MAX_CHARS).alias("truncated"))

@@ -10,49 +10,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Milliseconds of a day.
+DAY = 86_400_000
+
+
 def debounced(changes: DataFrame, key: str, ts: str = "ts", wait: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:
     """One row per burst of changes of a key: its last text, once the key was quiet for ``wait``."""
     burst = changes.withWatermark(ts, late).groupBy(F.col(key), F.session_window(ts, wait).alias("burst"))
     return burst.agg(F.max_by("text", ts).alias("text"), F.count(F.lit(1)).alias("changes")).select(key, F.col("burst.start").alias("first"), F.col("burst.end").alias("due"), "text", "changes")
 
 
-def changed(texts: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """Rows whose text differs from the key's text before; state is one text a key."""
+def _ordered(frames: Iterator[pd.DataFrame], ts: str) -> pd.DataFrame:
+    """All rows of a key in a batch, by time."""
+    return pd.concat(list(frames)).sort_values(ts, kind="stable")
+
+
+def changed(texts: DataFrame, key: str, ts: str = "ts", forget: int = DAY) -> DataFrame:
+    """Rows whose text differs from the key's text before; state is one text a key, gone after ``forget`` idle ms."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for frame in frames:
-            frame = frame.sort_values(ts, kind="stable")
-            keep = []
-            for t in frame["text"]:
-                keep.append(t != last)
-                last = t
-            yield frame[keep][[key, ts, "text"]]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, keep = state.get[0] if state.exists else None, []
+        frame = _ordered(frames, ts)
+        for t in frame["text"]:
+            keep.append(t != last)
+            last = t
         state.update((last,))
+        state.setTimeoutDuration(forget)
+        yield frame[keep][[key, ts, "text"]]
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, ts, "text").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, text string", "text string", "append", GroupStateTimeout.NoTimeout)
+    return texts.select(key, ts, "text").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, text string", "text string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def accepted(copies: DataFrame, key: str, ts: str = "ts", millis: int = 250) -> DataFrame:
-    """Rows but those that repeat the key's last accepted text within ``millis`` of its acceptance."""
+def accepted(copies: DataFrame, key: str, ts: str = "ts", millis: int = 250, forget: int = DAY) -> DataFrame:
+    """Rows but those that repeat the key's last accepted text within ``millis`` of its acceptance; state goes after ``forget`` idle ms."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         text, at = state.get if state.exists else (None, None)
-        for frame in frames:
-            frame = frame.sort_values(ts, kind="stable")
-            keep = []
-            for t, when in zip(frame["text"], frame[ts], strict=True):
-                now = int(when.value // 1_000_000)
-                take = at is None or t != text or now - at >= millis
-                keep.append(take)
-                if take:
-                    text, at = t, now
-            yield frame[keep][[key, ts, "text"]]
+        frame, keep = _ordered(frames, ts), []
+        for t, when in zip(frame["text"], frame[ts], strict=True):
+            now = int(when.value // 1_000_000)
+            take = at is None or t != text or now - at >= millis
+            keep.append(take)
+            if take:
+                text, at = t, now
         state.update((text, at))
+        state.setTimeoutDuration(forget)
+        yield frame[keep][[key, ts, "text"]]
 
     kind = copies.schema[key].dataType.simpleString()
-    return copies.select(key, ts, "text").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, text string", "text string, at long", "append", GroupStateTimeout.NoTimeout)
+    return copies.select(key, ts, "text").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, text string", "text string, at long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, ts: str, *by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
