@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
         above = F.coalesce(F.sum("n").over(Window.partitionBy("dim", "qb", "pos").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         was = each.select("dim", "qb", "pos", F.lit(lo).cast("long").alias("lo"), F.lit(k).cast("long").alias("need")) if flat is None else flat
         kth = sums.withColumn("above", above).join(was, ["dim", "qb", "pos"]).filter("above < need and above + n >= need")
-        new = kth.select("dim", "qb", "pos", (F.col("lo") + F.col("bin") * F.lit(width)).cast("long").alias("lo"), (F.col("need") - F.col("above")).alias("need"))
+        new = kth.select("dim", "qb", "pos", (F.col("lo").cast("decimal(20,0)") + F.col("bin").cast("decimal(20,0)") * F.lit(width).cast("decimal(20,0)")).cast("long").alias("lo"), (F.col("need") - F.col("above")).alias("need"))
         # with too few candidates the lowest score is the bound, and stays so
         flat = materialise(each.join(new, ["dim", "qb", "pos"], "left").select("dim", "qb", "pos", F.coalesce("lo", F.lit(lo).cast("long")).alias("lo"), F.coalesce("need", F.lit(2**62)).alias("need")), "topk-state")
         state = flat.groupBy("dim", "qb").agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "need"))).alias("state"))
