@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.scratch import materialise, scratch_path
+from maskwright.scratch import materialise, release, scratch_path
 
-__all__ = ["WORD", "crc_fold", "materialise", "scratch_path", "table"]
+__all__ = ["WORD", "crc_fold", "materialise", "release", "scratch_path", "table"]
 
 #: A word: a run without blank, tab, LF, VT, FF or CR. ``bytes.split()`` splits at the same six.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialise
+from maskwright.llm.common import materialise, release
 from maskwright.llm.tokencount import runs
 
 BANDS = 48
@@ -140,15 +140,18 @@ def components(links: DataFrame) -> DataFrame:
     number of rounds follows the logarithm of the longest chain. Only counts reach the driver.
     """
     both = materialise(links.select("a", "b").unionAll(links.select("b", "a")).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    last = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
+        labels = last.select("node", "comp")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = materialise(step.join(up, "comp", "left").select("node", "old", F.least("comp", "up").alias("comp")), "labels")
+        release(last)
         if new.filter("comp < old").isEmpty():
+            release(both)
             return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        last = new
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,6 +193,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     wanted = placed.select(F.col("rep").alias("key")).distinct()
     sets = materialise(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("t")).filter("t is not null").join(wanted, "key").mapInArrow(build, f"key {kind}, hashes binary"), "neardup-sets")
     links = _rounds(placed, sets, percent)
+    release(sets)  # links are written; the sets are the largest table
+    release(placed)
     comps = components(links)
     found = own.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").groupBy("key").agg(F.min(F.coalesce("comp", "rep")).alias("component_id"))
     out = rows.select("key", "n").join(found, "key", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
@@ -245,7 +250,7 @@ def _blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     kind = left.schema["rep"].dataType.simpleString()
     cut = left.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    rows = left.join(cut, "bucket").join(sets.withColumnRenamed("key", "rep"), "rep")
+    rows = left.join(cut.hint("merge"), "bucket").join(sets.withColumnRenamed("key", "rep"), "rep")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "hashes")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
