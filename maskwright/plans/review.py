@@ -44,6 +44,23 @@ def adaptive_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.exploded(df, "doc_id").select("doc_id", "entity_type", "text")
 
 
+@query(f"with recursive {O.DERIVED}, {O.detected('derived')} select doc_id, span_idx, text from det where not (entity_type = 'EMAIL' and text like '%@mail.example.org')")
+def allow_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that lie in no allowlisted stretch: the addresses stand inside a longer pattern's matches."""
+    df = D.detect(derived(spark, sf_dir))
+    # the index is the span's place before the allowlist
+    df = df.withColumn("spans", F.expr("transform(spans, (s, i) -> named_struct('start', s.start, 'end', s.end, 'entity_type', s.entity_type, 'score', s.score, 'text', s.text, 'source', s.source, 'cs', s.cs, 'ce', s.ce, 'seq', i))"))
+    kept = df.select("doc_id", F.explode(F.expr(policy.allow("spans", "text", ["at *@mail.example.org"]))).alias("s"))
+    return kept.select("doc_id", F.col("s.seq").alias("span_idx"), F.col("s.text").alias("text"))
+
+
+@query(f"with recursive {O.DERIVED}, {O.detected('derived')} select doc_id, start, entity_type, text, source from det union all select doc_id, cast(strlen(substr(text, 1, strpos(text, 'client') - 1)) as integer), 'MISC', 'client', 'manual' from derived where strpos(text, ' client ') > 0")
+def block_over_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocklisted addresses that are detected already keep their one span; other matches add theirs."""
+    df = D.detect(derived(spark, sf_dir)).withColumn("spans", F.expr(policy.block("spans", "text", [("*@mail.example.org", "EMAIL"), ("Client", "any")])))
+    return D.exploded(df, "doc_id").select("doc_id", "start", "entity_type", "text", "source")
+
+
 # Decisions ---------------------------------------------------------------------------------------
 
 _DECIDED = f"""decided as (select det.doc_id, det.span_idx, det.start, det."end", det.text, case when (det.doc_id + span_idx) % 5 = 0 then 'MISC' else det.entity_type end as entity_type,
@@ -264,7 +281,7 @@ def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def coverage_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order-dependent coverage sample of the examples."""
-    return dataset.coverage(_examples(spark, sf_dir), limit=120).select("id", "language", "lengthBucket")
+    return dataset.coverage(materialise(_examples(spark, sf_dir), "examples"), limit=120).select("id", "language", "lengthBucket")
 
 
 _BUCKET = "case when length(coalesce(text, '')) <= 120 then 'short' when length(coalesce(text, '')) <= 260 then 'medium' else 'long' end"

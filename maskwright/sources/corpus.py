@@ -23,14 +23,14 @@ def faulty_gold() -> Column:
     return F.expr(f"exists(goldSpans, g -> g.start < 0 or g.start >= g.end or g.end > octet_length(text) or not ({slice_} <=> encode(g.text, 'utf-8')))")
 
 
-def write_corpus(examples: DataFrame, corpus_id: str, path: str) -> None:
-    """A metadata record and the examples as JSON lines; fails before it writes if an id is repeated or a gold span faulty.
+def write_corpus(examples: DataFrame, corpus_id: str, path: str, validate: bool = False) -> None:
+    """A metadata record and the examples as JSON lines; with ``validate`` fails before it writes if an id is repeated or a gold span faulty.
 
     Spark's commit puts the files in place as its last step, so a failed write leaves no corpus.
     """
     spark = examples.sparkSession
-    faulty = examples.filter(faulty_gold()).count()
-    repeated = examples.groupBy("id").count().filter("count > 1").count()
+    faulty = examples.filter(faulty_gold()).count() if validate else 0
+    repeated = examples.groupBy("id").count().filter("count > 1").count() if validate else 0
     if faulty or repeated:
         raise ValueError(f"{faulty} examples with faulty gold spans, {repeated} repeated ids")
     meta = spark.createDataFrame([("metadata", 1, corpus_id, "utf8-bytes")], "recordType string, schemaVersion int, corpusId string, spanOffsetUnit string")

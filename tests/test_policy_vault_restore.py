@@ -73,8 +73,8 @@ def test_variants(spark):
 
 
 def test_literals():
-    scope = {"Jordan Park": "Ann", "Jordan": "Bob", "[EMAIL_1]": "a@b.com"}
-    assert restore.resolve_text("Jordan Park, Jordan, Jordans email 1", scope) == "Ann, Bob, Jordans a@b.com"
+    scope = {"Robin Vale": "Ann", "Robin": "Bob", "[EMAIL_1]": "a@b.com"}
+    assert restore.resolve_text("Robin Vale, Robin, Robins email 1", scope) == "Ann, Bob, Robins a@b.com"
     assert restore.resolve_text("email 1 [EMAIL_1]", scope, frozenset(["[EMAIL_1]"])) == "email 1 a@b.com"
 
 

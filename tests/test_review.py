@@ -209,11 +209,11 @@ def test_switches_stick(spark):
 
 
 def test_vault_restoring(spark):
-    records = spark.createDataFrame([("k", "[PERSON_1]", "Jordan Park", "Ada Löwe"), ("k", "[PERSON_2]", "Jordan", "Bo"), ("k", "[URL_1]", "", "u")], "key string, placeholder string, synthetic_value string, original_text string")
-    texts = ["[PERSON_1] and person 2", "Jordan Park met Jordan, not Jordans or _Jordan", "JordanJordan", "[PERSON_9] [URL_1]", None]
+    records = spark.createDataFrame([("k", "[PERSON_1]", "Robin Vale", "Ada Löwe"), ("k", "[PERSON_2]", "Robin", "Bo"), ("k", "[URL_1]", "", "u")], "key string, placeholder string, synthetic_value string, original_text string")
+    texts = ["[PERSON_1] and person 2", "Robin Vale met Robin, not Robins or _Robin", "RobinRobin", "[PERSON_9] [URL_1]", None]
     df = spark.createDataFrame([(i, "k" if i != 3 else "k", t) for i, t in enumerate(texts)], "i int, key string, text string")
     got = {r["i"]: r["restored"] for r in rows(restore.restore_vault(df, records, "key"))}
-    assert got == {0: "Ada Löwe and Bo", 1: "Ada Löwe met Bo, not Jordans or _Jordan", 2: "JordanJordan", 3: "[PERSON_9] u", 4: ""}
+    assert got == {0: "Ada Löwe and Bo", 1: "Ada Löwe met Bo, not Robins or _Robin", 2: "RobinRobin", 3: "[PERSON_9] u", 4: ""}
 
 
 def test_maps_go_on(spark):
@@ -263,8 +263,8 @@ def test_settings():
 
 
 def test_reversible_and_pools(spark):
-    df = spark.createDataFrame([("[PERSON_1]",), ("person_1 here",), ("Jordan Park",), ("[PERSON_2]",)], "t string")
-    scope, fakes = "map('[PERSON_1]', 'x')", "array('Jordan', '')"
+    df = spark.createDataFrame([("[PERSON_1]",), ("person_1 here",), ("Robin Vale",), ("[PERSON_2]",)], "t string")
+    scope, fakes = "map('[PERSON_1]', 'x')", "array('Robin', '')"
     assert [r["r"] for r in rows(df.select(F.expr(restore.reversible("t", scope, fakes)).alias("r")))] == [True, True, True, False]
     kinds = spark.createDataFrame([("PERSON",), ("EMAIL",), ("URL",)], "k string")
     assert [r["n"] for r in rows(kinds.select(settings.pool_size(F.col("k")).alias("n")))] == [24, 24, 0]
