@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import fingerprint, langid, lm, mixing, neardup, packing, quality, tokencount, topk, warc
+from maskwright.llm import fingerprint, langid, lm, merkle, mixing, neardup, packing, quality, tokencount, topk, warc
 from maskwright.llm.common import crc_fold, scratch_path, table
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
@@ -58,7 +60,16 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_fingerprints": op4_fingerprints, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op9_lm_scores": op9_lm_scores, "op10_langid": op10_langid}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, crc_fold(F.col("doc_id"), 5) == 0, F.translate("text", UPPER, UPPER.lower()))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_fingerprints": op4_fingerprints, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op9_lm_scores": op9_lm_scores, "op10_langid": op10_langid, "op11_merkle": op11_merkle}
+#: SQL: a field as it is hashed, and the unsigned crc32 of a document's decimal id by its bits.
+_FIELD = "case when {0} is null then '-' else strlen(cast({0} as varchar)) || ':' || {0} end"
+_CRC = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, length(coalesce(cast(doc_id as varchar), '')) + 1), lambda i: cast(ascii(substr(coalesce(cast(doc_id as varchar), ''), i, 1)) as bigint))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end)) )"""
 SQL: dict[str, str] = {
     # twenty bits, five hex digits, make four base32 characters
     "op1_warc": """
@@ -108,4 +119,28 @@ SQL: dict[str, str] = {
         select r.a as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.b) as component_id, r.a = min(r.b) as kept
         from reach r left join n on n.doc_id = r.a group by r.a
     """,
+    # levels are grouped until one node a source is left, then over the subroots; proofs and folds walk a node's ancestors
+    "op11_merkle": rf"""
+        with recursive d as (select *, {_FIELD.format('doc_id')} || {_FIELD.format('source')} || {_FIELD.format('lang')} || {_FIELD.format('n_chars')} as head from documents),
+        l as (select doc_id, source, sha256(head || {_FIELD.format('text')}) as leaf,
+            case when {_CRC} % 5 = 0 then sha256(head || {_FIELD.format(f"translate(text, '{UPPER}', '{UPPER.lower()}')")}) end as now from d),
+        s as (select source, row_number() over (order by encode(source) nulls first) - 1 as g from (select distinct source from l)),
+        p as (select l.*, s.g, row_number() over (partition by s.g order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by s.g) as n from l join s on l.source is not distinct from s.source),
+        a(level, g, pos, n, digest) as (select 0, g, pos, n, leaf from p
+            union all select level + 1, g, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' order by pos)) from a where n > 1 group by level, g, pos // 16),
+        t as (select g, max(level) as height, arg_max(digest, level) as subroot from a group by g),
+        b(level, pos, n, digest) as (select 0, g, (select count(*) from s), subroot from t
+            union all select level + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(digest, '' order by pos)) from b where n > 1 group by level, pos // 16),
+        r as (select arg_max(digest, level) as root from b),
+        -- u: 0 for a source's tree, 1 for the tree of subroots
+        step as (select 1 as own, level, g, u, pos, coalesce(string_agg(other, '' order by opos) filter (opos < pos), '') as l, coalesce(string_agg(other, '' order by opos) filter (opos > pos), '') as r from (
+                select 0 as u, m.level, m.g, m.pos, o.digest as other, o.pos as opos from a m join a o on o.level = m.level and o.g = m.g and o.pos // 16 = m.pos // 16 where m.n > 1
+                union all select 1, m.level, 0, m.pos, o.digest, o.pos from b m join b o on o.level = m.level and o.pos // 16 = m.pos // 16 where m.n > 1) group by all),
+        f(doc_id, leaf, source, g, u, level, place, proof, folded) as (select doc_id, leaf, source, g, 0, 0, pos, '', coalesce(now, leaf) from p
+            union all select f.doc_id, f.leaf, f.source, f.g, case when step.own is null then f.u + 1 else f.u end, case when step.own is null then 0 else f.level + 1 end,
+                case when step.own is null then f.g else f.place // 16 end, f.proof || coalesce(step.l || step.r, ''), case when step.own is null then f.folded else sha256(step.l || f.folded || step.r) end
+            from f left join step on step.u = f.u and step.level = f.level and step.pos = f.place and step.g = case when f.u = 0 then f.g else 0 end where f.u < 2)
+        select f.doc_id, f.leaf, t.subroot, r.root, sha256(f.proof) as proof_sha256, f.folded as folded_root, f.folded = r.root as verified
+        from f join t on t.g = f.g, r where f.u = 2
+    """,
 }
