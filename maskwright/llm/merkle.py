@@ -55,7 +55,7 @@ def ranged(rows: DataFrame, tree: str, *order: str, name: str) -> tuple[DataFram
 
 
 #: A row's place in its tree.
-_POS = F.col("_at") - F.col("_first") + F.col("_before")
+_POS = "_at - _first + _before"
 
 
 def climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -113,11 +113,11 @@ def manifest(docs: DataFrame, tampered: Column, text_after: Column) -> DataFrame
     heads = materialise(heads, "heads")
     # sources get their places by code point, null first; a place stands for the source from here on
     sources, of_all = ranged(heads.select("source").distinct().withColumn("all", F.lit(0)), "all", "source", name="sources")
-    sources = sources.join(of_all.select("_range", "_first", "_before"), "_range").select(F.col("source").alias("_s"), _POS.alias("tree"))
+    sources = sources.join(of_all.select("_range", "_first", "_before"), "_range").select(F.col("source").alias("_s"), F.expr(_POS).alias("tree"))
     heads = heads.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     heads = heads.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_first", "_before", "n", "tree")
     nodes = leaves.join(heads, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    nodes = materialise(nodes.select("tree", _POS.alias("pos"), "n", "digest", F.struct("doc_id", "now").alias("payload")), "nodes")
+    nodes = materialise(nodes.select("tree", F.expr(_POS).alias("pos"), "n", "digest", F.struct("doc_id", "now").alias("payload")), "nodes")
     levels, roots = climb(nodes)
     roots = materialise(roots, "subroots")
     top = roots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("pos"), F.lit(roots.count()).cast("long").alias("n"), "digest", F.struct("height").alias("payload"))
