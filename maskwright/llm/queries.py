@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import fingerprint, langid, lm, merkle, mixing, neardup, packing, quality, tokencount, topk, warc
+from maskwright.llm import fingerprint, langid, lexical, lm, merkle, mixing, neardup, packing, quality, tokencount, topk, warc
 from maskwright.llm.common import crc_fold, scratch_path, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -65,11 +65,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, crc_fold(F.col("doc_id"), 5) == 0, F.translate("text", UPPER, UPPER.lower()))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_fingerprints": op4_fingerprints, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op9_lm_scores": op9_lm_scores, "op10_langid": op10_langid, "op11_merkle": op11_merkle}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_fingerprints": op4_fingerprints, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op9_lm_scores": op9_lm_scores, "op10_langid": op10_langid, "op11_merkle": op11_merkle, "op12_lexical_search": op12_lexical_search}
 #: SQL: a field as it is hashed, and the unsigned crc32 of a document's decimal id by its bits.
 _FIELD = "case when {0} is null then '-' else strlen(cast({0} as varchar)) || ':' || {0} end"
 _CRC = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, length(coalesce(cast(doc_id as varchar), '')) + 1), lambda i: cast(ascii(substr(coalesce(cast(doc_id as varchar), ''), i, 1)) as bigint))),
     lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end)) )"""
+_TERMS = rf"regexp_extract_all(translate({{0}}, '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 SQL: dict[str, str] = {
     # twenty bits, five hex digits, make four base32 characters
     "op1_warc": """
@@ -143,4 +148,15 @@ SQL: dict[str, str] = {
         select f.doc_id, f.leaf, t.subroot, r.root, sha256(f.proof) as proof_sha256, f.folded as folded_root, f.folded = r.root as verified
         from f join t on t.g = f.g, r where f.u = 2
     """,
+    "op12_lexical_search": rf"""
+        with d as (select doc_id, {_TERMS.format('text')} as w from documents where len({_TERMS.format('text')}) > 0),
+        c as (select count(*) as docs, cast(sum(len(w)) as bigint) as words from d),
+        f as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from d) group by all),
+        v as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from f, c group by term, docs),
+        m as (select doc_id, 75 + (25 * len(w) * docs) // words as m from d, c),
+        q as (select item_id, term, count(*) as times from (select item_id, unnest({_TERMS.format('text')}) as term from benchmark) group by all),
+        s as (select item_id, f.doc_id, cast(sum(times * v.w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score from q join f using (term) join v using (term) join m on m.doc_id = f.doc_id group by all),
+        r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+        select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 20
+    """,
 }
