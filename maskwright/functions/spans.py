@@ -4,32 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from maskwright.functions.text import let, quoted
+from maskwright.functions.text import before, islands, let, quoted, upto
 from maskwright.schema import DATE_PATTERN, INNER, KEYWORDS, RECOGNIZERS, STRUCTURED, TYPES, DetectionConfig
 
 EMPTY = f"cast(array() as array<{INNER}>)"
 
 
-#: Matches whose lengths are added up at once.
-_BLOCK = 64
-
-
 def matches(text: str, pattern: str, entity_type: str, score: float, source: str, seq: int) -> str:
     """Spans of all matches of a pattern that never matches the empty string.
 
     Matches and the gaps between them come from the same scan, so the lengths of gaps and matches
-    before a match add up to its offset: first in blocks, then from the start of a match's block.
+    before a match, in bytes and in characters, add up to its place.
     """
     p = quoted(pattern)
     found = f"named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))"
-    step = "transform(z.m, (x, i) -> named_struct('b', octet_length(z.g[i]) + octet_length(x), 'c', char_length(z.g[i]) + char_length(x)))"
-    total = lambda f: f"aggregate(sequence(k * {_BLOCK}, least(k * {_BLOCK} + {_BLOCK}, size(t)) - 1), 0, (a, q) -> a + t[q].{f})"
-    blocks = f"transform(sequence(0, (size(t) - 1) div {_BLOCK}), k -> named_struct('b', {total('b')}, 'c', {total('c')}))"
-    before = lambda f: f"aggregate(filter(v, (y, q) -> q < i div {_BLOCK}), 0, (a, y) -> a + y.{f}) + aggregate(sequence(0, i % {_BLOCK}), 0, (a, r) -> a + if(r = 0, 0, t[i - r].{f}))"
-    # position in bytes, then in characters
-    place = f"named_struct('b', {before('b')} + octet_length(z.g[i]), 'c', {before('c')} + char_length(z.g[i]), 'x', x)"
+    length = lambda f: f"transform(z.m, (x, i) -> {f}(z.g[i]) + {f}(x))"
+    place = lambda u, s, f: f"{upto(u, s, 'a + x')} + {f}(z.g[i])"
+    at = f"named_struct('b', {place('lb', 'sb', 'octet_length')}, 'c', {place('lc', 'sc', 'char_length')}, 'x', q)"
     span = f"named_struct('start', w.b, 'end', w.b + octet_length(w.x), 'entity_type', {quoted(entity_type)}, 'score', {score}D, 'text', w.x, 'source', {quoted(source)}, 'cs', w.c, 'ce', w.c + char_length(w.x), 'seq', {seq})"
-    spans = let(step, "t", let(blocks, "v", f"transform(transform(z.m, (x, i) -> {place}), w -> {span})"))
+    spans = f"transform(transform(z.m, (q, i) -> {at}), w -> {span})"
+    for name, value in (("sc", before("lc", "a + x")), ("sb", before("lb", "a + x")), ("lc", length("char_length")), ("lb", length("octet_length"))):
+        spans = let(value, name, spans)
     return let(found, "z", f"if(size(z.m) = 0, {EMPTY}, {spans})")
 
 
@@ -112,11 +107,9 @@ def merged(spans: str) -> str:
     higher or, at equal precedence, its score.
     """
     order = "case when a.start != b.start then a.start - b.start when a.score != b.score then if(a.score > b.score, -1, 1) else a.seq - b.seq end"
-    last = "element_at(acc, -1)"
     better = f"({precedence('s')} > {precedence('l')} or {precedence('s')} = {precedence('l')} and s.score > l.score)"
-    step = let(last, "l", f"if(s.start < l.end and l.start < s.end, if({better}, concat(slice(acc, 1, size(acc) - 1), array(s)), acc), concat(acc, array(s)))")
-    fold = f"aggregate(array_sort({spans}, (a, b) -> {order}), {EMPTY}, (acc, s) -> if(size(acc) = 0, array(s), {step}))"
-    return fold
+    step = let("element_at(acc, -1)", "l", f"if(s.start < l.end and l.start < s.end, if({better}, concat(slice(acc, 1, size(acc) - 1), array(s)), acc), concat(acc, array(s)))")
+    return islands(f"array_sort({spans}, (a, b) -> {order})", lambda part: f"aggregate({part}, {EMPTY}, (acc, s) -> if(size(acc) = 0, array(s), {step}))")
 
 
 def confident(spans: str, config: DetectionConfig) -> str:

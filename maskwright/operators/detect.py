@@ -30,7 +30,8 @@ def detect(df: DataFrame, text: str = "text", config: DetectionConfig = Detectio
 
 def exploded(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
     """A row per span: keys, span_idx (from 0) and the span's fields."""
-    rows = df.select(*keys, F.posexplode(spans).alias("span_idx", "s"))
+    # an outer generator: for a plain one Spark pushes size(spans) > 0, and with it all of detection, below itself
+    rows = df.select(*keys, F.posexplode_outer(spans).alias("span_idx", "s")).filter("span_idx is not null")
     return rows.select(*keys, "span_idx", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.entity_type").alias("entity_type"), F.col("s.score").alias("score"), F.col("s.text").alias("text"), F.col("s.source").alias("source"))
 
 

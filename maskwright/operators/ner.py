@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import matches
-from maskwright.functions.text import let
+from maskwright.functions.text import islands, let
 from maskwright.schema import SPAN
 
 # The dictionary provider's entities with type and score.
@@ -82,10 +82,12 @@ def merged_by_type(spans: str) -> str:
 
     Better is the higher score, then the longer, the earlier start, the earlier end.
     """
-    order = "case when a.entity_type != b.entity_type then if(a.entity_type < b.entity_type, -1, 1) when a.start != b.start then a.start - b.start else a.end - b.end end"
+    order = "case when a.start != b.start then a.start - b.start else a.end - b.end end"
     better = "case when s.score != l.score then s.score > l.score when s.end - s.start != l.end - l.start then s.end - s.start > l.end - l.start when s.start != l.start then s.start < l.start else s.end < l.end end"
-    step = f"element_at(transform(array(element_at(m, -1)), l -> if(s.entity_type = l.entity_type and s.start < l.end and l.start < s.end, concat(slice(m, 1, size(m) - 1), array(if({better}, s, l))), concat(m, array(s)))), 1)"
-    fold = f"aggregate(array_sort({spans}, (a, b) -> {order}), cast(array() as array<{SPAN}>), (m, s) -> if(size(m) = 0, array(s), {step}))"
+    none = f"cast(array() as array<{SPAN}>)"
+    step = let("element_at(acc, -1)", "l", f"if(s.start < l.end and l.start < s.end, concat(slice(acc, 1, size(acc) - 1), array(if({better}, s, l))), concat(acc, array(s)))")
+    one = islands("filter(o, s -> s.entity_type = ty)", lambda part: f"aggregate({part}, {none}, (acc, s) -> if(size(acc) = 0, array(s), {step}))")
+    fold = let(f"array_sort({spans}, (a, b) -> {order})", "o", f"flatten(transform(array_distinct(transform(o, s -> s.entity_type)), ty -> {one}))")
     return f"array_sort({fold}, (a, b) -> if(a.start != b.start, a.start - b.start, a.end - b.end))"
 
 

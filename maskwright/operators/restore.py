@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import let, quoted
+from maskwright.functions.text import edited, let, quoted
+from maskwright.operators.vault import first_of
 from maskwright.schema import TYPES
 from maskwright.scratch import materialise
 
@@ -111,9 +112,9 @@ def by_map(docs: DataFrame, doc: str = "doc_id", text: str = "text", spans: str
     maps = materialise(known.select(doc, "token", "original").unionByName(made), "maps")
     # of several tokens of a text the first in code-point order
     table = maps.groupBy(doc, "original").agg(F.min("token").alias("token")).groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("original", "token"))).alias("_map"))
-    step = "if(s.cs < a.at, a, named_struct('at', s.ce, 'out', concat(a.out, substring(_body, a.at + 1, s.cs - a.at), _map[s.text])))"
-    fold = f"aggregate(array_sort({spans}, (x, y) -> x.start - y.start), named_struct('at', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(_body, a.at + 1)))"
-    out = docs.withColumn("_body", F.coalesce(F.col(text), F.lit(""))).join(table, doc, "left").withColumn("anonymized", F.expr(f"if(size({spans}) > 0, {fold}, _body)"))
+    tokens = f"transform(array_sort({spans}, (x, y) -> x.start - y.start), s -> named_struct('start', s.start, 'end', s.end, 'value', _map[s.text]))"
+    out = docs.withColumn("_body", F.coalesce(F.col(text), F.lit(""))).join(table, doc, "left")
+    out = out.withColumn("_edits", F.expr(first_of(tokens, "start int, end int, value string"))).withColumn("anonymized", F.expr(edited("_body", "_edits")))
     return out.select(doc, "anonymized"), maps
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import normalized_key, quoted
+from maskwright.functions.text import edited as edited_text
+from maskwright.functions.text import islands, normalized_key, quoted
 from maskwright.scratch import materialise
 
 # Invented values in reserved ranges, as many per type as the numbering rule expects.
@@ -85,6 +86,12 @@ def active(mode: str = "placeholder") -> Column:
     return F.when((F.lit(mode) == "synthetic") & (fake != ""), fake).otherwise(F.col("placeholder"))
 
 
+def first_of(edits: str, fields: str) -> str:
+    """SQL: edits in their order without those that begin before the end of the ones taken so far."""
+    kind = f"struct<{', '.join(':'.join(f.split()) for f in fields.split(','))}>"
+    return islands(edits, lambda part: f"aggregate({part}, cast(array() as array<{kind}>), (a, s) -> if(coalesce(s.start < get(a, size(a) - 1).end, false), a, concat(a, array(s))))")
+
+
 def anonymize(docs: DataFrame, vault: DataFrame, doc: str = "doc_id", text: str = "text", spans: str = "spans", mode: str = "placeholder", found: DataFrame | None = None) -> DataFrame:
     """doc, anonymized text and the number of replaced spans of every row; ``doc`` tells rows apart.
 
@@ -93,16 +100,12 @@ def anonymize(docs: DataFrame, vault: DataFrame, doc: str = "doc_id", text: str
     replaced by its type in brackets, so none stays readable. Of overlapping spans the first is
     replaced.
     """
-    flat = (docs if found is None else found).select(F.col(doc).alias("doc"), F.posexplode(spans).alias("i", "s")).select("doc", "i", F.col("s.entity_type").alias("entity_type"), F.expr(normalized_key("s.text")).alias("normalized_key"), F.col("s.cs").alias("cs"), F.col("s.ce").alias("ce"))
+    flat = (docs if found is None else found).select(F.col(doc).alias("doc"), F.posexplode(spans).alias("i", "s")).select("doc", "i", F.col("s.entity_type").alias("entity_type"), F.expr(normalized_key("s.text")).alias("normalized_key"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     chosen = flat.join(vault.select("entity_type", "normalized_key", active(mode).alias("value")), ["entity_type", "normalized_key"], "left")
     chosen = chosen.withColumn("value", F.coalesce("value", F.concat(F.lit("["), "entity_type", F.lit("]"))))
-    # an edit that begins before the end of those taken so far overlaps them
-    ends = "aggregate(array_sort(x), named_struct('at', -1, 'out', cast(array() as array<struct<i:int,cs:int,ce:int,value:string>>)), (a, s) -> if(s.cs < a.at, a, named_struct('at', s.ce, 'out', concat(a.out, array(s)))), a -> a.out)"
-    edits = chosen.groupBy("doc").agg(F.collect_list(F.struct("i", "cs", "ce", "value")).alias("x")).select("doc", F.expr(ends).alias("edits"))
+    edits = chosen.groupBy("doc").agg(F.collect_list(F.struct("i", "start", "end", "value")).alias("x")).select("doc", F.expr(first_of("array_sort(x)", "i int, start int, end int, value string")).alias("edits"))
     rows = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(edits, "doc", "left")
-    step = "named_struct('at', s.ce, 'out', concat(a.out, substring(body, a.at + 1, s.cs - a.at), s.value))"
-    whole = f"if(edits is null, body, aggregate(edits, named_struct('at', 0, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(body, a.at + 1))))"
-    return rows.select(F.col("doc").alias(doc), F.expr(whole).alias("anonymized"), F.coalesce(F.size("edits"), F.lit(0)).alias("n_spans"))
+    return rows.select(F.col("doc").alias(doc), F.expr(edited_text("body", "edits")).alias("anonymized"), F.coalesce(F.size("edits"), F.lit(0)).alias("n_spans"))
 
 
 def import_records(vault: DataFrame, incoming: DataFrame) -> DataFrame:
