@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import fingerprint, langid, lexical, lm, merkle, mixing, neardup, packing, quality, tokencount, topk, warc
+from maskwright.llm import fingerprint, langid, lexical, lm, merkle, mixing, neardup, packing, quality, suffix, tokencount, topk, warc
 from maskwright.llm.common import crc_fold, scratch_path, table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -69,7 +69,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_fingerprints": op4_fingerprints, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op9_lm_scores": op9_lm_scores, "op10_langid": op10_langid, "op11_merkle": op11_merkle, "op12_lexical_search": op12_lexical_search}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_removed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_fingerprints": op4_fingerprints, "op5_packing": op5_packing, "op6_near_duplicates": op6_near_duplicates, "op7_token_counts": op7_token_counts, "op8_topk": op8_topk, "op9_lm_scores": op9_lm_scores, "op10_langid": op10_langid, "op11_merkle": op11_merkle, "op12_lexical_search": op12_lexical_search, "op13_suffix_dedup": op13_suffix_dedup}
 #: SQL: a field as it is hashed, and the unsigned crc32 of a document's decimal id by its bits.
 _FIELD = "case when {0} is null then '-' else strlen(cast({0} as varchar)) || ':' || {0} end"
 _CRC = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, length(coalesce(cast(doc_id as varchar), '')) + 1), lambda i: cast(ascii(substr(coalesce(cast(doc_id as varchar), ''), i, 1)) as bigint))),
@@ -159,4 +163,16 @@ SQL: dict[str, str] = {
         r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
         select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 20
     """,
+    # every window by its digest; starts that meet run together where they touch
+    "op13_suffix_dedup": """
+        with d as (select doc_id, row_number() over () as r, encode(coalesce(text, '')) as b from documents),
+        w as (select r, i, md5(b[i:i + 199]) as k from d, unnest(range(1, octet_length(b) - 198)) as u(i)),
+        s as (select r, i, lag(i) over (partition by r order by i) as p from w where k in (select k from w group by k having count(*) > 1)),
+        g as (select r, i, sum(case when p is null or i > p + 200 then 1 else 0 end) over (partition by r order by i) as run from s),
+        n as (select r, run, min(i) as a, max(i) + 199 as z from g group by r, run),
+        c as (select n.*, lag(z, 1, 0) over (partition by r order by a) as before from n),
+        k as (select r, count(*) as spans, sum(z - a + 1) as removed, max(z) as last, string_agg(hex(b[before + 1:a - 1]), '' order by a) as head from c join d using (r) group by r)
+        select doc_id, octet_length(b) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans,
+            sha256(unhex(coalesce(head, '') || hex(b[coalesce(last, 0) + 1:]))) as kept_sha256 from d left join k using (r)
+    """,
 }
