@@ -37,13 +37,15 @@ def upto(items: str, sums: str, step: str) -> str:
     return f"aggregate(slice({items}, i - i % {BLOCK} + 1, i % {BLOCK}), {sums}[i div {BLOCK}], (a, x) -> {step})"
 
 
-def islands(spans: str, fold: Callable[[str], str]) -> str:
+def islands(spans: str, fold: Callable[[str], str], apart: int = 0) -> str:
     """SQL: a fold done island by island over spans by start; nothing in an island overlaps what lies outside.
 
-    An island begins where no span before reaches; the furthest end so far is kept by blocks.
+    An island begins where no span before reaches, or with ``apart`` where all before end further away
+    than that; the furthest end so far is kept by blocks.
     """
     most = "greatest(a, x)"
-    starts = f"filter(sequence(0, size(m) - 1), i -> i = 0 or m[i].start >= {upto('e', 'f', most)})"
+    far = f"m[i].start > {upto('e', 'f', most)} + {apart}" if apart else f"m[i].start >= {upto('e', 'f', most)}"
+    starts = f"filter(sequence(0, size(m) - 1), i -> i = 0 or {far})"
     each = f"flatten(transform(h, (p, k) -> {fold('slice(m, p + 1, coalesce(get(h, k + 1), size(m)) - p)')}))"
     return let(spans, "m", f"if(size(m) < 2, m, {let('transform(m, s -> s.end)', 'e', let(before('e', most), 'f', let(starts, 'h', each)))})")
 

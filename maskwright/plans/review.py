@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
-from maskwright.operators import decide, policy, report, restore, scope, score, settings, tokens, vault
+from maskwright.operators import decide, ner, policy, report, restore, scope, score, settings, tokens, vault
 from maskwright.operators import detect as D
 from maskwright.plans import oracle as O
-from maskwright.plans.registry import _DIM, _GOLD, _METRICS, derived, documents, found, query, read
+from maskwright.plans.registry import _DIM, _GOLD, _LETTERS, _METRICS, _NAMES, derived, documents, found, letters, query, read
 from maskwright.scratch import materialise
 from maskwright.sources import dataset
 
@@ -360,15 +358,88 @@ def aligned_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.expr("size(filter(places, p -> p is not null))").cast("long").alias("n_placed"), "placed", F.expr(covered).alias("covered"))
 
 
-_PIECE = re.compile(r"\s*(\w{1,6}|[^\w\s])")
+#: Letters with accents as the texts have them, and without.
+_ACCENTS = ("áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
+_BARE = f"translate(lower({{0}}), '{_ACCENTS[0]}', '{_ACCENTS[1]}')"
 
 
-def pieces_of(text: str) -> list[str]:
-    """Pieces of at most six characters, a word's first with the mark of a start."""
-    return [("▁" if m.start() < m.start(1) or m.start() == 0 else "") + m[1] for m in _PIECE.finditer(text)]
+@query(
+    rf"""with t as (select doc_id, coalesce(text, '') as t from documents), l as (select doc_id, t, regexp_extract_all(t, '[^ \t\n\r]+') as w, string_split_regex(t, '[^ \t\n\r]+') as g from t),
+    r as (select doc_id, k, w[k] as w, {_BARE.format('w[k]')} as f, {_BARE.format('w[k + 1]')} as nf, length(g[k]) as gap from l, unnest(range(1, len(w) + 1)) as u(k)),
+    a as (select *, sum(gap + length(w)) over (partition by doc_id order by k) - length(w) as o, (k - 1) % 7 = 3 and nf is not null and length(w) <= 40 and strpos(f || ' ' || nf, substr(nf, 1, 4)) = length(f) + 2 as lost from r),
+    c as (select doc_id, sum(case when length(f) > 4 and not lost then 2 else 1 end) as n_pieces, count(*) filter (lost) as n_lost, sum(length(w)) filter (not lost) as covered,
+        sum(case when lost then 0 when length(f) > 4 then (o + o + 4) + (o + 4 + o + length(w)) else o + o + length(w) end) as places from a group by doc_id)
+    select t.doc_id, cast(coalesce(n_pieces, 0) as bigint) as n_pieces, cast(coalesce(n_pieces - n_lost, 0) as bigint) as n_placed, round(coalesce((n_pieces - n_lost) / n_pieces, 1), 6) as placed, cast(coalesce(covered, 0) as bigint) as covered, cast(coalesce(places, 0) as bigint) as places from t left join c using (doc_id)"""
+)
+def aligned_lost_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces without accents, words cut in two, some words lost: all others find their place again."""
+    words = "regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+', 0)"
+    f, nf = _BARE.format("w"), _BARE.format("get(ws, k + 1)")
+    lost = f"k % 7 = 3 and get(ws, k + 1) is not null and char_length(w) <= 40 and locate(substring({nf}, 1, 4), concat({f}, ' ', {nf})) = char_length({f}) + 2"
+    cut = f"case when {lost} then array('⁇') when char_length({f}) > 4 then array(substring({f}, 1, 4), concat('##', substring({f}, 5))) else array({f}) end"
+    pieces = T.let(words, "ws", f"flatten(transform(ws, (w, k) -> {cut}))")
+    out = tokens.aligned(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.expr(pieces).alias("pieces")))
+    total = lambda x: F.expr(f"aggregate(filter(places, p -> p is not null), 0L, (a, p) -> a + {x})")
+    return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.expr("size(filter(places, p -> p is not null))").cast("long").alias("n_placed"), F.round("placed", 6).alias("placed"), total("p.end - p.start").alias("covered"), total("p.end + p.start").alias("places"))
 
 
-@query()
+_PIECES = r"[ \t\n\r]*([\pL\pN_]{1,6}|[^\pL\pN_ \t\n\r])"
+
+
+@query(
+    rf"""with t as (select doc_id, coalesce(text, '') as t from documents), l as (select doc_id, t, regexp_extract_all(t, '{_PIECES}') as w from t),
+    r as (select doc_id, len(w) as n, k - 1 as i, sum(length(w[k])) over (partition by doc_id order by k) - length(ltrim(w[k], ' ' || chr(9) || chr(10) || chr(13))) as o from l, unnest(range(1, len(w) + 1)) as u(k)),
+    c as (select a.doc_id, x.t, a.i // 416 as chunk, case when a.i = 0 then 0 else a.o end as s, coalesce(b.o, length(x.t)) as e from r a join t x on x.doc_id = a.doc_id left join r b on b.doc_id = a.doc_id and b.i = a.i + 480 where a.i % 416 = 0 and (a.i = 0 or a.i + 64 < a.n))
+    select doc_id, cast(chunk as integer) as chunk, cast(s as integer) as start_char, cast(e as integer) as end_char, cast(strlen(substr(t, 1, cast(s as bigint))) as integer) as start_byte, cast(strlen(substr(t, 1, cast(e as bigint))) as integer) as end_byte from c"""
+)
 def token_chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of at most 480 pieces with an overlap of 64."""
-    return tokens.token_chunks(documents(spark, sf_dir), pieces_of).drop("text")
+    """Chunks of at most 480 pieces with an overlap of 64; a piece is a mark or at most six letters, a word's first opens it."""
+    raw = f"regexp_extract_all(coalesce(text, ''), {T.quoted(_PIECES.replace(chr(92) + 'pL', chr(92) + 'p{L}').replace(chr(92) + 'pN', chr(92) + 'p{N}'))}, 0)"
+    pieces = f"transform({raw}, (m, i) -> concat(if(i = 0 or rlike(m, '^[ \\\\t\\\\n\\\\r]'), '▁', ''), ltrim(' \\t\\n\\r', m)))"
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.expr(pieces).alias("pieces"))
+    return tokens.chunked(tokens.aligned(rows, framed=False)).withColumnRenamed("key", "doc_id").drop("text")
+
+
+_LEAST_SCORES = {"EMAIL": 0.8, "PHONE": 0.5, "SSN": 0.5, "PERSON": 0.55, "LOCATION": 0.55, "ORGANIZATION": 0.5}
+
+
+@query(
+    f"""with {O.DERIVED}, p as (select doc_id, text, doc_id % 4 as k, strlen(substr(text, 1, strpos(text, 'user') - 1)) as u, strlen(substr(text, 1, strpos(text, '+1-212') - 1)) as f from derived)
+    select doc_id, 'EMAIL' as entity_type, 'user' || doc_id || '@mail.example.org' as text, cast(u as integer) as start, 0.9::double as score from p where k = 3
+    union all select doc_id, 'ORGANIZATION', 'or', cast(u + strlen('user' || doc_id || '@mail.example.org ') as integer), 0.6 from p where k = 3
+    union all select doc_id, 'PHONE', substr(text, strpos(text, '+1-212'), 15), cast(f as integer), 0.7 from p where k = 3
+    union all select doc_id, 'SSN', substr(text, 5, 11), 4, 0.9 from p where k = 0 and doc_id % 8 = 4
+    union all select doc_id, 'SSN', substr(text, 5, 3), 4, 0.9 from p where doc_id % 8 = 0
+    union all select doc_id, 'PERSON', substr(text, 8, 4), 7, 0.9 from p where doc_id % 8 = 0
+    union all select doc_id, 'SSN', substr(text, 12, 4), 11, 0.5 from p where doc_id % 8 = 0
+    union all select doc_id, 'LOCATION', unnest(['Zahlung', 'an']), unnest([0, 8]), 0.9 from p where k = 1"""
+)
+def repaired_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split predictions over customers' texts: halves rejoined or held apart by a rival, an address given its domain."""
+    at = lambda part, more="0": f"octet_length(substring(text, 1, instr(text, {part}) - 1)) + {more}"
+    span = lambda start, size, kind, score: f"named_struct('start', cast({start} as int), 'end', cast({start} + {size} as int), 'entity_type', '{kind}', 'score', {score}, 'text', '', 'source', 'ner')"
+    user = "concat('user', doc_id, '@')"
+    mail = f"array({span(at(user), f'length({user})', 'EMAIL', '0.9D')}, {span(at(user, f'length({user})'), '19', 'ORGANIZATION', '0.6D')}, {span(at(T.quoted('+1-212')), '6', 'PHONE', '0.7D')}, {span(at(T.quoted('+1-212'), '6'), '9', 'PHONE', '0.4D')})"
+    number = f"array({span('4', '3', 'SSN', '0.9D')}, {span('7', '4', 'PERSON', 'if(doc_id % 8 = 0, 0.9D, 0.3D)')}, {span('11', '4', 'SSN', '0.5D')})"
+    place = f"array({span('0', '7', 'LOCATION', '0.9D')}, {span('8', '2', 'LOCATION', '0.9D')})"
+    rows = derived(spark, sf_dir).withColumn("ner", F.expr(f"case doc_id % 4 when 0 then {number} when 1 then {place} when 2 then filter({place}, x -> false) else {mail} end"))
+    out = tokens.repaired(rows, "ner", least=_LEAST_SCORES)
+    return D.exploded(out, "doc_id", spans="ner").select("doc_id", "entity_type", "text", "start", "score")
+
+
+@query(
+    rf"""with {_LETTERS}, n as (select doc_id, text, {_NAMES}[cast(o_orderkey % 12 as bigint) + 1] as a, {_NAMES}[cast(o_custkey % 12 as bigint) + 1] as b from letters join orders on o_orderkey = doc_id)
+    select doc_id, 'PERSON' as entity_type, a as text, 10 as start, 0.8::double as score from n
+    union all select doc_id, 'USERNAME', b, cast(10 + length(a) + 10 as integer), 0.7 from n
+    union all select doc_id, 'PHONE', substr(text, length(text) - 11), cast(length(text) - 12 as integer), 0.9 from n"""
+)
+def searched_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words without offsets, spelled as models write them, found in order in letters."""
+    names = "array(" + ", ".join(T.quoted(t) for t, _, _ in ner.ENTITIES) + ")"
+    pick = lambda x: f"element_at({names}, cast({x} % 12 as int) + 1)"
+    item = lambda word, kind, score: f"named_struct('word', {word}, 'entity_type', '{kind}', 'score', {score})"
+    spaced = f"regexp_replace(lower({pick('o_custkey')}), '([_@:/.-])', ' $1 ')"
+    items = f"array({item(f'concat({T.quoted(tokens.INNER_MARK)}, {pick("doc_id")})', 'PERSON', '0.8D')}, {item(spaced, 'USERNAME', '0.7D')}, {item(T.quoted('absent'), 'PERSON', '1D')}, {item(T.quoted('212 - 555'), 'PHONE', '0.6D')}, {item('right(text, 4)', 'PHONE', '0.9D')})"
+    rows = letters(spark, sf_dir).join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey"), "doc_id")
+    found_ = rows.select("doc_id", "text", F.explode(F.expr(tokens.searched(items, "text"))).alias("s"))
+    return found_.select("doc_id", F.col("s.entity_type").alias("entity_type"), F.expr("substring(text, s.start + 1, s.end - s.start)").alias("text"), F.col("s.start").alias("start"), F.col("s.score").alias("score"))

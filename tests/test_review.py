@@ -66,6 +66,13 @@ def test_placed_predictions(spark):
     assert r["placed"] == 1.0 and [(s["text"], s["entity_type"], round(s["score"], 3), s["start"], s["end"]) for s in r["ner"]] == [("Anna Müller", "PERSON", 0.8, 5, 17)]
 
 
+SPANS = "array<struct<start:int,end:int,entity_type:string,score:double,text:string,source:string>>"
+
+
+def _repair(spark, text, spans, least):
+    return rows(tokens.repaired(spark.createDataFrame([(text, spans)], f"text string, ner {SPANS}"), "ner", least=least))[0]["ner"]
+
+
 def _span(text, part, kind, score):
     at = text.index(part)
     a = len(text[:at].encode())
@@ -75,28 +82,29 @@ def _span(text, part, kind, score):
 LEAST = {"EMAIL": 0.8, "PERSON": 0.55, "LOCATION": 0.55, "ORGANIZATION": 0.5}
 
 
-def test_repair_joins_halves():
+def test_repair_joins_halves(spark):
     t = "to t.tester@mail.invalid, ok"
     weak = [_span(t, "t.", "EMAIL", 0.9), _span(t, "tester", "PERSON", 0.3), _span(t, "@mail.invalid", "EMAIL", 0.4)]
-    assert [(s["text"], s["entity_type"], s["score"]) for s in tokens.repair(t.encode(), weak, LEAST)] == [("t.tester@mail.invalid", "EMAIL", 0.9)]
+    assert [(s["text"], s["entity_type"], s["score"]) for s in _repair(spark, t, weak, LEAST)] == [("t.tester@mail.invalid", "EMAIL", 0.9)]
     strong = [weak[0], weak[1] | {"score": 0.9}, weak[2]]
-    assert len(tokens.repair(t.encode(), strong, LEAST)) == 3
+    assert len(_repair(spark, t, strong, LEAST)) == 3
     t = "Anna, Bert"
-    assert len(tokens.repair(t.encode(), [_span(t, "Anna", "PERSON", 0.9), _span(t, "Bert", "PERSON", 0.9)], LEAST)) == 2
+    assert len(_repair(spark, t, [_span(t, "Anna", "PERSON", 0.9), _span(t, "Bert", "PERSON", 0.9)], LEAST)) == 2
 
 
 def test_repair_gives_addresses_their_domain(spark):
     t = "mail ann@müller.example Berlin now"
-    got = tokens.repair(t.encode(), [_span(t, "ann@", "EMAIL", 0.9), _span(t, "müller.example Berlin", "ORGANIZATION", 0.6)], LEAST)
+    got = _repair(spark, t, [_span(t, "ann@", "EMAIL", 0.9), _span(t, "müller.example Berlin", "ORGANIZATION", 0.6)], LEAST)
     assert [(s["text"], s["entity_type"]) for s in got] == [("ann@müller.example", "EMAIL"), ("Berlin", "ORGANIZATION")]
     df = spark.createDataFrame([(t, [_span(t, "ann@", "EMAIL", 0.9), _span(t, "müller.example", "URL", 0.6)]), (None, [])], "text string, ner array<struct<start:int,end:int,entity_type:string,score:double,text:string,source:string>>")
     assert [[s["text"] for s in r["ner"]] for r in rows(tokens.repaired(df, "ner"))] == [["ann@müller.example"], []]
 
 
-def test_search_placement():
+def test_search_placement(spark):
     t = "Call O'Neil & sons, anna_b at Main Street 5"
-    got = tokens.searched(t, [("o'neil", "PERSON", 0.8), ("##anna _ b", "USERNAME", 0.7), ("main", "ADDRESS", 0.6), ("street", "ADDRESS", 0.9), ("gone", "PERSON", 1.0)])
-    assert [(t[a:b], k, s) for a, b, k, s in got] == [("O'Neil", "PERSON", 0.8), ("anna_b", "USERNAME", 0.7), ("Main Street", "ADDRESS", 0.9)]
+    df = spark.createDataFrame([(t, [("o'neil", "PERSON", 0.8), ("##anna _ b", "USERNAME", 0.7), ("main", "ADDRESS", 0.6), ("street", "ADDRESS", 0.9), ("gone", "PERSON", 1.0)])], "text string, items array<struct<word:string,entity_type:string,score:double>>")
+    got = rows(df.select(F.expr(tokens.searched("items", "text")).alias("s")))[0]["s"]
+    assert [(t[a:b], k, s) for a, b, k, s in (x.values() for x in got)] == [("O'Neil", "PERSON", 0.8), ("anna_b", "USERNAME", 0.7), ("Main Street", "ADDRESS", 0.9)]
 
 
 def test_raw_labels(spark):
