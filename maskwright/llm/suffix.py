@@ -11,9 +11,11 @@ the number of shards. Merging goes by anchors instead: a window's anchor is its
 string by hash, the leftmost of equal ones, so equal windows have equal anchors at equal places, and the
 windows that share an anchor are one run of starts. Shards send one narrow row for each different run:
 digests of the anchor and of the whole stretch that the run's windows cover. (1) An anchor that no other
-row has repeats nowhere. (2) Equal stretches repeat in all their windows. (3) For what is left, anchors
-that stand in different stretches, one row of each stretch sends the digests of its windows, and those
-that meet an equal one repeat. Returned rows find their place in a text by binary search over its starts.
+row has repeats nowhere. (2) Equal stretches repeat in all their windows. (3) What is left, anchors that
+stand in different stretches, is searched by halving: one row of each stretch sends its windows in
+blocks by their distance from the anchor, with digests of what all windows of the block have in common
+and of all that they cover. Blocks whose common part no other row has repeat nowhere, blocks that cover
+the same repeat in all their windows, others are cut into smaller blocks, down to single windows. Returned rows find their place in a text by binary search over its starts.
 Digests have 64 bits each and count only together with the anchor's, so two different strings are taken
 as equal only if two independent 64-bit digests agree.
 
@@ -34,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialise, release, scratch_path
+from maskwright.llm.common import materialise, scratch_path
 
-#: Bytes of a repeated string, of a shard (less than 2^23) and of an anchor.
-LENGTH, SHARD, GRAM = 200, 1 << 22, 32
+#: Bytes of a repeated string, of a shard (less than 2^23) and of an anchor; windows of a block, round by round.
+LENGTH, SHARD, GRAM, BLOCKS = 200, 1 << 21, 32, (32, 8, 1)
 _U = np.uint64
 
 
@@ -151,7 +153,7 @@ def common_prefixes(s: np.ndarray, first: np.ndarray, ends: np.ndarray, order: n
 
 
 def runs(s: np.ndarray, ends: np.ndarray, hashes: Windows, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: first start, number of starts less one, digests of anchor and stretch."""
+    """Runs of windows with one anchor: first start, number of starts less one, anchor's place behind the first start, digests of anchor and stretch."""
     n, width = len(s), length - GRAM + 1
     starts = np.flatnonzero(np.arange(n, dtype=np.int32) + length <= ends)
     grams = hashes.every(GRAM)
@@ -167,7 +169,7 @@ def runs(s: np.ndarray, ends: np.ndarray, hashes: Windows, length: int) -> tuple
     at = np.flatnonzero(new)
     lo, hi, anchor = starts[at], starts[np.append(at[1:], len(starts)) - 1] if len(at) else starts[:0], anchor[at]
     stretch = hashes.digest(lo, hi - lo + length) ^ (((anchor - lo).astype(_U) << _U(32)) + (hi - lo).astype(_U)) * _U(0x9FB21C651E98DF25)
-    return lo, hi - lo, grams[anchor], stretch
+    return lo, hi - lo, anchor - lo, grams[anchor], stretch
 
 
 def intervals(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,20 +195,20 @@ def shard_rows(ids: list[int], offsets: list[int], copies: list[bool], parts: li
     a, b = intervals(repeated)
     keep = ~twice[piece[a]]
     a, b = a[keep], b[keep]
-    out.append((tid[piece[a]], a + shift[piece[a]], b - a, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)))
-    lo, span, anchor, stretch = runs(s, ends, Windows(s), length)
+    out.append((tid[piece[a]], a + shift[piece[a]], b - a, *[np.zeros(len(a), np.int64)] * 4))
+    lo, span, off, anchor, stretch = runs(s, ends, Windows(s), length)
     by = np.lexsort((lo, stretch, anchor))
-    lo, span, anchor, stretch = lo[by], span[by], anchor[by], stretch[by]
+    lo, span, off, anchor, stretch = lo[by], span[by], off[by], anchor[by], stretch[by]
     new = np.ones(len(lo), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(lo)))
     held = np.maximum.reduceat(twice[piece[lo]], at) if len(at) else np.zeros(0, bool)
-    lo, span, anchor, stretch = lo[at], span[at], anchor[at], stretch[at]
-    out.append((tid[piece[lo]], lo + shift[piece[lo]], span, anchor.view(np.int64), stretch.view(np.int64), np.where((count > 1) | held, 2, 1)))
+    lo, span, off, anchor, stretch = lo[at], span[at], off[at], anchor[at], stretch[at]
+    out.append((tid[piece[lo]], lo + shift[piece[lo]], span, off, anchor.view(np.int64), stretch.view(np.int64), np.where((count > 1) | held, 2, 1)))
     cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-    none = cols[5] == 0
-    return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3], mask=none), pa.array(cols[4]), pa.array(cols[5].astype(np.int32))], names=["tid", "lo", "span", "anchor", "stretch", "weight"])
+    none = cols[6] == 0
+    return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32)), pa.array(cols[4], mask=none), pa.array(cols[5]), pa.array(cols[6].astype(np.int32))], names=["tid", "lo", "span", "off", "anchor", "stretch", "weight"])
 
 
 def _sharded(texts: DataFrame, length: int) -> DataFrame:
@@ -230,25 +232,34 @@ def _sharded(texts: DataFrame, length: int) -> DataFrame:
             yield shard_rows(ids, offsets, copies, parts, length)
 
     rows = texts.select("tid", (F.col("n_rows") > 1).alias("many"), "body")
-    return rows.mapInArrow(build, "tid long, lo long, span int, anchor long, stretch long, weight int")
+    return rows.mapInArrow(build, "tid long, lo long, span int, off int, anchor long, stretch long, weight int")
 
 
-def _windows(asked: DataFrame, length: int) -> DataFrame:
-    """(tid, at, anchor, window, weight) of every window of the asked runs (array of lo, span, anchor, weight) of a text."""
+def _blocks(asked: DataFrame, length: int, size: int) -> DataFrame:
+    """The asked runs (array of lo, span, off, anchor, weight) of each text in blocks of ``size`` windows by their distance from the anchor.
+
+    Columns: tid, lo, span, off, anchor, block, common (digest of what all windows of the whole block
+    have in common), covered (of what the run's windows in the block cover) and weight.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tid, body, run in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 hashes = Windows(np.frombuffer(body.as_buffer(), np.uint8))
-                lo, span, anchor, weight = (x.to_numpy() for x in run.values.flatten())
-                count = span.astype(np.int64) + 1
-                at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-                for k in range(0, len(at), 100_000):
-                    part = at[k : k + 100_000]
-                    out = [np.full(len(part), tid.as_py()), part, np.repeat(anchor, count)[k : k + 100_000], hashes.digest(part, length).view(np.int64), np.repeat(weight, count)[k : k + 100_000]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["tid", "at", "anchor", "window", "weight"])
-
-    return asked.select("tid", "body", "runs").mapInArrow(emit, "tid long, at long, anchor long, window long, weight int")
+                lo, span, off, anchor, weight = (x.to_numpy().astype(np.int64) for x in run.values.flatten())
+                near, far = (off - span) // size, off // size  # blocks by distance
+                count = far - near + 1
+                k = np.repeat(np.arange(len(lo)), count)
+                block = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + near[k]
+                at = lo[k] + off[k]  # the anchor
+                first = np.maximum(at - (block + 1) * size + 1, lo[k])
+                last = np.minimum(at - block * size, lo[k] + span[k])
+                common = hashes.digest(at - block * size, length - size + 1)
+                covered = hashes.digest(first, last - first + length) ^ ((at - first).astype(_U) << _U(32)) ^ (last - first).astype(_U)
+                out = [np.full(len(k), tid.as_py()), first, (last - first).astype(np.int32), (at - first).astype(np.int32), anchor[k], block.astype(np.int32), common.view(np.int64), covered.view(np.int64), weight[k].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["tid", "lo", "span", "off", "anchor", "block", "common", "covered", "weight"])
+
+    return asked.select("tid", "body", "runs").mapInArrow(emit, "tid long, lo long, span int, off int, anchor long, block int, common long, covered long, weight int")
 
 
 def _cut(marked: DataFrame, length: int) -> DataFrame:
@@ -291,19 +302,24 @@ def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     # (1) anchors of at least two rows; different stretches go on to single windows
     shared = sent.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("stretch") != F.max("stretch")).alias("mixed")).filter("n > 1").drop("n")
     met = materialise(sent.join(shared, "anchor"), "shared-runs")
-    # (2) equal stretches
-    groups = met.groupBy("anchor", "stretch", "mixed").agg(F.sum("weight").alias("n"), F.min(F.struct("tid", "lo", "span")).alias("of"))
-    groups = materialise(groups, "stretches")
-    whole = met.join(groups.filter("n > 1").select("anchor", "stretch"), ["anchor", "stretch"]).select("tid", "lo", "span")
-    # (3) windows of one row of each stretch
     place = texts.select("tid", "digest")
-    runs_of = F.collect_list(F.struct(F.col("of.lo").alias("lo"), F.col("of.span").alias("span"), "anchor", F.least(F.col("n"), F.lit(2)).cast("int").alias("weight")))
-    asked = groups.filter("mixed").groupBy(F.col("of.tid").alias("tid")).agg(runs_of.alias("runs")).join(place, "tid")
-    asked = texts.select("digest", "body").join(asked, "digest")
-    windows = _windows(asked, length)
-    both = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("n"), F.count(F.lit(1)).alias("rows"), F.collect_list(F.when(F.col("weight") == 1, F.struct("tid", "at"))).alias("of")).filter("n > 1")
-    single = both.select(F.explode("of").alias("x")).select("x.tid", F.col("x.at").alias("lo"), F.lit(0).alias("span"))
-    marks = found.filter("anchor is null").select("tid", "lo", "span").unionAll(whole).unionAll(single)
+    whole, rows_of = lambda rows, keys, same: rows.join(same.filter("n > 1").select(*keys), keys).select("tid", "lo", "span"), F.struct("tid", "lo", "span", "off")
+    # (2) equal stretches
+    groups = materialise(met.groupBy("anchor", "stretch", "mixed").agg(F.sum("weight").alias("n"), F.min(rows_of).alias("of")), "stretches")
+    same = whole(met, ["anchor", "stretch"], groups)
+    # (3) one row of each different stretch, in smaller and smaller blocks
+    left = groups.filter("mixed")
+    for size in BLOCKS:
+        runs_of = F.collect_list(F.struct(F.col("of.lo").alias("lo"), F.col("of.span").alias("span"), F.col("of.off").alias("off"), "anchor", F.least(F.col("n"), F.lit(2)).cast("int").alias("weight")))
+        asked = left.groupBy(F.col("of.tid").alias("tid")).agg(runs_of.alias("runs")).join(place, "tid")
+        blocks = materialise(_blocks(texts.select("digest", "body").join(asked, "digest"), length, size), f"blocks-{size}")
+        keys = ["anchor", "block", "common", "covered"]
+        groups = blocks.groupBy(*keys).agg(F.sum("weight").alias("n"), F.min(rows_of).alias("of"))
+        both = groups.groupBy(*keys[:3]).agg(F.sum("n").alias("all"), (F.min("covered") != F.max("covered")).alias("mixed")).filter("all > 1").drop("all")
+        groups = materialise(groups.join(both, keys[:3]), f"groups-{size}")
+        same = same.unionAll(whole(blocks, keys, groups))
+        left = groups.filter("mixed")
+    marks = found.filter("anchor is null").select("tid", "lo", "span").unionAll(same)
     marks = marks.groupBy("tid").agg(F.collect_list(F.struct("lo", "span")).alias("runs"))
     marks = marks.join(place, "tid")
     alone = texts.filter("n_rows = 1").select("digest", "body").join(marks, "digest")
@@ -311,7 +327,6 @@ def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     copies = texts.filter("n_rows > 1").select("digest", F.octet_length("body").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"))
     cut = materialise(_cut(alone, length).unionAll(copies), "cut")
     spark.sql(f"drop table {name}")
-    release(met)
     rows = rows.select("key", F.octet_length("body").cast("long").alias("n_bytes"), "sha", F.col("digest").alias("d"))
     out = rows.join(cut, rows["d"] == cut["digest"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
