@@ -388,7 +388,7 @@ _PIECES = r"[ \t\n\r]*([\pL\pN_]{1,6}|[^\pL\pN_ \t\n\r])"
 
 @query(
     rf"""with t as (select doc_id, coalesce(text, '') as t from documents), l as (select doc_id, t, regexp_extract_all(t, '{_PIECES}') as w from t),
-    r as (select doc_id, len(w) as n, k - 1 as i, sum(length(w[k])) over (partition by doc_id order by k) - length(ltrim(w[k], ' ' || chr(9) || chr(10) || chr(13))) as o from l, unnest(range(1, len(w) + 1)) as u(k)),
+    r as (select doc_id, n, i, sum(length(x)) over (partition by doc_id order by i) - length(ltrim(x, ' ' || chr(9) || chr(10) || chr(13))) as o from (select doc_id, len(w) as n, unnest(w) as x, generate_subscripts(w, 1) - 1 as i from l)),
     c as (select a.doc_id, x.t, a.i // 416 as chunk, case when a.i = 0 then 0 else a.o end as s, coalesce(b.o, length(x.t)) as e from r a join t x on x.doc_id = a.doc_id left join r b on b.doc_id = a.doc_id and b.i = a.i + 480 where a.i % 416 = 0 and (a.i = 0 or a.i + 64 < a.n))
     select doc_id, cast(chunk as integer) as chunk, cast(s as integer) as start_char, cast(e as integer) as end_char, cast(strlen(substr(t, 1, cast(s as bigint))) as integer) as start_byte, cast(strlen(substr(t, 1, cast(e as bigint))) as integer) as end_byte from c"""
 )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -115,29 +115,33 @@ class _Filed(_Keyed):
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: object) -> None:
         for token, place, seq in zip(initialState["token"], initialState["place"], initialState["seq"], strict=True):
-            self.places.updateValue((token,), (place,))
+            if token is not None:
+                self.places.updateValue((token,), (place,))
             if not self.seen.exists() or self.seen.get()[0] < int(seq):
                 self.seen.update((int(seq),))
 
     def step(self, key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         seen = self.seen.get()[0] if self.seen.exists() else None
-        moved, origin = [], []
+        before = {k[0]: v[0] for k, v in self.places.iterator()} if self.places.exists() else {}
+        places, moved, origin = dict(before), [], []
         for kind, token, place, seq in zip(frame["kind"], frame["token"], frame["place"], frame["seq"], strict=True):
             old = None
             if seen is None or seq > seen:  # a row that comes again changes nothing
                 seen = int(seq)
                 if kind == "adopt":
-                    self.places.clear()
+                    places.clear()
                 elif kind == "paste":
-                    self.places.updateValue((token,), (place,))
-                elif self.places.exists() and self.places.containsKey((token,)):
-                    old = self.places.getValue((token,))[0]
-                    old = None if old == place else old
-                    if old is not None:
-                        self.places.updateValue((token,), (place,))
+                    places[token] = place
+                elif places.get(token, place) != place:
+                    old, places[token] = places[token], place
             moved.append(old is not None)
             origin.append(old)
         self.seen.update((seen,))
+        for token in before.keys() - places.keys():
+            self.places.removeKey((token,))
+        for token, place in places.items():
+            if before.get(token) != place:
+                self.places.updateValue((token,), (place,))
         return frame.assign(origin=origin)[moved]
 
 
@@ -167,7 +171,7 @@ def moves(events: DataFrame, key: str, ts: str = "ts", initial: DataFrame | None
     ``events`` (key, ts, seq, kind, token, place): ``paste`` files a token; ``see`` moves a token that
     the session has filed elsewhere; ``adopt``, a conversation on record, ends all its claims. ``seq``
     grows within a key, so events that come again, in this run or after ``initial`` (key, token, place,
-    seq: what a former run had filed), change nothing.
+    seq: what a former run had filed, see ``filed``), change nothing.
     """
     columns = [key, ts, "seq", "token", "origin", "place"]
     given = events.select(key, ts, "seq", "kind", "token", "place")
@@ -176,6 +180,19 @@ def moves(events: DataFrame, key: str, ts: str = "ts", initial: DataFrame | None
     return _keyed(given, key, ts, late, _Filed([ts, "seq"], forget, columns), kinds, start)
 
 
+def filed(events: DataFrame, key: str) -> DataFrame:
+    """What a run of ``moves`` over these events leaves: key, token, place and seq, a session's last event.
+
+    A session that claims nothing has one row without a token.
+    """
+    order = Window.partitionBy(key).orderBy("seq")
+    rows = events.select(key, "seq", "kind", "token", "place").withColumn("_claims", F.count_if(F.col("kind") == "adopt").over(order))
+    rows = rows.withColumn("_last", F.max("_claims").over(Window.partitionBy(key))).withColumn("_seq", F.max("seq").over(Window.partitionBy(key)))
+    now = rows.filter("kind != 'adopt' and _claims = _last").groupBy(key, "token").agg(F.max_by("place", "seq").alias("place"), F.max(F.col("kind") == "paste").alias("own"))
+    last = rows.groupBy(key).agg(F.max("_seq").alias("seq"))
+    return last.join(now.filter("own").select(key, "token", "place"), key, "left").select(key, "token", "place", "seq")
+
+
 def windowed_counts(events: DataFrame, ts: str, *by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per tumbling window and group (a Spark built-in, beyond the reference)."""
     counted = events.withWatermark(ts, late).groupBy(F.window(ts, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
