@@ -231,9 +231,9 @@ def fit(docs: DataFrame, learnable: Column, vocabulary: str, text: str = "text",
     size = _processor(vocabulary).get_piece_size()
     if not langs:
         return Model(vocabulary, (), np.zeros((size, 0)))
-    # a document is in the sample if its hash is in its language's share
+    # a document is in the sample if its hash is in its language's share; equal ids are told apart by text
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / counts[k]))])
-    draw = F.pmod(F.xxhash64(F.col(key), F.lit("langid")), F.lit(1_000_003)) / 1_000_003.0
+    draw = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("langid")), F.lit(1_000_003)) / 1_000_003.0
     sample = told.filter(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,12 +51,11 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     A source whose target is above its size repeats its epoch; the last, partial epoch is cut at
     the exact word, so ``taken`` of a source sums to its target rounded down. ``copies`` counts a
     document that the cut falls into as whole. ``row`` names a column of distinct row ids, which is
-    carried along and decides last between equal rows; keys then take in the text.
+    carried along and decides last between equal rows. Hash keys take in the key and the text.
     """
-    name = [F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))]
-    if row:  # rows with null or equal keys are spread by their texts
-        name += [F.lit(":"), F.xxhash64(text).cast("string")]
-    hashed = F.conv(F.substring(F.md5(F.concat(*name)), 1, KEY_BITS // 4), 16, 10).cast("long")
+    # rows with null or equal keys are spread by their texts
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    hashed = F.conv(F.substring(F.md5(name), 1, KEY_BITS // 4), 16, 10).cast("long")
     own = [F.col(row).alias("row")] if row else []
     sized = materialise(docs.select(*own, F.col(key).alias("key"), F.col(source).isNull().alias("src_null"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), hashed.alias("h")), "mix-sizes")
     ranges = max(1, min(MAX_RANGES, sized.count() // ROWS_PER_RANGE))

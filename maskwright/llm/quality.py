@@ -35,6 +35,8 @@ from maskwright.llm.tokencount import runs
 
 LEVEL = 3
 STRETCH = 4096
+#: Bytes of stretches that one dictionary is trained on; of more, dictionaries are trained on dictionaries.
+TRAIN = 16_000_000
 #: The logistic curve's part in a score.
 APART = 0.05
 #: Bytes of text at which its own evidence weighs as much as the share of label 1.
@@ -55,11 +57,13 @@ class Model:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; with too few samples to train, all the samples themselves."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"\n".join(samples)
+    """A trained dictionary of at most ``size`` bytes; samples too few to train are cut shorter, then taken as they are."""
+    for length in (STRETCH, STRETCH // 16):
+        try:
+            return zstandard.train_dictionary(size, [t[i : i + length] for t in samples for i in range(0, len(t), length)]).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"\n".join(samples)[-size:]
 
 
 def stretches(text: bytes) -> list[bytes]:
@@ -123,6 +127,33 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[f
     return tuple(float(p[1] / p[0]) for p in pools), tuple(float(p[2] / p[0]) for p in pools)
 
 
+def _trained(sample: DataFrame, size: int) -> dict[int, bytes]:
+    """A dictionary for each class from all stretches of its texts (y, t, o).
+
+    Stretches are dealt by a hash to groups of about ``TRAIN`` bytes, each trained in a task; a class
+    with several groups is trained once more on what they gave.
+    """
+    total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.sum(F.length("t")).alias("n")).collect()}
+    groups = {y: max(1, -(-n // TRAIN)) for y, n in total.items()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in runs(batch, 4_000_000):
+                for y, t, o in zip(*(c.to_pylist() for c in run.columns), strict=True):
+                    parts = stretches(t)
+                    drawn = [xxhash.xxh3_64_intdigest(f"{o}:{i}") for i in range(len(parts))]
+                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(parts), pa.int32()), pa.array([d % groups[y] for d in drawn], pa.int64()), pa.array([d >> 1 for d in drawn], pa.int64()), pa.array(parts, pa.binary())], ["y", "part", "draw", "t"])
+
+    def train(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group.column("draw").to_pylist(), group.column("t").to_pylist(), strict=True))
+        return pa.table({"y": group.column("y")[:1], "part": group.column("part")[:1], "t": pa.array([_dictionary([t for _, t in rows], size)], pa.binary())})
+
+    made = sample.mapInArrow(cut, "y int, part long, draw long, t binary").groupBy("y", "part").applyInArrow(train, "y int, part long, t binary")
+    if max(groups.values(), default=1) > 1:
+        made = made.select("y", F.lit(0).cast("long").alias("part"), F.col("part").alias("draw"), "t").groupBy("y", "part").applyInArrow(train, "y int, part long, t binary")
+    return {r["y"]: bytes(r["t"]) for r in made.collect()}  # two rows
+
+
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 2000, dictionary_bytes: int = 110_000) -> Model:
     """Fit on labelled documents for which ``learnable``, an expression over ``key``, holds."""
     order = F.xxhash64(F.col(key), F.lit("quality"))
@@ -136,21 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, key: str = "doc_i
     few = [sample.filter(F.col("y") == y).select("y", "o", "h", "id").orderBy("o", "h", "id").limit(per_class) for y in (0, 1)]  # an id may stand in many documents
     sample = sample.join(F.broadcast(few[0].unionAll(few[1]).select("id", (turn % 4 == 1).alias("held"))), "id")
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run in runs(batch, 4_000_000):
-                for y, t, o in zip(*(c.to_pylist() for c in run.columns), strict=True):
-                    parts = stretches(t)
-                    drawn = sorted(range(len(parts)), key=lambda i: xxhash.xxh3_64_intdigest(f"{o}:{i}"))
-                    yield pa.RecordBatch.from_arrays([pa.array([y] * len(parts), pa.int32()), pa.array([o] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([parts[i] for i in drawn], pa.binary())], ["y", "o", "draw", "t"])
-
-    drawn = sample.filter("not held").select("y", "t", "o").mapInArrow(draw, "y int, o long, draw int, t binary")
-    train = {y: [bytes(r["t"]) for r in drawn.filter(F.col("y") == y).orderBy("draw", "o", "t").limit(2 * per_class).collect()] for y in (0, 1)}
+    train = _trained(sample.filter("not held").select("y", "t", "o"), dictionary_bytes)
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     none = Model(b"", b"", 0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    if not train[0] or not train[1]:
+    if not train.get(0) or not train.get(1):
         return none
-    good, bad = _dictionary(train[1], dictionary_bytes), _dictionary(train[0], dictionary_bytes)
+    good, bad = train[1], train[0]
 
     def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(good, bad, 1.0, 0.0))

@@ -93,7 +93,7 @@ SQL: dict[str, str] = {
     """,
     "op2_mixing": r"""
         with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-            cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h from documents),
+            cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) as h from documents),
         s as (select source, sum(size) as s, 3 * sum(size) as cap,
             [5, 2, 1][1 + (row_number() over (order by source is null, encode(source)) - 1) % 3] as w from d group by source),
         l as (select *, sum(s) over () - coalesce(sum(cap) over (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding), 0) as words_left,
