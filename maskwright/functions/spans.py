@@ -11,17 +11,21 @@ EMPTY = f"cast(array() as array<{INNER}>)"
 
 
 def matches(text: str, pattern: str, entity_type: str, score: float, source: str, seq: int) -> str:
-    """Spans of all matches of a pattern that never matches the empty string.
+    """Spans of all matches of a pattern that never matches the empty string."""
+    return matches_of(text, quoted(pattern), quoted(entity_type), f"{score}D", quoted(source), str(seq))
+
+
+def matches_of(text: str, p: str, entity_type: str, score: str, source: str, seq: str) -> str:
+    """The same with SQL expressions for all arguments; the pattern may be a column.
 
     Matches and the gaps between them come from the same scan, so the lengths of gaps and matches
     before a match, in bytes and in characters, add up to its place.
     """
-    p = quoted(pattern)
     found = f"named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))"
     length = lambda f: f"transform(z.m, (x, i) -> {f}(z.g[i]) + {f}(x))"
     place = lambda u, s, f: f"{upto(u, s, 'a + x')} + {f}(z.g[i])"
     at = f"named_struct('b', {place('lb', 'sb', 'octet_length')}, 'c', {place('lc', 'sc', 'char_length')}, 'x', q)"
-    span = f"named_struct('start', w.b, 'end', w.b + octet_length(w.x), 'entity_type', {quoted(entity_type)}, 'score', {score}D, 'text', w.x, 'source', {quoted(source)}, 'cs', w.c, 'ce', w.c + char_length(w.x), 'seq', {seq})"
+    span = f"named_struct('start', w.b, 'end', w.b + octet_length(w.x), 'entity_type', {entity_type}, 'score', {score}, 'text', w.x, 'source', {source}, 'cs', w.c, 'ce', w.c + char_length(w.x), 'seq', {seq})"
     spans = f"transform(transform(z.m, (q, i) -> {at}), w -> {span})"
     for name, value in (("sc", before("lc", "a + x")), ("sb", before("lb", "a + x")), ("lc", length("char_length")), ("lb", length("octet_length"))):
         spans = let(value, name, spans)

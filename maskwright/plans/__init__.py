@@ -1,3 +1,3 @@
 """Registered queries and the SQL that checks them."""
 
-from maskwright.plans import registry, review, streams  # noqa: F401  all register
+from maskwright.plans import registry, review, streams, tables  # noqa: F401  all register
