@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.scratch import materialise
+
 
 def matched(gold: str, found: str, drift: int = 2, gold_cover: float = 0.8, found_cover: float = 0.5) -> str:
     """SQL: greedy one-to-one matches (g, d: positions) of two span arrays.
@@ -62,7 +66,45 @@ def adaptive_thresholds(feedback: DataFrame, base: float = 0.5) -> DataFrame:
     return out.withColumn("threshold", F.greatest(F.lit(0.1), F.least(F.lit(0.99), F.lit(base) + (rate - 0.5) * 0.4)))
 
 
+#: Bins that a range of values is cut into at each step of the search for a rank.
+_BINS = 1024
+
+
+def ranked_values(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """Per group the nearest-rank value at each share: ``by`` and a column for each name in ``shares``.
+
+    The value at rank ``ceil(n * share)`` is found by histograms: of the range that holds it, a count
+    for each of 1024 bins tells the bin, whose own least and largest value are the next range, until
+    they are equal. Only counts are shuffled, so a group of any size is spread over all tasks. Nulls
+    do not count; values are doubles, with minus infinity first and NaN last.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+    same = lambda a, b: reduce(lambda x, k: x & a[k].eqNullSafe(b[k]), keys, F.lit(True))
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(value).cast("double").alias("v")).filter("v is not null")
+    endless = F.col("v").isin(float("inf"), float("-inf")) | F.isnan("v")
+    finite = rows.filter(~endless)
+    of = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == float("-inf")).alias("neg"), F.count_if(endless).alias("odd"), F.count_if(F.isnan("v")).alias("nan"), F.min(F.when(~endless, F.col("v"))).alias("lo"), F.max(F.when(~endless, F.col("v"))).alias("hi"))
+    names = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in shares.items()))
+    state = of.withColumn("s", F.explode(names)).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("s.p"))) - F.col("neg"))
+    # ranks outside the finite values are known at once
+    edge = F.when(F.col("k") <= 0, float("-inf")).when(F.col("k") > F.col("n") - F.col("odd"), F.when(F.col("k") + F.col("neg") > F.col("n") - F.col("nan"), float("nan")).otherwise(float("inf")))
+    state = materialise(state.select(*keys, F.col("s.name").alias("name"), "k", F.coalesce(edge, "lo").alias("lo"), F.coalesce(edge, "hi").alias("hi")), "ranks")
+    while not (open_ := state.filter("lo < hi")).isEmpty():
+        a, b = finite.alias("a"), open_.alias("b")
+        inside = a.join(b, same(finite, open_) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).select(*(finite[k] for k in keys), "name", "k", "v", F.least(F.lit(_BINS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * _BINS)).alias("bin"))
+        counts = inside.groupBy(*keys, "name", "k", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy(*keys, "name").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = counts.withColumn("below", before).filter("below < k and k <= below + c").select(*keys, "name", (F.col("k") - F.col("below")).alias("k"), "lo", "hi")
+        state = materialise(state.filter("not lo < hi").unionByName(found), "ranks")
+    out = state.groupBy(*keys).agg(*(F.max(F.when(F.col("name") == n, F.col("lo"))).alias(n) for n in shares))
+    return out.withColumnsRenamed(dict(zip(keys, by, strict=True)))
+
+
 def distribution(df: DataFrame, value: str, *by: str) -> DataFrame:
     """count, total, average, nearest-rank median and 95th percentile, maximum."""
-    exact = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("average"), exact(0.5).alias("p50"), exact(0.95).alias("p95"), F.max(value).alias("largest"))
+    ranks = ranked_values(df, value, list(by), {"p50": 0.5, "p95": 0.95})
+    sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("average"), F.max(value).alias("largest"))
+    at = [f"_g{i}" for i in range(len(by))]
+    ranks = ranks.withColumnsRenamed(dict(zip(by, at, strict=True)))
+    on = reduce(lambda x, c: x & sums[c[0]].eqNullSafe(ranks[c[1]]), zip(by, at, strict=True), F.lit(True))
+    return sums.join(ranks, on, "left").select(*by, "n", "total", "average", "p50", "p95", "largest")

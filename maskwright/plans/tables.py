@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.operators import intervals, phrases
+from maskwright.operators import intervals, phrases, score, store
 from maskwright.plans import oracle as O
 from maskwright.plans.registry import _GOLD, documents, found, query, read
-from maskwright.scratch import materialise
+from maskwright.scratch import materialise, scratch_path
 
 _OF = f"with recursive {O.detected()}"
 
@@ -74,3 +74,25 @@ def listed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     patterns = turns.filter("size(w) > 1").select(F.explode(F.expr(pair)).alias("pattern")).distinct()
     hits = phrases.matched(documents(spark, sf_dir), patterns)
     return hits.groupBy("doc_id", "pattern").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
+
+
+@query(
+    """with l as (select user_id, event_id % 2 as odd, arg_max(event_type, event_id) as kind, max(event_id) as at, count(*) as n from events group by all)
+    select user_id, coalesce(b.kind, a.kind) as kind, coalesce(b.at, a.at) as at, coalesce(b.n, a.n) as n from (select * from l where odd = 0) a full join (select * from l where odd = 1) b using (user_id) where user_id % 7 != 0"""
+)
+def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' latest events in a stored table: the even ones, the odd ones over them, then some users deleted."""
+    table = store.Table(spark, scratch_path(spark, "state"), "user_id long, kind string, at long, n long", ["user_id"])
+    events = read(spark, sf_dir, "events")
+    for odd in (0, 1):
+        table.merge(events.filter(F.col("event_id") % 2 == odd).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("kind"), F.max("event_id").alias("at"), F.count(F.lit(1)).alias("n")))
+    table.merge(table.read().filter("user_id % 7 = 0").withColumn("gone", F.lit(True)), deleted="gone")
+    return table.read()
+
+
+@query(
+    """select l_returnflag, l_linestatus, quantile_disc(l_extendedprice, 0.01) as p01, quantile_disc(l_extendedprice, 0.5) as p50, quantile_disc(l_extendedprice, 0.999) as p999 from lineitem group by all"""
+)
+def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-rank prices per flag and status, found by refined histograms."""
+    return score.ranked_values(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"], {"p01": 0.01, "p50": 0.5, "p999": 0.999})

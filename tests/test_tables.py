@@ -1,12 +1,14 @@
 """Interval joins, large lists, stored versions and percentiles against plain versions."""
 
+import math
 import random
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.operators import intervals, phrases
+from maskwright.operators import intervals, phrases, score, store
 
 
 def test_intervals_by_bins(spark):
@@ -49,3 +51,37 @@ def test_lists_refuse_too_many_wordless(spark):
     rows = spark.range(300).select(F.concat(F.lit("*"), F.repeat(F.lit("."), F.col("id").cast("int"))).alias("pattern"))
     with pytest.raises(ValueError, match="no word"):
         phrases.matched(spark.createDataFrame([(1, "a")], "doc_id int, text string"), rows)
+
+
+def test_percentiles_are_nearest_ranks(spark):
+    """Groups of one and many values, ties, null keys and values, values without an end, far outliers."""
+    rng = random.Random(3)
+    inf, nan = math.inf, math.nan
+    groups = {"one": [4.0], "ties": [1.0] * 50 + [2.0], "wide": [rng.gauss(0, 1) for _ in range(500)] + [1e300, -1.7e308, 1.7e308, 5e-324], None: [3.0, None, 1.0], "odd": [-inf, 1.0, inf, inf, nan], "none": [None]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    got = {r["k"]: r for r in score.ranked_values(spark.createDataFrame(rows, "k string, v double"), "v", ["k"], {"a": 0.0, "b": 0.5, "c": 0.8, "d": 1.0}).collect()}
+    assert "none" not in got and len(got) == 5
+    for k, vs in groups.items():
+        told = sorted((v for v in vs if v is not None), key=lambda v: (v != v, v))
+        for name, p in (("a", 0.0), ("b", 0.5), ("c", 0.8), ("d", 1.0)):
+            if told:
+                want = told[max(1, math.ceil(len(told) * p)) - 1]
+                assert got[k][name] == want or got[k][name] != got[k][name] and want != want
+
+
+def test_store_keeps_what_concurrent_writers_merge(spark, tmp_path):
+    table = store.Table(spark, str(tmp_path / "t"), "k long, v string", ["k"], buckets=4)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    assert table.version() == 0 and table.read().isEmpty()
+    assert table.merge(frame([(i, "old") for i in range(10)] + [(None, "null")])) == 1
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda w: table.merge(frame([(w, f"new{w}"), (100 + w, f"new{w}")])), range(4)))
+    assert sorted(versions) == [2, 3, 4, 5]
+    now = {r["k"]: r["v"] for r in table.read().collect()}
+    assert now == {i: f"new{i}" if i < 4 else "old" for i in range(10)} | {100 + i: f"new{i}" for i in range(4)} | {None: "null"}
+    table.merge(table.read().filter("k < 5 or k is null").selectExpr("k", "v", "true as gone"), deleted="gone")
+    assert sorted(r["k"] for r in table.read().collect()) == [*range(5, 10), *range(100, 104)]
+    assert table.read(version=1).count() == 11
+    # buckets that no change touches stay where they are
+    before, at = table._manifest(table.version()), table.merge(frame([(7, "seven")]))
+    assert sum(before.get(b) != w for b, w in table._manifest(at).items()) == 1
