@@ -1,7 +1,7 @@
 """Exact substring dedup: suffix arrays per shard, common prefixes, and merging across shards.
 
 Equal texts are taken together first; what is left is written once, bucketed by digest, so that later
-passes join narrow rows to the texts without moving them. Tasks take texts in shards of a few megabytes
+passes join narrow rows to the texts without moving them. Tasks take texts in shards of about a megabyte
 (a longer text in pieces that overlap by a window less one byte) and build each shard's suffix array by
 Larsson-Sadakane refinement and its common prefixes by Kasai's rule; a window of ``length`` bytes whose
 suffix shares that many with a neighbour repeats inside the shard.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import materialise, scratch_path
 
 #: Bytes of a repeated string, of a shard (less than 2^23) and of an anchor; windows of a block, round by round.
-LENGTH, SHARD, GRAM, BLOCKS = 200, 1 << 21, 32, (32, 8, 1)
+LENGTH, SHARD, GRAM, BLOCKS = 200, 1 << 20, 32, (32, 8, 1)
 _U = np.uint64
 
 
