@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.spans import matches
-from maskwright.functions.text import islands, let
+from maskwright.functions.text import BLANK, islands, let
 from maskwright.schema import SPAN
 
 # The dictionary provider's entities with type and score.
@@ -40,41 +39,29 @@ def outer(spans: str) -> str:
     return f"transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'entity_type', s.entity_type, 'score', s.score, 'text', s.text, 'source', s.source))"
 
 
-def chunk_bounds(text: str, size: int = 5000, overlap: int = 256) -> Iterator[tuple[int, int]]:
-    """(start, end) of chunks of at most ``size`` characters that end after white space where there is some in their last 40 %."""
-    start, overlap = 0, min(overlap, max(0, size - 1))
-    while start < len(text):
-        end = min(len(text), start + size)
-        if end < len(text):
-            least = min(end, start + max(1, int(size * 0.6)))
-            end = next((i for i in range(end, least, -1) if text[i - 1].isspace()), end)
-        yield start, end
-        if end >= len(text):
-            return
-        start = max(start + 1, end - overlap)
+def bounds(text: str, size: int = 5000, overlap: int = 256) -> str:
+    """SQL: (start, end) of chunks of at most ``size`` characters.
+
+    A chunk ends behind the last white space of its last 40 %, or at its full length where there is
+    none; the next begins ``overlap`` characters before that end.
+    """
+    overlap, least = min(overlap, max(0, size - 1)), max(1, int(size * 0.6))
+    kind = "array<struct<start:int,end:int>>"
+    # up to the last white space of the part where a chunk may end
+    inside = f"char_length(regexp_extract(substring({text}, x.at + {least} + 1, {size - least}), '(?s)^.*{BLANK}', 0))"
+    end = f"if(x.at + {size} >= n, n, {let(inside, 'w', f'x.at + if(w > 0, {least} + w, {size})')})"
+    step = let(end, "z", f"named_struct('at', if(z >= n, -1, greatest(x.at + 1, z - {overlap})), 'out', concat(x.out, array(named_struct('start', x.at, 'end', z))))")
+    turns = f"sequence(0, n div {max(1, least - overlap)})"
+    fold = f"aggregate({turns}, named_struct('at', if(n = 0, -1, 0), 'out', cast(array() as {kind})), (x, turn_) -> if(x.at < 0, x, {step}), x -> x.out)"
+    return let(f"char_length({text})", "n", fold)
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5000, overlap: int = 256) -> DataFrame:
     """key, chunk, text, and its start and end in characters and bytes: a row per chunk, for parallel inference."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk", "text", "start_char", "end_char", "start_byte", "end_byte"]
-        for batch in batches:
-            row, out = [], []
-            for n, t in enumerate(batch.column(1)):
-                body, at, byte = t.as_py() or "", 0, 0
-                for i, (a, b) in enumerate(chunk_bounds(body, size, overlap)):
-                    byte += len(body[at:a].encode())
-                    at = a
-                    row.append(n)
-                    out.append((i, body[a:b], a, b, byte, byte + len(body[a:b].encode())))
-            cols = zip(*out, strict=True) if out else [()] * 6
-            kinds = [pa.int32(), pa.string(), *[pa.int32()] * 4]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["key", *names])
-
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut, f"key {kind}, chunk int, text string, start_char int, end_char int, start_byte int, end_byte int")
-    return out.withColumnRenamed("key", key)
+    body = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    rows = body.select(key, "_t", F.posexplode(F.expr(bounds("_t", size, overlap))).alias("chunk", "b"))
+    part = rows.select(key, "chunk", F.expr("substring(_t, b.start + 1, b.end - b.start)").alias("text"), F.col("b.start").alias("start_char"), F.col("b.end").alias("end_char"), F.expr("octet_length(substring(_t, 1, b.start))").alias("start_byte"))
+    return part.withColumn("end_byte", F.col("start_byte") + F.octet_length("text"))
 
 
 def merged_by_type(spans: str) -> str:

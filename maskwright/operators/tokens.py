@@ -213,7 +213,7 @@ def bounds(places: str, text: str, most: int = MAX_TOKENS, overlap: int = OVERLA
     step = let(within, "cut", f"named_struct('f', if(cut >= {size}, -1, greatest(x.f + 1, cut - {overlap})), 'out', concat(x.out, array({chunk})))")
     # each turn moves on by at least one piece, by most - overlap where pieces are placed
     turns = f"sequence(1, greatest({size}, 1))"
-    fold = f"aggregate({turns}, named_struct('f', 0, 'out', cast(array() as {kind})), (x, t) -> if(x.f < 0, x, {step}), x -> x.out)"
+    fold = f"aggregate({turns}, named_struct('f', 0, 'out', cast(array() as {kind})), (x, turn_) -> if(x.f < 0, x, {step}), x -> x.out)"
     return f"if({size} = 0, cast(array() as {kind}), {fold})"
 
 

@@ -293,14 +293,16 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select doc_id, cast(strlen(substr(coalesce(text, ''), 1, 100)) as integer) as bytes_of_100, cast(length(decode(encode(substr(coalesce(text, ''), 1, 100)))) as integer) as chars_back,
-    substr(coalesce(text, ''), 11, 20) as slice from documents"""
+    """select doc_id, cast(strlen(coalesce(text, '')) as integer) as n_bytes, cast(length(decode(encode(coalesce(text, '')))) as integer) as chars_back,
+    substr(coalesce(text, ''), length(coalesce(text, '')) // 3 + 1, length(coalesce(text, '')) // 3) as slice from documents"""
 )
 def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body, at = "coalesce(text, '')", T.char_to_byte("coalesce(text, '')", "100")
-    df = documents(spark, sf_dir).withColumn("b", F.expr(at))
-    s, e = T.char_to_byte(body, "10"), T.char_to_byte(body, "30")
-    return df.select("doc_id", F.col("b").alias("bytes_of_100"), F.expr(T.byte_to_char(body, "b")).alias("chars_back"), F.expr(T.byte_slice(body, f"({s})", f"({e})")).alias("slice"))
+    """Length in bytes, back in characters, and each text's middle third by byte places."""
+    body = "coalesce(text, '')"
+    third = f"(char_length({body}) div 3)"
+    df = documents(spark, sf_dir).withColumn("b", F.expr(T.char_to_byte(body, f"char_length({body})")))
+    s, e = T.char_to_byte(body, f"cast({third} as int)"), T.char_to_byte(body, f"cast(2 * {third} as int)")
+    return df.select("doc_id", F.col("b").alias("n_bytes"), F.expr(T.byte_to_char(body, "b")).alias("chars_back"), F.expr(T.byte_slice(body, f"({s})", f"({e})")).alias("slice"))
 
 
 @query("select page_id, string_split(string_split(url, '#')[1], '?')[1] as url from pages")
@@ -308,9 +310,9 @@ def conversation_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.expr(T.conversation_url("url")).alias("url"))
 
 
-@query(f"select conv_id, turn, {O.key('coalesce(substr(text, 1, 200), chr(32))')} as normalized from conversations")
+@query(f"select conv_id, turn, {O.key('coalesce(text, chr(32))')} as normalized from conversations")
 def normalized_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(T.normalized_key("coalesce(substring(text, 1, 200), ' ')")).alias("normalized"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(T.normalized_key("coalesce(text, ' ')")).alias("normalized"))
 
 
 @query(f"select conv_id, turn, md5({O.key('coalesce(text, chr(32))')}) as key_digest from conversations")
@@ -353,13 +355,30 @@ def dictionary_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.exploded(df, "doc_id", spans="ner").select("doc_id", "entity_type", "score", "text", "start")
 
 
-@query()
+def _with_ner() -> str:
+    """The CTEs of detection over letters with the dictionary's spans beside the recognizers'."""
+    ner_rows = f"""select doc_id, 100 as seq, i, entity_type, cast(score as double) as score, name as text, cast(before as integer) as start, cast(before + strlen(name) as integer) as "end", length(decode(encode(text)[1:before])) as cs, text as body, 'ner' as source
+        from (select l.*, e.*, u.i, cast(list_sum(list_transform(g[1:u.i], lambda x: strlen(x))) + (u.i - 1) * strlen(name) as bigint) as before from (select doc_id, text, entity_type as k, score as s, name as m, string_split(text, name) as g from letters, {_FIXED}) l join {_FIXED} on e.name = l.m, unnest(range(1, len(g))) as u(i))"""
+    out = O.detected("letters").replace(f"ok as (select * from raw where {O.CHECK})", f"ok as (select *, 'regex' as source from raw where {O.CHECK} union all {ner_rows})")
+    out = out.replace("boost as (select doc_id,", "boost as (select source, doc_id,").replace("case when entity_type in ('", "case when source = 'regex' and entity_type in ('").replace("'regex' as source\n        from winners", "o.source\n        from winners")
+    return out
+
+
+@query(f"with recursive {_LETTERS}, {_with_ner()} select doc_id, span_idx, start, \"end\", entity_type, round(score, 6) as score, text, source from det")
 def detect_with_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recognizers and external spans together, over letters."""
-    return D.exploded(D.detect(ner.provide(letters(spark, sf_dir), ner.dictionary), ner="ner"), "doc_id")
+    return D.exploded(D.detect(ner.provide(letters(spark, sf_dir), ner.dictionary), ner="ner"), "doc_id").withColumn("score", F.round("score", 6))
 
 
-@query()
+_CHUNK_END = r"case when {0} + 800 >= n then n else {0} + case when regexp_matches(substr(t, {0} + 481, 320), '[\s\x{{00A0}}]') then 480 + length(regexp_extract(substr(t, {0} + 481, 320), '(?s)^.*[\s\x{{00A0}}]')) else 800 end end"
+
+
+@query(
+    f"""with recursive d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+    c(doc_id, t, n, chunk, s, e) as (select doc_id, t, n, 0, cast(0 as bigint), cast({_CHUNK_END.format('0')} as bigint) from d where n > 0
+        union all select doc_id, t, n, chunk + 1, greatest(s + 1, e - 256), cast({_CHUNK_END.format('greatest(s + 1, e - 256)')} as bigint) from c where e < n)
+    select doc_id, chunk, cast(s as integer) as start_char, cast(e as integer) as end_char, cast(strlen(substr(t, 1, s)) as integer) as start_byte, cast(strlen(substr(t, 1, e)) as integer) as end_byte from c"""
+)
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ner.chunks(documents(spark, sf_dir), size=800).select("doc_id", "chunk", "start_char", "end_char", "start_byte", "end_byte")
 

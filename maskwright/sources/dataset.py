@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.text import length_bucket, let, quoted
 from maskwright.schema import TYPES
+from maskwright.scratch import materialise
 
 # Languages, types that the sampler spreads over, length buckets and physical lines a record may take.
 LANGUAGES = ("en", "de")
@@ -180,6 +181,13 @@ class Coverage:
         each, more = divmod(target, len(keys))
         return {k: each + (n < more) for n, k in enumerate(keys)}
 
+    def has_room(self, category: str, key: str) -> bool:
+        return self.held[category].total() < self.target[category] and self.held[category][key] < self.quota[category].get(key, 0)
+
+    def room(self) -> list[tuple[str, str, int]]:
+        """Category, key and open places of every key that can still take an example."""
+        return [(c, k, min(q - self.held[c][k], self.target[c] - self.held[c].total())) for c, keys in self.quota.items() for k, q in keys.items() if self.has_room(c, k)]
+
     def take(self, lang: str, bucket: str, types: list[str]) -> bool:
         """Whether an example gets a place: of its keys with room, that with the fewest examples, the smallest quota, the first."""
         category = "negative" if not types else "misc" if "MISC" in types else "supported"
@@ -195,23 +203,43 @@ class Coverage:
 def coverage(found: DataFrame, limit: int = 500, negative: int = 25, misc: int = 50) -> DataFrame:
     """The coverage sample: in source order, examples fill quotas of negatives, of MISC and by language, type and length; those without a place fill what is left.
 
-    Whether an example gets a place depends on all before it. Examples with the same language, length
-    and types are alike to the quotas, so of each such kind only the first 5 * ``limit`` can be in the
-    sample (at most ``limit`` placed and 4 * ``limit`` held in reserve before it); these narrow rows
-    alone go through the quotas, in order, in one task, and their ids come back to the examples.
+    Whether an example gets a place depends on all before it, but only examples with a key that has
+    room can get one. So each round fetches, for every such key, as many of the next examples as the
+    key has room for: these alone, at most ``limit`` and one for each key, go through the quotas in
+    order, up to the place where one of the lists ends and its key still has room. Every round but the last
+    gives at least one place, and no task sees more than its part of the examples.
     """
+    order = ["file", "row", "id"]
     rows = found.select("id", "language", "lengthBucket", F.coalesce("source.sourceFile", F.lit("")).alias("file"), F.col("source.sourceRow").alias("row"), _types().alias("types"))
-    rank = F.row_number().over(Window.partitionBy("language", "lengthBucket", "types").orderBy("file", "row", "id"))
-    near = rows.withColumn("_rank", rank).filter(F.col("_rank") <= 5 * limit).drop("_rank")
-
-    def fill(data: pd.DataFrame) -> pd.DataFrame:
-        quotas, taken, spare = Coverage(limit, negative, misc), [], []
-        for r in data.sort_values(["file", "row", "id"]).itertuples():
-            if len(taken) < limit and quotas.take(r.language, r.lengthBucket, list(r.types)):
+    plain, typed = F.concat("language", F.lit(":"), "lengthBucket"), F.transform(F.array_intersect("types", F.array(*map(F.lit, SUPPORTED))), lambda t: F.concat("language", F.lit(":"), t, F.lit(":"), "lengthBucket"))
+    category = F.when(F.size("types") == 0, "negative").when(F.array_contains("types", "MISC"), "misc").otherwise("supported")
+    rows = materialise(rows.withColumn("category", category).withColumn("keys", F.when(F.col("category") == "supported", typed).otherwise(F.array(plain))), "coverage")
+    spark, quotas, taken, cursor = found.sparkSession, Coverage(limit, negative, misc), [], None
+    while open_ := quotas.room():
+        here = rows.withColumn("at", F.struct(*order)).withColumn("key", F.explode("keys"))
+        if cursor is not None:
+            here = here.filter(F.col("at") > F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, cursor, strict=True))))
+        table = spark.createDataFrame(open_, "category string, key string, room int")  # a row per key at most
+        rank = F.row_number().over(Window.partitionBy("category", "key").orderBy(*order))
+        near = here.join(F.broadcast(table), ["category", "key"]).withColumn("rank", rank).filter("rank <= room")
+        near = near.select(*order, "language", "lengthBucket", "types", "category", "key", (F.col("rank") == F.col("room")).alias("last")).collect()
+        if not near:
+            break
+        lists: dict[tuple, list] = {}
+        for r in near:
+            lists.setdefault(tuple(r[c] for c in order), []).append(r)
+        stopped = False
+        for at in sorted(lists, key=lambda a: [(x is not None, x) for x in a]):
+            r = lists[at][0]
+            if quotas.take(r.language, r.lengthBucket, r.types):
                 taken.append(r.id)
-            elif len(spare) < 4 * limit:
-                spare.append(r.id)
-        return pd.DataFrame({"id": (taken + spare)[:limit]})
-
-    chosen = near.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(fill, "id string")
-    return found.join(chosen, "id", "left_semi")
+            if any(x.last and quotas.has_room(x.category, x.key) for x in lists[at]):
+                cursor, stopped = at, True
+                break
+        if not stopped:
+            break
+    # what is left goes to the first examples without a place
+    spare = [r.id for r in rows.select(*order).orderBy(*order).limit(2 * limit).collect()]
+    held = set(taken)
+    chosen = spark.createDataFrame([(x,) for x in (taken + [x for x in spare if x not in held])[:limit]], "id string")
+    return found.join(F.broadcast(chosen), "id", "left_semi")

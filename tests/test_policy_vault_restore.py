@@ -115,7 +115,7 @@ def test_ner(spark):
     got = {r["doc_id"]: [(s["entity_type"], s["text"], s["start"]) for s in r["ner"]] for r in ner.provide(df, ner.dictionary).collect()}
     assert [(k, t) for k, t, _ in got[1]] == [("PERSON", "Anna Müller"), ("LOCATION", "München"), ("PERSON", "David Smith"), ("LOCATION", "Berlin")]
     assert all(text.encode()[s : s + len(t.encode())].decode() == t for _, t, s in got[1]) and got[2] == got[3] == []
-    bounds = [*ner.chunk_bounds("ab " * 50, 20, 5)]
+    bounds = [tuple(b) for b in spark.createDataFrame([("ab " * 50,)], "t string").select(F.expr(ner.bounds("t", 20, 5))).first()[0]]
     assert bounds[0] == (0, 18) and bounds[-1][1] == 150 and all(b[0] < a[1] for a, b in zip(bounds, bounds[1:], strict=False))
     assert one(spark, "x", f"size({S.EMPTY})") == 0
 

@@ -152,14 +152,27 @@ def test_records_are_repaired(spark, tmp_path):
 
 
 def _sample(data, limit, negative, misc):
-    """The sampler over all rows, as it is told: quotas first, then the earliest of those left out."""
-    quotas, taken, spare = dataset.Coverage(limit, negative, misc), [], []
-    for r in sorted(data, key=lambda r: (r[4], r[5], r[0])):
-        if quotas.take(r[1], r[2], sorted(set(r[3]))):
-            taken.append(r[0])
-        elif len(spare) < 4 * limit:
-            spare.append(r[0])
-    return set((taken + spare)[:limit])
+    """The sample by its rule, one example at a time: places by quota first, then the earliest of those left out."""
+    n, m = min(negative, limit), min(misc, limit - min(negative, limit))
+    target = {"n": n, "m": m, "s": limit - n - m}
+    cells = [(a, b) for a in dataset.LANGUAGES for b in dataset.BUCKETS]
+    room = {}
+    for c, keys in (("n", cells), ("m", cells), ("s", [(a, t, b) for a in dataset.LANGUAGES for t in dataset.SUPPORTED for b in dataset.BUCKETS])):
+        for at, k in enumerate(keys):
+            room[c, k] = int(target[c] > 0) if target[c] < len(keys) else target[c] // len(keys) + (at < target[c] % len(keys))
+    quota, used, count, placed, other = dict(room), dict.fromkeys(room, 0), dict.fromkeys("nms", 0), [], []
+    for x, lang, bucket, types, *_ in sorted(data, key=lambda r: (r[4], r[5], r[0])):
+        c = "n" if not types else "m" if "MISC" in types else "s"
+        keys = [(lang, t, bucket) for t in set(types) & set(dataset.SUPPORTED)] if c == "s" else [(lang, bucket)]
+        free = [k for k in keys if used[c, k] < quota[c, k]] if count[c] < target[c] else []
+        if free:
+            best = min(free, key=lambda k: (used[c, k], quota[c, k], ":".join(k)))  # noqa: B023
+            used[c, best] += 1
+            count[c] += 1
+            placed.append(x)
+        else:
+            other.append(x)
+    return set((placed + other[: 4 * limit])[:limit])
 
 
 @pytest.mark.parametrize("limit", [7, 40, 120])
