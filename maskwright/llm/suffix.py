@@ -302,6 +302,7 @@ def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     # (1) anchors of at least two rows; different stretches go on to single windows
     shared = sent.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("stretch") != F.max("stretch")).alias("mixed")).filter("n > 1").drop("n")
     met = materialise(sent.join(shared, "anchor"), "shared-runs")
+    # texts stream past a hash table of a bucket's narrow rows, so they are not sorted either
     place = texts.select("tid", "digest")
     whole, rows_of = lambda rows, keys, same: rows.join(same.filter("n > 1").select(*keys), keys).select("tid", "lo", "span"), F.struct("tid", "lo", "span", "off")
     # (2) equal stretches
@@ -312,7 +313,7 @@ def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     for size in BLOCKS:
         runs_of = F.collect_list(F.struct(F.col("of.lo").alias("lo"), F.col("of.span").alias("span"), F.col("of.off").alias("off"), "anchor", F.least(F.col("n"), F.lit(2)).cast("int").alias("weight")))
         asked = left.groupBy(F.col("of.tid").alias("tid")).agg(runs_of.alias("runs")).join(place, "tid")
-        blocks = materialise(_blocks(texts.select("digest", "body").join(asked, "digest"), length, size), f"blocks-{size}")
+        blocks = materialise(_blocks(texts.select("digest", "body").join(asked.hint("shuffle_hash"), "digest"), length, size), f"blocks-{size}")
         keys = ["anchor", "block", "common", "covered"]
         groups = blocks.groupBy(*keys).agg(F.sum("weight").alias("n"), F.min(rows_of).alias("of"))
         both = groups.groupBy(*keys[:3]).agg(F.sum("n").alias("all"), (F.min("covered") != F.max("covered")).alias("mixed")).filter("all > 1").drop("all")
@@ -322,7 +323,7 @@ def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     marks = found.filter("anchor is null").select("tid", "lo", "span").unionAll(same)
     marks = marks.groupBy("tid").agg(F.collect_list(F.struct("lo", "span")).alias("runs"))
     marks = marks.join(place, "tid")
-    alone = texts.filter("n_rows = 1").select("digest", "body").join(marks, "digest")
+    alone = texts.filter("n_rows = 1").select("digest", "body").join(marks.hint("shuffle_hash"), "digest")
     nothing = hashlib.sha256(b"").hexdigest()
     copies = texts.filter("n_rows > 1").select("digest", F.octet_length("body").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(nothing).alias("kept_sha256"))
     cut = materialise(_cut(alone, length).unionAll(copies), "cut")
