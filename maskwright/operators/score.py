@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.text import BLOCK, let
 from maskwright.scratch import materialise
 
 
@@ -17,15 +18,22 @@ def matched(gold: str, found: str, drift: int = 2, gold_cover: float = 0.8, foun
     of both; they are taken by gold coverage, detection coverage, drift, length difference and
     position, each gold and each detected span once.
     """
-    cand = (
-        "named_struct('gc', o / (x.end - x.start), 'dc', o / (y.end - y.start), 'dr', greatest(0, y.start - x.start, x.end - y.end), 'ld', abs((y.end - y.start) - (x.end - x.start)), 'g', g, 'd', d)"
-    )
+    cand = "named_struct('gc', o / (x.end - x.start), 'dc', o / (y.end - y.start), 'dr', greatest(0, y.start - x.start, x.end - y.end), 'ld', abs((y.end - y.start) - (x.end - x.start)), 'g', g, 'd', cast(b.k + d as int))"
     overlap = "greatest(0, least(x.end, y.end) - greatest(x.start, y.start))"
-    every = f"flatten(transform({gold}, (x, g) -> transform({found}, (y, d) -> element_at(transform(array({overlap}), o -> {cand}), 1))))"
-    good = f"filter({every}, c -> c.gc > 0 and c.dr <= {drift} and c.gc >= {gold_cover} and c.dc >= {found_cover})"
+    # a gold span meets the blocks of detections that reach it
+    part = f"slice({found}, k * {BLOCK} + 1, {BLOCK})"
+    blocks = f"transform(sequence(0, (size({found}) - 1) div {BLOCK}), k -> named_struct('k', k * {BLOCK}, 'y', {part}, 's', array_min(transform({part}, y -> y.start)), 'e', array_max(transform({part}, y -> y.end))))"
+    good = f"c.gc > 0 and c.dr <= {drift} and c.gc >= {gold_cover} and c.dc >= {found_cover}"
+    near = f"flatten(transform(filter(blocks, b -> b.s < x.end and x.start < b.e), b -> filter(transform(b.y, (y, d) -> {let(overlap, 'o', cand)}), c -> {good})))"
+    every = let(blocks, "blocks", f"flatten(transform({gold}, (x, g) -> {near}))")
     order = "case when a.gc != b.gc then if(a.gc > b.gc, -1, 1) when a.dc != b.dc then if(a.dc > b.dc, -1, 1) when a.dr != b.dr then a.dr - b.dr when a.ld != b.ld then a.ld - b.ld when a.g != b.g then a.g - b.g else a.d - b.d end"
     kind = "array<struct<g:int,d:int>>"
-    return f"aggregate(array_sort({good}, (a, b) -> {order}), cast(array() as {kind}), (m, c) -> if(exists(m, z -> z.g = c.g or z.d = c.d), m, concat(m, array(named_struct('g', c.g, 'd', c.d)))))"
+    # only candidates that share a gold or a detected span with another one can lose it
+    twice = lambda f: let(f"array_sort(transform(cs, c -> c.{f}))", "q", "array_distinct(filter(q, (v, i) -> i > 0 and q[greatest(i - 1, 0)] = v))")
+    clash = "(array_contains(tg, c.g) or array_contains(td, c.d))"
+    fold = f"aggregate(filter(cs, c -> {clash}), cast(array() as {kind}), (m, c) -> if(exists(m, z -> z.g = c.g or z.d = c.d), m, concat(m, array(named_struct('g', c.g, 'd', c.d)))))"
+    kept = f"transform(filter(cs, c -> not {clash} or exists(won, z -> z.g = c.g and z.d = c.d)), c -> named_struct('g', c.g, 'd', c.d))"
+    return let(f"array_sort({every}, (a, b) -> {order})", "cs", let(twice("g"), "tg", let(twice("d"), "td", let(fold, "won", kept))))
 
 
 def outcomes(examples: DataFrame, key: str, gold: str = "gold", found: str = "found", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -37,8 +45,9 @@ def outcomes(examples: DataFrame, key: str, gold: str = "gold", found: str = "fo
     rows = examples.select(key, *keep, F.col(gold).alias("gold"), F.col(found).alias("found")).withColumn("m", F.expr(matched("gold", "found")))
     segment = F.expr("case when size(gold) = 0 then 'negative' when exists(gold, x -> x.entity_type = 'MISC') then 'misc' else 'headline' end")
     tp = "transform(m, z -> named_struct('outcome', 'TP', 'gold_type', gold[z.g].entity_type, 'found_type', found[z.d].entity_type))"
-    fn = "transform(filter(sequence(0, size(gold)), i -> i < size(gold) and not exists(m, z -> z.g = i)), i -> named_struct('outcome', 'FN', 'gold_type', gold[i].entity_type, 'found_type', cast(null as string)))"
-    fp = "transform(filter(sequence(0, size(found)), i -> i < size(found) and not exists(m, z -> z.d = i)), i -> named_struct('outcome', 'FP', 'gold_type', cast(null as string), 'found_type', found[i].entity_type))"
+    left = lambda side, f: f"if(size({side}) = 0, cast(array() as array<int>), array_except(sequence(0, size({side}) - 1), transform(m, z -> z.{f})))"
+    fn = f"transform({left('gold', 'g')}, i -> named_struct('outcome', 'FN', 'gold_type', gold[i].entity_type, 'found_type', cast(null as string)))"
+    fp = f"transform({left('found', 'd')}, i -> named_struct('outcome', 'FP', 'gold_type', cast(null as string), 'found_type', found[i].entity_type))"
     return rows.select(key, *keep, segment.alias("segment"), F.explode_outer(F.expr(f"concat({tp}, {fn}, {fp})")).alias("o")).select(key, *keep, "segment", "o.*")
 
 
