@@ -1,9 +1,11 @@
 """Allow and block lists of any length, as tables: an inverted index of words in place of a scan per pattern.
 
 A pattern's words (runs of ASCII word characters that touch no ``*``) stand in any text that it matches
-as whole words. Texts and patterns are joined on the pattern's word that the fewest texts hold. A plain
-pattern is joined on the places of that word and compared there; one with ``*`` is matched against the
-texts that hold the word. Candidates come back as one list a text, so texts are moved once.
+as whole words. A plain pattern is joined on the places of two neighbouring words of it with what lies
+between them, the pair that texts hold least often, or of its only word; one that is such a pair needs no
+further look at the text. One with ``*`` is matched against the texts that hold its rarest word. Lists of
+up to ``WHOLE`` rows are sent to the texts; of longer ones only the hashes, so that nothing but hits is
+moved. Candidates that must be compared come back as one list a text, so texts are moved once.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ from maskwright.functions.spans import matches, matches_of
 from maskwright.functions.text import let, quoted
 from maskwright.operators.policy import pattern_spans
 from maskwright.operators.vault import first_of
+from maskwright.scratch import materialise
 
 #: Patterns without a word of their own, such as ``*``, go into the plan; this many at most.
 WORDLESS = 200
+#: Rows of a list that are sent to every executor as they are, and hashes of longer lists.
+WHOLE, HASHES = 1_000_000, 8_000_000
 
 _RUN = "[A-Za-z0-9_]+"
 
@@ -38,12 +43,28 @@ def expression(pattern: str) -> str:
     return f"concat('(?iu:', replace({plain}, '*', {quoted(_RUN)}), ')')"
 
 
-def rarest(held: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(_pattern, _word): each pattern's word that the fewest rows of ``held`` (key, _word, ...) have; ones with a word that none has go."""
-    wanted = patterns.select("_pattern", F.explode(F.expr(anchors("_pattern"))).alias("_word"))
-    often = held.groupBy("_word").count()
-    known = wanted.join(often, "_word", "left").groupBy("_pattern").agg(F.min_by("_word", F.struct(F.coalesce("count", F.lit(0)), "_word")).alias("_word"), F.min(F.coalesce("count", F.lit(0))).alias("_least"))
-    return known.filter("_least > 0").drop("_least")
+def grams(text: str, pairs: bool) -> str:
+    """SQL: each word of a text, or each two neighbouring ones with what lies between: byte place ``at`` and text ``cut``."""
+    cut = "cast(substring(gb, w.start + 1, ws[i + 1].end - w.start) as string)"
+    two = f"transform(slice(ws, 1, greatest(size(ws) - 1, 0)), (w, i) -> named_struct('at', w.start, 'cut', {cut}))"
+    out = let(f"cast({text} as binary)", "gb", two) if pairs else "transform(ws, w -> named_struct('at', w.start, 'cut', w.text))"
+    return let(matches(text, _RUN, "MISC", 1.0, "manual", 0), "ws", out)
+
+
+def listed(rows: DataFrame, asked: DataFrame, on: str, n: int, how: str = "inner") -> DataFrame:
+    """Rows of texts joined with a list of ``n`` rows, which goes to them where it is not too long."""
+    if n <= WHOLE:
+        return rows.join(F.broadcast(asked), on, how)
+    if n <= HASHES:
+        rows = rows.withColumn("_h", F.xxhash64(on)).join(F.broadcast(asked.select(F.xxhash64(on).alias("_h")).distinct()), "_h", "left_semi").drop("_h")
+    return rows.join(asked, on, how)
+
+
+def rarest(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of ``wanted`` (_pattern, _word, ...) each pattern's row whose word the fewest rows of ``held`` have; patterns with a word that none has go."""
+    seen, row = F.coalesce("count", F.lit(0)), F.struct(*wanted.columns)
+    known = wanted.join(held.groupBy("_word").count(), "_word", "left").groupBy("_pattern").agg(F.min_by(row, F.struct(seen, row)).alias("r"), F.min(seen).alias("_least"))
+    return known.filter("_least > 0").select("r.*")
 
 
 def matched(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = "pattern") -> DataFrame:
@@ -53,13 +74,15 @@ def matched(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str
     empty and null ones match nothing.
     """
     every = patterns.select(F.col(pattern).alias("_pattern")).filter(F.trim("_pattern") != "").distinct()
+    starred = F.contains("_pattern", F.lit("*"))
+    every = materialise(every.select("_pattern", (F.size(F.expr(anchors("_pattern"))) > 0).alias("_worded"), starred.alias("_starred")), "patterns")
     body = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
-    worded = F.size(F.expr(anchors("_pattern"))) > 0
-    wordless = [r[0] for r in every.filter(~worded).limit(WORDLESS + 1).collect()]
+    wordless = [r[0] for r in every.filter("not _worded").limit(WORDLESS + 1).collect()]
     if len(wordless) > WORDLESS:
         raise ValueError(f"more than {WORDLESS} patterns have no word of their own")
-    starred = F.contains("_pattern", F.lit("*"))
-    out = _placed(body, every.filter(worded & ~starred)).unionByName(_scanned(body, every.filter(worded & starred)))
+    out = _placed(body, every.filter("_worded and not _starred").select("_pattern"))
+    if every.filter("_worded and _starred").limit(1).count():
+        out = out.unionByName(_scanned(body, every.filter("_worded and _starred").select("_pattern")))
     for p in wordless:
         own = body.select("_key", F.lit(p).alias("_pattern"), F.explode(F.expr(f"transform({pattern_spans('_body', p)}, s -> named_struct('start', s.start, 'end', s.end, 'text', s.text))")).alias("s"))
         out = out.unionByName(own)
@@ -67,30 +90,42 @@ def matched(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str
 
 
 def _placed(body: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Matches of patterns without ``*``, looked for at the places of their rarest word."""
-    words_at = body.select("_key", F.explode(F.expr(matches("_body", _RUN, "MISC", 1.0, "manual", 0))).alias("w")).select("_key", F.lower("w.text").alias("_word"), F.col("w.start").alias("_at"))
-    asked = patterns.select(F.explode(F.expr(anchors("_pattern"))).alias("_word")).distinct()
-    held = words_at.join(asked, "_word", "left_semi")
-    # where the word stands in the pattern for the first time, in bytes
-    before = "regexp_extract(_pattern, concat('^(.*?)(?<![A-Za-z0-9_])(?i:', _word, ')(?![A-Za-z0-9_])'), 1)"
-    known = rarest(held, patterns).withColumn("_off", F.expr(f"octet_length({before})"))
-    hits = held.join(known, "_word").select("_key", "_pattern", (F.col("_at") - F.col("_off")).alias("_at")).filter("_at >= 0")
-    lists = hits.groupBy("_key").agg(F.collect_list(F.struct("_pattern", "_at")).alias("_hits"))
-    rows = body.join(lists, "_key").withColumn("b", F.expr("cast(_body as binary)"))
-    byte = lambda at: f"rlike(cast(substring(b, {at}, 1) as string), '^[A-Za-z0-9_]')"
-    here = "cast(substring(b, h._at + 1, octet_length(h._pattern)) as string)"
-    whole = f"lower({here}) = lower(h._pattern) and not (h._at > 0 and {byte('h._at')}) and not {byte('h._at + 1 + octet_length(h._pattern)')}"
-    good = f"transform(filter(_hits, h -> {whole}), h -> named_struct('p', h._pattern, 'start', h._at, 'end', h._at + octet_length(h._pattern), 'text', {here}))"
-    found = rows.select("_key", F.explode(F.expr(good)).alias("h"))
-    apart = found.groupBy("_key", F.col("h.p").alias("_pattern")).agg(F.expr("array_sort(collect_list(struct(h.start, h.end, h.text)))").alias("m"))
+    """Matches of patterns without ``*``, looked for at the places of their rarest pair of neighbouring words."""
+    two, one = F.expr(grams("_pattern", True)), F.expr(grams("_pattern", False))
+    own = patterns.withColumn("_p", two).withColumn("_pair", F.size("_p") > 0).select("_pattern", "_pair", F.explode(F.when(F.col("_pair"), F.col("_p")).otherwise(one)).alias("g"))
+    # a pattern that is all one word or pair is found with it
+    known = own.select("_pattern", F.lower("g.cut").alias("_word"), F.col("g.at").alias("_off"), "_pair", (F.col("g.cut") == F.col("_pattern")).alias("_all"))
+    known = materialise(known, "pattern-words")
+    n, pairs, alls, wide = known.agg(F.count(F.lit(1)), F.count_if("_pair"), F.count_if("_all"), F.count_if(~F.col("_all"))).first()
+    rows = lambda pair: body.select("_key", F.explode(F.expr(grams("_body", pair))).alias("g")).select("_key", F.lower("g.cut").alias("_word"), F.col("g.at").alias("_at"), F.col("g.cut").alias("_cut"))
+    kinds = [pair for pair, some in ((True, pairs), (False, n - pairs)) if some or not n and pair]
+    places = rows(kinds[0]) if len(kinds) == 1 else rows(True).unionAll(rows(False))
+    found = None
+    if alls or not wide:
+        hits = listed(places, known.filter("_all").select("_word", "_pattern"), "_word", n)
+        found = hits.select("_key", "_pattern", F.struct(F.col("_at").alias("start"), F.expr("_at + octet_length(_cut)").alias("end"), F.col("_cut").alias("text")).alias("h"))
+    if wide:
+        asked = known.filter("not _all").select("_pattern", "_word", "_off")
+        least = rarest(listed(places.select("_word"), asked.select("_word").distinct(), "_word", n, "left_semi"), asked)
+        hits = listed(places, least, "_word", n).select("_key", "_pattern", (F.col("_at") - F.col("_off")).alias("_at")).filter("_at >= 0")
+        lists = hits.groupBy("_key").agg(F.collect_set(F.struct("_pattern", "_at")).alias("_hits"))
+        both = body.join(lists, "_key").withColumn("b", F.expr("cast(_body as binary)"))
+        byte = lambda at: f"rlike(cast(substring(b, {at}, 1) as string), '^[A-Za-z0-9_]')"
+        here = "cast(substring(b, h._at + 1, octet_length(h._pattern)) as string)"
+        whole = f"lower({here}) = lower(h._pattern) and not (h._at > 0 and {byte('h._at')}) and not {byte('h._at + 1 + octet_length(h._pattern)')}"
+        good = f"transform(filter(_hits, h -> {whole}), h -> named_struct('p', h._pattern, 'h', named_struct('start', h._at, 'end', h._at + octet_length(h._pattern), 'text', {here})))"
+        more = both.select("_key", F.explode(F.expr(good)).alias("x")).select("_key", F.col("x.p").alias("_pattern"), F.col("x.h").alias("h"))
+        found = more if found is None else found.unionByName(more)
+    apart = found.groupBy("_key", "_pattern").agg(F.expr("array_sort(collect_list(h))").alias("m"))
     return apart.select("_key", "_pattern", F.explode(F.expr(first_of("m", "start int, end int, text string"))).alias("s"))
 
 
 def _scanned(body: DataFrame, patterns: DataFrame) -> DataFrame:
     """Matches of patterns with ``*``, each looked for in the texts that hold its rarest word."""
-    asked = patterns.select(F.explode(F.expr(anchors("_pattern"))).alias("_word")).distinct()
-    held = body.select("_key", F.explode(F.expr(words("_body"))).alias("_word")).join(asked, "_word", "left_semi")
-    lists = held.join(rarest(held, patterns), "_word").groupBy("_key").agg(F.collect_list("_pattern").alias("_patterns"))
+    asked = materialise(patterns.select("_pattern", F.explode(F.expr(anchors("_pattern"))).alias("_word")), "pattern-words")
+    n = asked.count()
+    held = listed(body.select("_key", F.explode(F.expr(words("_body"))).alias("_word")), asked.select("_word").distinct(), "_word", n, "left_semi")
+    lists = listed(held, rarest(held, asked), "_word", n).groupBy("_key").agg(F.collect_list("_pattern").alias("_patterns"))
     rows = body.join(lists, "_key").select("_key", "_body", F.explode("_patterns").alias("_pattern")).withColumn("_e", F.expr(expression("_pattern")))
     # the character before the word belongs to the match, save at the start of the text
     found = matches_of("_body", "concat('(?:^|[^A-Za-z0-9_])', _e, '(?=\\\\z|[^A-Za-z0-9_])')", "'MISC'", "1.0D", "'manual'", "0")
