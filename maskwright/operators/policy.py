@@ -42,14 +42,32 @@ def _word(pattern: str) -> str:
     return "(?iu:" + "[A-Za-z0-9_]+".join(re.sub(r"([.+?^${}()|\[\]\\])", r"\\\1", p) for p in pattern.split("*")) + ")"
 
 
+#: Letters outside ASCII that match ASCII ones where case is apart.
+_ALSO = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+
+
+def _gate(text: str, pattern: str) -> str:
+    """SQL: a cheap test that holds wherever a list pattern matches: its longest ASCII piece is there."""
+    piece = max(re.findall(r"[!-)+-~ ]+", pattern.lower()) or [""], key=len)
+    if not piece:
+        return "true"
+    also = sorted({c for x in piece for c in _ALSO.get(x, "")})
+    return f"({' or '.join([f'contains(lower({text}), {quoted(piece)})', *(f'contains({text}, {quoted(c)})' for c in also)])})"
+
+
 def pattern_spans(text: str, pattern: str, entity_type: str = "MISC", seq: int = 0) -> str:
     """Whole-word matches of a list pattern as manual spans of score 1."""
     word = _word(pattern)
-    found = matches(text, rf"(?:^|[^A-Za-z0-9_]){word}(?=\z|[^A-Za-z0-9_])", entity_type, 1.0, "manual", seq)
-    # the character before the word belongs to the match, save at the start of the text
-    lead = f"if(s.cs = 0 and rlike(s.text, {quoted('^' + word + chr(92) + 'z')}), 0, 1)"
-    cut = f"named_struct('start', s.start + octet_length(substring(s.text, 1, l)), 'end', s.end, 'entity_type', s.entity_type, 'score', s.score, 'text', substring(s.text, l + 1), 'source', s.source, 'cs', s.cs + l, 'ce', s.ce, 'seq', s.seq)"
-    return f"transform({found}, s -> {let(lead, 'l', cut)})"
+    if re.match(r"[A-Za-z0-9_*]", pattern):
+        # the character before is never part of the match before, as a character of a word cannot follow that
+        out = matches(text, rf"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])", entity_type, 1.0, "manual", seq)
+    else:
+        found = matches(text, rf"(?:^|[^A-Za-z0-9_]){word}(?=\z|[^A-Za-z0-9_])", entity_type, 1.0, "manual", seq)
+        # the character before the word belongs to the match, save at the start of the text
+        lead = f"if(s.cs = 0 and rlike(s.text, {quoted('^' + word + chr(92) + 'z')}), 0, 1)"
+        cut = f"named_struct('start', s.start + octet_length(substring(s.text, 1, l)), 'end', s.end, 'entity_type', s.entity_type, 'score', s.score, 'text', substring(s.text, l + 1), 'source', s.source, 'cs', s.cs + l, 'ce', s.ce, 'seq', s.seq)"
+        out = f"transform({found}, s -> {let(lead, 'l', cut)})"
+    return f"if({_gate(text, pattern)}, {out}, {EMPTY})"
 
 
 def allow(spans: str, text: str, allowlist: list[str]) -> str:
@@ -58,7 +76,8 @@ def allow(spans: str, text: str, allowlist: list[str]) -> str:
         return spans
     own = " or ".join(f"rlike(s.text, {quoted('^' + _word(p) + chr(92) + 'z')})" for p in allowlist)
     ranges = f"concat({', '.join(pattern_spans(text, p) for p in allowlist)})"
-    return let(ranges, "r", f"filter({spans}, s -> not ({own}) and not exists(r, x -> x.start <= s.start and x.end >= s.end))")
+    kept = let(ranges, "r", f"filter(s0, s -> not ({own}) and not exists(r, x -> x.start <= s.start and x.end >= s.end))")
+    return let(spans, "s0", f"if(size(s0) = 0, s0, {kept})")
 
 
 def block(spans: str, text: str, blocklist: list[tuple[str, str]]) -> str:
