@@ -151,6 +151,8 @@ def placed(text: str, pieces: list[str], framed: bool = True) -> tuple[np.ndarra
     chars, words, last = sq.chars, sq.words, len(pieces) - 1
     first, final = np.full(len(pieces), -1), np.full(len(pieces), -1)
     cursor, edge = 0, 0  # in the squeezed text; in the text
+    if (wants := _folded_all(pieces, wordpiece)) is not None:
+        return _end_to_end(sq, wants) or _one_by_one(sq, wants)
     for n, piece in enumerate(pieces):
         if piece in SPECIAL:
             frame = framed and (n == 0 and piece in STARTS or n == last and piece in ENDS)
@@ -182,6 +184,50 @@ def placed(text: str, pieces: list[str], framed: bool = True) -> tuple[np.ndarra
     return first, final
 
 
+def _folded_all(pieces: list[str], wordpiece: bool) -> list[str] | None:
+    """Pieces without their marks, folded at once; null if some are control tokens or have marks inside."""
+    if not pieces or not SPECIAL.isdisjoint(pieces):
+        return None
+    joined = "\n".join([p.removeprefix(INNER_MARK) if wordpiece else p.removeprefix(START_MARK) for p in pieces])
+    if not wordpiece and START_MARK in joined or joined.count("\n") != len(pieces) - 1:
+        return None
+    return folded(joined).split("\n")
+
+
+def _end_to_end(sq: Squeezed, wants: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The places of pieces that fill the text one after the other, a blank inside none; null if they do not."""
+    sizes = np.array([len(p) for p in wants])
+    if not sizes.all() or "".join(wants) != sq.chars:
+        return None
+    final = np.cumsum(sizes) - 1
+    first = final - sizes + 1
+    words = np.array(sq.words)
+    if (words[first] != words[final]).any():
+        return None
+    return sq.starts[first], sq.ends[final]
+
+
+def _one_by_one(sq: Squeezed, wants: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The places of pieces that are one part each, in their order."""
+    chars, words, first, final, cursor = sq.chars, sq.words, [], [], 0
+    for want in wants:
+        size, k = len(want), cursor
+        if not size:
+            k = -1
+        elif not chars.startswith(want, k) or words[k] != words[k + size - 1]:  # not there: the next place within reach
+            limit = sq.at((int(sq.ends[cursor - 1]) if cursor else 0) + REACH + 1) + size - 1
+            while (k := chars.find(want, k, limit)) >= 0 and words[k] != words[k + size - 1]:
+                k += 1
+        first.append(k)
+        final.append(k + size - 1 if k >= 0 else -1)
+        if k >= 0:
+            cursor = k + size
+    first, final = np.array(first), np.array(final)
+    hit = first >= 0
+    first[hit], final[hit] = sq.starts[first[hit]], sq.ends[final[hit]]
+    return first, final
+
+
 def _stands(words: list[int], at: int, parts: list[str]) -> bool:
     """Whether no blank of the text is inside one of the parts that follow each other at ``at``."""
     for part in parts:
@@ -219,14 +265,21 @@ def bounds(places: str, text: str, most: int = MAX_TOKENS, overlap: int = OVERLA
 
 def cut_places(pieces: int, places: list[int | None], length: int, most: int, overlap: int) -> list[tuple[int, int]]:
     """The same bounds for one text whose pieces begin at ``places``."""
-    on, out, first = np.array([i for i, p in enumerate(places) if p is not None]), [], 0
+    on = np.array([i for i, p in enumerate(places) if p is not None], int)
+    return cut_at(pieces, on, np.array([places[i] for i in on], int), length, most, overlap)
+
+
+def cut_at(pieces: int, on: np.ndarray, starts: np.ndarray, length: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """The same, from the numbers of the pieces that have a place and where these begin."""
+    out, first = [], 0
     while first >= 0:
-        begin = 0 if first == 0 or not len(on[on >= first]) else places[on[on >= first][0]]
-        inside = on[(on > first) & (on <= first + most)]
-        later = on[on > first + most]
-        cut = pieces if first + most >= pieces else inside[-1] if len(inside) else later[0] if len(later) else pieces
-        out.append((begin, places[cut] if cut < pieces else length))
-        first = -1 if cut >= pieces else max(first + 1, int(cut) - overlap)
+        here, behind = np.searchsorted(on, (first, first + most + 1))
+        begin = 0 if first == 0 or here == len(on) else int(starts[here])
+        # the last placed piece within the budget, else the first behind it
+        at = behind - 1 if behind and on[behind - 1] > first else behind
+        last = first + most >= pieces or at == len(on)
+        out.append((begin, length if last else int(starts[at])))
+        first = -1 if last else max(first + 1, int(on[at]) - overlap)
     return out
 
 
@@ -273,10 +326,25 @@ def token_chunks(docs: DataFrame, tokenize: Tokenizer, key: str = "doc_id", text
 def chunked(rows: DataFrame, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, halves: Callable | None = None) -> DataFrame:
     """Chunks (key, chunk, text and its bounds) of aligned rows (key, text, places, placed)."""
     enough = f"placed >= {LEAST_PLACED}D and exists(places, p -> p is not null)"
-    rows = rows.withColumn("_b", F.expr(f"case when text = '' then cast(array() as array<struct<start:int,end:int>>) when {enough} then {bounds('places', 'text', most, overlap)} end"))
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def cut(places: pa.Array, lengths: pa.Array) -> pa.Array:
+        out = []
+        for p, n in zip(places, lengths, strict=True):
+            if not p.is_valid:
+                out.append(None)
+                continue
+            on = np.flatnonzero(p.values.is_valid().to_numpy(zero_copy_only=False))
+            starts = p.values.field("start").to_numpy(zero_copy_only=False)[on].astype(int)
+            out.append([{"start": a, "end": b} for a, b in (cut_at(len(p), on, starts, n.as_py(), most, min(overlap, most - 1)) if len(p) else ())])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    # a fold in SQL copies the chunks so far at every piece
+    rows = rows.withColumn("_b", cut(F.when(F.expr(f"text = '' or {enough}"), F.expr("if(text = '', slice(places, 1, 0), places)")), F.length("text")))
     if halves is not None:
         rows = rows.withColumn("_b", F.coalesce("_b", halves(F.when(F.col("_b").isNull(), F.col("text")))))
-    out = rows.select("key", "text", F.posexplode("_b").alias("chunk", "b"))
+    # outer: for a plain generator Spark puts a filter on the bounds, and with it all before them, below the scan's shuffle
+    out = rows.select("key", "text", F.posexplode_outer("_b").alias("chunk", "b")).filter("chunk is not null")
     cut = out.select("key", "chunk", F.expr("substring(text, b.start + 1, b.end - b.start)").alias("part"), F.col("b.start").alias("start_char"), F.col("b.end").alias("end_char"), F.expr("octet_length(substring(text, 1, b.start))").alias("start_byte"))
     return cut.select("key", "chunk", F.col("part").alias("text"), "start_char", "end_char", "start_byte", (F.col("start_byte") + F.octet_length("part")).alias("end_byte"))
 
