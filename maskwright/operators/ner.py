@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import matches
-from maskwright.functions.text import BLANK, islands, let
+from maskwright.functions.spans import EMPTY, matches
+from maskwright.functions.text import BLANK, islands, let, quoted
 from maskwright.schema import SPAN
 
 # The dictionary provider's entities with type and score.
@@ -30,7 +30,10 @@ ENTITIES = (
 
 def dictionary_spans(text: str) -> str:
     """SQL: spans of the dictionary's entities, by start."""
-    parts = [matches(text, rf"\Q{t}\E", kind, score, "ner", 100 + i) for i, (t, kind, score) in enumerate(ENTITIES)]
+    parts = []
+    for i, (t, kind, score) in enumerate(ENTITIES):
+        found = matches(text, rf"\Q{t}\E", kind, score, "ner", 100 + i)
+        parts.append(f"if(contains({text}, {quoted(t)}), {found}, {EMPTY})")
     return f"array_sort(concat({', '.join(parts)}), (a, b) -> if(a.start != b.start, a.start - b.start, a.seq - b.seq))"
 
 
@@ -78,16 +81,23 @@ def merged_by_type(spans: str) -> str:
     return f"array_sort({fold}, (a, b) -> if(a.start != b.start, a.start - b.start, a.end - b.end))"
 
 
-def provide(docs: DataFrame, spans_of: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
+def provide(docs: DataFrame, spans_of: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text", size: int = 5000) -> DataFrame:
     """Add ``ner``: a provider's spans of every chunk, at their place in the document, merged by type.
 
-    ``spans_of`` adds a column ``found`` (array of spans in bytes of the chunk) to rows with a text.
+    ``spans_of`` adds a column ``found`` (array of spans in bytes of the chunk) to rows with a text. Texts
+    of one chunk are given to it as they are; only the spans of longer ones are brought together by key.
     """
-    part = spans_of(chunks(docs, key, text))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    long = f"char_length(coalesce({text}, '')) > {size}"
+    short = docs.filter(f"not ({long})")
+    one = spans_of(short.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    out = one.withColumn("ner", F.when(F.size("found") > 0, F.expr(merged_by_type("found"))).otherwise(none)).select("_row.*", "ner")
+    docs = docs.filter(long)
+    part = spans_of(chunks(docs, key, text, size))
     moved = "transform(found, s -> named_struct('start', s.start + start_byte, 'end', s.end + start_byte, 'entity_type', s.entity_type, 'score', s.score, 'text', s.text, 'source', s.source))"
     whole = part.filter("size(found) > 0").groupBy(F.col(key).alias("_key")).agg(F.flatten(F.collect_list(F.expr(moved))).alias("ner"))
     whole = whole.withColumn("ner", F.expr(merged_by_type("ner")))
-    return docs.join(whole, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("ner", F.coalesce("ner", F.expr(f"cast(array() as array<{SPAN}>)")))
+    return out.unionByName(docs.join(whole, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("ner", F.coalesce("ner", none)))
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
