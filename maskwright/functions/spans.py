@@ -32,10 +32,12 @@ def matches_of(text: str, p: str, entity_type: str, score: str, source: str, seq
     return let(found, "z", f"if(size(z.m) = 0, {EMPTY}, {spans})")
 
 
-def recognized(text: str) -> str:
-    """Spans of all recognizers in their order; a phone number that is a date is none."""
+def recognized(text: str, kinds: tuple[str, ...] | None = None) -> str:
+    """Spans of all recognizers, or of those of some types, in their order; a phone number that is a date is none."""
     parts = []
     for i, (kind, pattern, score) in enumerate(RECOGNIZERS):
+        if kinds is not None and kind not in kinds:
+            continue
         part = matches(text, f"(?U){pattern}", kind, score, "regex", i)
         if kind == "PHONE":
             part = f"filter({part}, s -> regexp_extract(s.text, {quoted('(?U)' + DATE_PATTERN)}, 0) != s.text)"

@@ -9,9 +9,9 @@ from maskwright.functions import spans as S
 from maskwright.schema import SPAN, DetectionConfig
 
 
-def raw_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """Add the recognizers' spans, before any check."""
-    return df.withColumn(out, F.expr(S.recognized(f"coalesce({text}, '')")))
+def raw_spans(df: DataFrame, text: str = "text", out: str = "spans", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Add the spans of all recognizers, or of those of some types, before any check."""
+    return df.withColumn(out, F.expr(S.recognized(f"coalesce({text}, '')", kinds)))
 
 
 def detect(df: DataFrame, text: str = "text", config: DetectionConfig = DetectionConfig(), ner: str | None = None, out: str = "spans") -> DataFrame:

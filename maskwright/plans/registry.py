@@ -37,8 +37,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by a hash where the files give fewer tasks than there are cores: a row group is read by one task."""
+    sizes = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    # as it is where no task has more than twice its share
+    if not sizes or max(sizes) * cores <= 2 * sum(sizes):
+        return rows
+    return rows.repartition(min(4 * cores, sum(sizes) // 256 + 1), F.xxhash64(*keys))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
+    return dealt(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def found(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
@@ -54,7 +64,8 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
         when 1 then concat('Zahlung an DE', {pad(f'98 - ({k} * 1000000 + 131400) % 97 + {k} % 3', 2)}, {pad(k, 18)}, ' per bank transfer')
         when 2 then concat('card 4', {pad(f'{k} * 7919 % 1000', 3)}, ' ', {pad(f'{k} * 104729 % 10000', 4)}, ' ', {pad(f'{k} * 611953 % 10000', 4)}, ' ', {pad(f'{k} * 1299709 % 10000', 4)}, ', phone ', '+1-212-555-', {pad(f'{k} % 10000', 4)})
         else concat('Größe: reach me at user', {k}, '@mail.example.org or ', '+1-212-555-', {pad(f'{k} % 10000', 4)}, ' since March ', 1 + {k} % 28, ', 2021') end"""
-    return read(spark, sf_dir, "customer").select(F.col(k).alias("doc_id"), F.expr(text).alias("text"))
+    rows = dealt(read(spark, sf_dir, "customer").select(k, "c_name"), k)
+    return rows.select(F.col(k).alias("doc_id"), F.expr(text).alias("text"))
 
 
 # Recognizers -----------------------------------------------------------------------------------
@@ -63,7 +74,7 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _recognizer(kind: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = documents(spark, sf_dir).select("doc_id", "text").unionAll(derived(spark, sf_dir).select(-F.col("doc_id"), "text"))
-        return D.exploded(D.raw_spans(rows), "doc_id").filter(F.col("entity_type") == kind).select("doc_id", "start", "end", "score", "text")
+        return D.exploded(D.raw_spans(rows, kinds=(kind,)), "doc_id").select("doc_id", "start", "end", "score", "text")
 
     run.__name__ = f"recognize_{kind.lower()}"
     query(f"with {O.DERIVED}, corpus as (select doc_id, text from documents union all select -doc_id, text from derived), {O.raw('corpus')} select doc_id, start, \"end\", score, text from raw where entity_type = '{kind}'")(run)
@@ -75,7 +86,7 @@ for _kind, _, _ in RECOGNIZERS:
 
 @query(f"with {O.DERIVED}, {O.raw('derived')} select doc_id, entity_type, text, {O.CHECK} as valid from raw where entity_type in ('SSN', 'IBAN', 'CREDIT_CARD')")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.exploded(D.raw_spans(derived(spark, sf_dir)), "doc_id").filter("entity_type in ('SSN', 'IBAN', 'CREDIT_CARD')")
+    rows = D.exploded(D.raw_spans(derived(spark, sf_dir), kinds=("SSN", "IBAN", "CREDIT_CARD")), "doc_id")
     rule = f"case entity_type when 'CREDIT_CARD' then {S.luhn('text')} when 'IBAN' then {S.iban('text')} else {S.ssn('text')} end"
     return rows.select("doc_id", "entity_type", "text", F.expr(rule).alias("valid"))
 
@@ -341,7 +352,8 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = "array(" + ", ".join(T.quoted(t) for t, _, _ in ner.ENTITIES) + ")"
     pick = lambda x: f"element_at({names}, cast({x} % 12 as int) + 1)"
     text = f"concat('Grüße von ', {pick('o_orderkey')}, ', account ', {pick('o_custkey')}, ' or call 212-555-', lpad(cast(o_custkey % 10000 as string), 4, '0'))"
-    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
+    rows = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return rows.select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
 
 
 _NAMES = "[" + ", ".join("'" + t + "'" for t, _, _ in ner.ENTITIES) + "]"
