@@ -4,6 +4,7 @@ Keyed jobs keep their state with ``transformWithState`` in event time: a key is
 once the watermark is ``forget`` behind its last row, so state is bounded by the keys of that span and a
 run over what is there ends. Rows of a key that come in one batch are taken in the order of the time
 column and of ``seq`` where one is given, and must fit one task's memory; batches are taken as they come.
+Times lie after 1970-01-01 00:00 UTC: every watermark begins there, and Spark drops rows at or before it.
 """
 
 from __future__ import annotations
