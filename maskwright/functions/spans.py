@@ -92,12 +92,14 @@ def boosted(spans: str, text: str, config: DetectionConfig) -> str:
         return out
 
     # a token that crosses an edge of the span is on neither side
-    cut = lambda outer, inner: f"(rlike({outer}, '{_TOKEN}$') and rlike(s.text, '^{_TOKEN}'))" if inner else f"(rlike({outer}, '^{_TOKEN}') and rlike(s.text, '{_TOKEN}$'))"
+    # only the last character is looked at: $ would also hold before a line end, which parts tokens
+    last = lambda x: f"rlike(right({x}, 1), '{_TOKEN}')"
+    cut = lambda outer, inner: f"({last(outer)} and rlike(s.text, '^{_TOKEN}'))" if inner else f"({last('s.text')} and rlike({outer}, '^{_TOKEN}'))"
     before = let(tokens(head, "s.start"), "y", let(f"if({cut('y.x', True)}, slice(y.t, 1, greatest(size(y.t) - 1, 0)), y.t)", "u", f"slice(u, greatest(size(u) - {n - 1}, 1), {n})"))
     after = let(tokens(tail, "(octet_length(eb) - s.end)"), "y", f"slice(y.t, if({cut('y.x', False)}, 2, 1), {n})")
-    near = f"exists(concat({before}, {after}), t -> array_contains(k, lower(t)))"
+    near = " or ".join(f"exists({side}, t -> array_contains(k, lower(t)))" for side in (before, after))
     raised = f"named_struct('start', s.start, 'end', s.end, 'entity_type', s.entity_type, 'score', least(s.score + {config.context_boost}D, 1D), 'text', s.text, 'source', s.source, 'cs', s.cs, 'ce', s.ce, 'seq', s.seq)"
-    each = f"transform({spans}, s -> {let(f'{words}[s.entity_type]', 'k', f'if(k is not null and {near}, {raised}, s)')})"
+    each = f"transform({spans}, s -> {let(f'{words}[s.entity_type]', 'k', f'if(k is not null and ({near}), {raised}, s)')})"
     return let(f"cast({text} as binary)", "eb", each)
 
 
@@ -106,6 +108,10 @@ def precedence(span: str) -> str:
     return f"case when {span}.source = 'manual' then 3 when {span}.source = 'regex' and {span}.entity_type in ({kinds}) then 2 else 1 end"
 
 
+#: Spans up to which a merge needs no islands.
+_FEW = 8
+
+
 def merged(spans: str) -> str:
     """Overlaps resolved by a fold over spans by start, then score descending.
 
@@ -115,7 +121,9 @@ def merged(spans: str) -> str:
     order = "case when a.start != b.start then a.start - b.start when a.score != b.score then if(a.score > b.score, -1, 1) else a.seq - b.seq end"
     better = f"({precedence('s')} > {precedence('l')} or {precedence('s')} = {precedence('l')} and s.score > l.score)"
     step = let("element_at(acc, -1)", "l", f"if(s.start < l.end and l.start < s.end, if({better}, concat(slice(acc, 1, size(acc) - 1), array(s)), acc), concat(acc, array(s)))")
-    return islands(f"array_sort({spans}, (a, b) -> {order})", lambda part: f"aggregate({part}, {EMPTY}, (acc, s) -> if(size(acc) = 0, array(s), {step}))")
+    fold = lambda part: f"aggregate({part}, {EMPTY}, (acc, s) -> if(size(acc) = 0, array(s), {step}))"
+    # few spans are folded at once, as islands cost more than they save
+    return let(f"array_sort({spans}, (a, b) -> {order})", "m0", f"if(size(m0) <= {_FEW}, if(size(m0) < 2, m0, {fold('m0')}), {islands('m0', fold)})")
 
 
 def confident(spans: str, config: DetectionConfig) -> str:
