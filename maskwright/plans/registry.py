@@ -37,12 +37,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt out by a hash where the files give fewer tasks than there are cores: a row group is read by one task."""
+def dealt(rows: DataFrame, *keys: str, most: float = 2) -> DataFrame:
+    """Rows dealt out by a hash where the files give a task more than ``most`` times a core's share: a row group is read by one task.
+
+    Narrow rows that are searched for long are worth a shuffle sooner: with ``most`` 0.5 no core works
+    more than one and a half times its share.
+    """
     sizes = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()]
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    # as it is where no task has more than twice its share
-    if not sizes or max(sizes) * cores <= 2 * sum(sizes):
+    if not sizes or max(sizes) * cores <= most * sum(sizes):
         return rows
     return rows.repartition(min(4 * cores, sum(sizes) // 256 + 1), F.xxhash64(*keys))
 
@@ -64,7 +67,7 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
         when 1 then concat('Zahlung an DE', {pad(f'98 - ({k} * 1000000 + 131400) % 97 + {k} % 3', 2)}, {pad(k, 18)}, ' per bank transfer')
         when 2 then concat('card 4', {pad(f'{k} * 7919 % 1000', 3)}, ' ', {pad(f'{k} * 104729 % 10000', 4)}, ' ', {pad(f'{k} * 611953 % 10000', 4)}, ' ', {pad(f'{k} * 1299709 % 10000', 4)}, ', phone ', '+1-212-555-', {pad(f'{k} % 10000', 4)})
         else concat('Größe: reach me at user', {k}, '@mail.example.org or ', '+1-212-555-', {pad(f'{k} % 10000', 4)}, ' since March ', 1 + {k} % 28, ', 2021') end"""
-    rows = dealt(read(spark, sf_dir, "customer").select(k, "c_name"), k)
+    rows = dealt(read(spark, sf_dir, "customer").select(k, "c_name"), k, most=0.5)
     return rows.select(F.col(k).alias("doc_id"), F.expr(text).alias("text"))
 
 
@@ -357,7 +360,7 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = "array(" + ", ".join(T.quoted(t) for t, _, _ in ner.ENTITIES) + ")"
     pick = lambda x: f"element_at({names}, cast({x} % 12 as int) + 1)"
     text = f"concat('Grüße von ', {pick('o_orderkey')}, ', account ', {pick('o_custkey')}, ' or call 212-555-', lpad(cast(o_custkey % 10000 as string), 4, '0'))"
-    rows = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    rows = dealt(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", most=0.5)
     return rows.select(F.col("o_orderkey").alias("doc_id"), F.expr(text).alias("text"))
 
 
