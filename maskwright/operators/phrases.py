@@ -3,17 +3,21 @@
 A pattern's words (runs of ASCII word characters that touch no ``*``) stand in any text that it matches
 as whole words. A plain pattern is joined on the places of two neighbouring words of it with what lies
 between them, the pair that texts hold least often, or of its only word; one that is such a pair needs no
-further look at the text. One with ``*`` is matched against the texts that hold its rarest word. Lists of
-up to ``WHOLE`` rows are sent to the texts; of longer ones only the hashes, so that nothing but hits is
-moved. Candidates that must be compared come back as one list a text, so texts are moved once.
+further look at the text. One with ``*`` is matched against the texts that hold its rarest word. Places
+are found in Arrow batches, which drop what a filter of the list's hashes does not hold, so that little
+but hits is moved; lists of up to ``WHOLE`` rows are sent to the texts, longer ones are dealt out with the
+hits. Candidates that must be compared come back as one list a text, so texts are moved once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import matches, matches_of
+from maskwright.functions import places
+from maskwright.functions.spans import matches_of
 from maskwright.functions.text import let, quoted
 from maskwright.operators.policy import pattern_spans
 from maskwright.operators.vault import first_of
@@ -21,8 +25,10 @@ from maskwright.scratch import materialise
 
 #: Patterns without a word of their own, such as ``*``, go into the plan; this many at most.
 WORDLESS = 200
-#: Rows of a list that are sent to every executor as they are, and hashes of longer lists.
-WHOLE, HASHES = 1_000_000, 8_000_000
+#: Rows of a list that are sent to every executor.
+WHOLE = 100_000
+#: Rows of a longer list for which a task keeps a table in memory; with more of them both sides are sorted.
+HELD = 1_000_000
 
 _RUN = "[A-Za-z0-9_]+"
 
@@ -43,21 +49,12 @@ def expression(pattern: str) -> str:
     return f"concat('(?iu:', replace({plain}, '*', {quoted(_RUN)}), ')')"
 
 
-def grams(text: str, pairs: bool) -> str:
-    """SQL: each word of a text, or each two neighbouring ones with what lies between: byte place ``at`` and text ``cut``."""
-    cut = "cast(substring(gb, w.start + 1, ws[i + 1].end - w.start) as string)"
-    two = f"transform(slice(ws, 1, greatest(size(ws) - 1, 0)), (w, i) -> named_struct('at', w.start, 'cut', {cut}))"
-    out = let(f"cast({text} as binary)", "gb", two) if pairs else "transform(ws, w -> named_struct('at', w.start, 'cut', w.text))"
-    return let(matches(text, _RUN, "MISC", 1.0, "manual", 0), "ws", out)
-
-
 def listed(rows: DataFrame, asked: DataFrame, on: str, n: int, how: str = "inner") -> DataFrame:
     """Rows of texts joined with a list of ``n`` rows, which goes to them where it is not too long."""
     if n <= WHOLE:
         return rows.join(F.broadcast(asked), on, how)
-    if n <= HASHES:
-        rows = rows.withColumn("_h", F.xxhash64(on)).join(F.broadcast(asked.select(F.xxhash64(on).alias("_h")).distinct()), "_h", "left_semi").drop("_h")
-    return rows.join(asked, on, how)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(asked.hint("shuffle_hash" if n <= HELD * tasks else "merge"), on, how)
 
 
 def rarest(held: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -73,6 +70,27 @@ def matched(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str
     ``key`` tells rows apart. Matches of one pattern do not overlap. Patterns are distinct texts;
     empty and null ones match nothing.
     """
+    plain, more = _all(docs, patterns, key, text, pattern)
+    for df in plain:
+        more.append(df.select("_key", "_pattern", F.struct(F.col("_at").alias("start"), F.expr("_at + octet_length(_cut)").alias("end"), F.col("_cut").alias("text")).alias("s")))
+    out = reduce(DataFrame.unionByName, more)
+    return out.select(F.col("_key").alias(key), F.col("_pattern").alias(pattern), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
+
+
+def counted(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = "pattern") -> DataFrame:
+    """The matches of ``matched`` by key and pattern: their number ``n`` and the least start, ``first``.
+
+    Of a long list the hits are dealt out by their words, and counted where they meet the list.
+    """
+    plain, more = _all(docs, patterns, key, text, pattern)
+    many = lambda df, at, *keys: df.groupBy("_key", "_pattern", *keys).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).select("_key", "_pattern", "n", "first")
+    # a pattern is of one kind, so its counts come from one of these
+    out = [many(df, "_at", "_word") for df in plain] + [many(df, "s.start") for df in more]
+    return reduce(DataFrame.unionByName, out).select(F.col("_key").alias(key), F.col("_pattern").alias(pattern), "n", "first")
+
+
+def _all(docs: DataFrame, patterns: DataFrame, key: str, text: str, pattern: str) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Matches that no other of their pattern can overlap, as _key, _pattern, _word, _at, _cut, and all others, as _key, _pattern, s."""
     every = patterns.select(F.col(pattern).alias("_pattern")).filter(F.trim("_pattern") != "").distinct()
     starred = F.contains("_pattern", F.lit("*"))
     every = materialise(every.select("_pattern", (F.size(F.expr(anchors("_pattern"))) > 0).alias("_worded"), starred.alias("_starred")), "patterns")
@@ -80,44 +98,42 @@ def matched(docs: DataFrame, patterns: DataFrame, key: str = "doc_id", text: str
     wordless = [r[0] for r in every.filter("not _worded").limit(WORDLESS + 1).collect()]
     if len(wordless) > WORDLESS:
         raise ValueError(f"more than {WORDLESS} patterns have no word of their own")
-    out = _placed(body, every.filter("_worded and not _starred").select("_pattern"))
+    plain, out = _placed(body, every.filter("_worded and not _starred").select("_pattern"))
     if every.filter("_worded and _starred").limit(1).count():
-        out = out.unionByName(_scanned(body, every.filter("_worded and _starred").select("_pattern")))
+        out.append(_scanned(body, every.filter("_worded and _starred").select("_pattern")))
     for p in wordless:
-        own = body.select("_key", F.lit(p).alias("_pattern"), F.explode(F.expr(f"transform({pattern_spans('_body', p)}, s -> named_struct('start', s.start, 'end', s.end, 'text', s.text))")).alias("s"))
-        out = out.unionByName(own)
-    return out.select(F.col("_key").alias(key), F.col("_pattern").alias(pattern), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.text").alias("text"))
-
-
-def _placed(body: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Matches of patterns without ``*``, looked for at the places of their rarest pair of neighbouring words."""
-    two, one = F.expr(grams("_pattern", True)), F.expr(grams("_pattern", False))
-    own = patterns.withColumn("_p", two).withColumn("_pair", F.size("_p") > 0).select("_pattern", "_pair", F.explode(F.when(F.col("_pair"), F.col("_p")).otherwise(one)).alias("g"))
-    # a pattern that is all one word or pair is found with it
-    known = own.select("_pattern", F.lower("g.cut").alias("_word"), F.col("g.at").alias("_off"), "_pair", (F.col("g.cut") == F.col("_pattern")).alias("_all"))
-    known = materialise(known, "pattern-words")
-    n, pairs, alls, wide = known.agg(F.count(F.lit(1)), F.count_if("_pair"), F.count_if("_all"), F.count_if(~F.col("_all"))).first()
-    rows = lambda pair: body.select("_key", F.explode(F.expr(grams("_body", pair))).alias("g")).select("_key", F.lower("g.cut").alias("_word"), F.col("g.at").alias("_at"), F.col("g.cut").alias("_cut"))
-    kinds = [pair for pair, some in ((True, pairs), (False, n - pairs)) if some or not n and pair]
-    places = rows(kinds[0]) if len(kinds) == 1 else rows(True).unionAll(rows(False))
-    found = None
-    if alls or not wide:
-        hits = listed(places, known.filter("_all").select("_word", "_pattern"), "_word", n)
-        found = hits.select("_key", "_pattern", F.struct(F.col("_at").alias("start"), F.expr("_at + octet_length(_cut)").alias("end"), F.col("_cut").alias("text")).alias("h"))
+        out.append(body.select("_key", F.lit(p).alias("_pattern"), F.explode(F.expr(f"transform({pattern_spans('_body', p)}, s -> named_struct('start', s.start, 'end', s.end, 'text', s.text))")).alias("s")))
+    return plain, out
+
+
+def _placed(body: DataFrame, patterns: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Matches of patterns without ``*``, looked for at the places of their rarest pair of neighbouring words; in two parts as ``_all``."""
+    own = places.places(patterns.select("_pattern", F.col("_pattern").alias("_text")), "least").withColumnRenamed("_key", "_pattern")
+    # a pattern that is all one word or pair is found with it, and overlaps itself if the pair's words are alike
+    kind = F.when(F.col("_cut") != F.col("_pattern"), "part").when(F.col("_same"), "twin").otherwise("whole")
+    known = materialise(own.select("_pattern", F.lower("_cut").alias("_word"), F.col("_at").alias("_off"), "_pair", kind.alias("_kind"), "_hash"), "pattern-words")
+    n, pairs, whole, twin, wide = known.agg(F.count(F.lit(1)), F.count_if("_pair"), *(F.count_if(F.col("_kind") == x) for x in ("whole", "twin", "part"))).first()
+    held = places.places(body, "both" if 0 < pairs < n else "words" if n and not pairs else "pairs", places.asked(known.select("_hash"), n))
+    held = held.select("_key", F.lower("_cut").alias("_word"), "_at", "_cut")
+    hits = lambda of: listed(held, known.filter(F.col("_kind") == of).select("_word", "_pattern"), "_word", n).select("_key", "_pattern", "_word", "_at", "_cut")
+    plain, found = [hits("whole")] if whole or not n else [], []
+    if twin:
+        found.append(hits("twin").select("_key", "_pattern", F.struct(F.col("_at").alias("start"), F.expr("_at + octet_length(_cut)").alias("end"), F.col("_cut").alias("text")).alias("h")))
     if wide:
-        asked = known.filter("not _all").select("_pattern", "_word", "_off")
-        least = rarest(listed(places.select("_word"), asked.select("_word").distinct(), "_word", n, "left_semi"), asked)
-        hits = listed(places, least, "_word", n).select("_key", "_pattern", (F.col("_at") - F.col("_off")).alias("_at")).filter("_at >= 0")
-        lists = hits.groupBy("_key").agg(F.collect_set(F.struct("_pattern", "_at")).alias("_hits"))
+        asked = known.filter("_kind = 'part'").select("_pattern", "_word", "_off")
+        least = rarest(listed(held.select("_word"), asked.select("_word").distinct(), "_word", n, "left_semi"), asked)
+        at = listed(held, least, "_word", n).select("_key", "_pattern", (F.col("_at") - F.col("_off")).alias("_at")).filter("_at >= 0")
+        lists = at.groupBy("_key").agg(F.collect_set(F.struct("_pattern", "_at")).alias("_hits"))
         both = body.join(lists, "_key").withColumn("b", F.expr("cast(_body as binary)"))
         byte = lambda at: f"rlike(cast(substring(b, {at}, 1) as string), '^[A-Za-z0-9_]')"
         here = "cast(substring(b, h._at + 1, octet_length(h._pattern)) as string)"
         whole = f"lower({here}) = lower(h._pattern) and not (h._at > 0 and {byte('h._at')}) and not {byte('h._at + 1 + octet_length(h._pattern)')}"
         good = f"transform(filter(_hits, h -> {whole}), h -> named_struct('p', h._pattern, 'h', named_struct('start', h._at, 'end', h._at + octet_length(h._pattern), 'text', {here})))"
-        more = both.select("_key", F.explode(F.expr(good)).alias("x")).select("_key", F.col("x.p").alias("_pattern"), F.col("x.h").alias("h"))
-        found = more if found is None else found.unionByName(more)
-    apart = found.groupBy("_key", "_pattern").agg(F.expr("array_sort(collect_list(h))").alias("m"))
-    return apart.select("_key", "_pattern", F.explode(F.expr(first_of("m", "start int, end int, text string"))).alias("s"))
+        found.append(both.select("_key", F.explode(F.expr(good)).alias("x")).select("_key", F.col("x.p").alias("_pattern"), F.col("x.h").alias("h")))
+    if not found:
+        return plain, []
+    apart = reduce(DataFrame.unionByName, found).groupBy("_key", "_pattern").agg(F.expr("array_sort(collect_list(h))").alias("m"))
+    return plain, [apart.select("_key", "_pattern", F.explode(F.expr(first_of("m", "start int, end int, text string"))).alias("s"))]
 
 
 def _scanned(body: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -72,8 +72,7 @@ def listed_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").filter("(conv_id * 1000 + turn) % 3 = 0").select(F.expr(f"regexp_extract_all(coalesce(text, ''), '{_TOKEN}', 0)").alias("w"), F.expr(f"split(coalesce(text, ''), '{_TOKEN}', -1)").alias("g"))
     pair = "transform(filter(sequence(1, size(w) - 1), i -> size(w) > 1 and i < size(w) and g[i] = ' ' and lower(w[i - 1]) != lower(w[i])), i -> lower(concat(w[i - 1], ' ', w[i])))"
     patterns = turns.filter("size(w) > 1").select(F.explode(F.expr(pair)).alias("pattern")).distinct()
-    hits = phrases.matched(documents(spark, sf_dir), patterns)
-    return hits.groupBy("doc_id", "pattern").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
+    return phrases.counted(documents(spark, sf_dir), patterns)
 
 
 @query(
