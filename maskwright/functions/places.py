@@ -90,7 +90,7 @@ def places(rows: DataFrame, kind: str, wanted: Broadcast | None = None) -> DataF
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else wanted.value
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             keys, texts = batch.column(0), batch.column(1).cast(pa.string())
             whole = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
             raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -116,8 +116,8 @@ def _found(data: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarr
         i = np.flatnonzero(beside)
         gap, until = end[i], begin[i + 1]
         between = _digests(data, gap, until - gap)
-        high = np.concatenate([[0], np.cumsum(data >= 128)])
-        other = high[until] > high[gap]  # has lower case of its own
+        high = np.cumsum(data >= 128, dtype=np.int32)
+        other = high[until - 1] > high[gap - 1]  # has lower case of its own
         between[other] = _ODD
         same = word[i] == word[i + 1]
         digest = _mix(_mix(word[i] * _ODD ^ between) + word[i + 1])
